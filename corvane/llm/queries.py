@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import oracles
+import public_tokenizers
+
+from corvane.llm import brown_lm, oracles, toxicity
 from corvane.llm.common import shared_dir, table
 from corvane.llm.exact_dedup import content_sort
 from corvane.llm.html_text import extract
+from corvane.llm.mixing import label_domain, mix
+from corvane.llm.ngram_jaccard import jaccard_components
+from corvane.llm.packing import pack
 from corvane.llm.quality_lines import quality
 from corvane.llm.url_filter import Rule, judge_urls, spam_listing
 from corvane.llm.warc import capture_digests, read_archive, transactions, write_archive
@@ -26,6 +31,12 @@ RULES = [
 ]
 # Host labels that put a crawled page on the block list.
 SPAM_LABELS = ["cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track"]
+# The target shares of tokens by domain.
+MIX_WEIGHTS = {"clean": 0.90, "rough": 0.07, "toxic": 0.03}
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +44,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, the posterior of each domain, rate and copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed, domains = mix(docs, table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS)
+    return mixed.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return content_sort(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -44,6 +67,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
+
+
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return brown_lm.score(docs, held_out)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corvane-warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, min_bytes=0)
@@ -55,7 +89,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op5_exact_dedup, op6_url_filter, op9_warc, op10_html_text]
+    found = [
+        op1_ngram_jaccard, op2_quality_rules, op3_toxicity, op4_mixing, op5_exact_dedup, op6_url_filter, op7_packing, op8_brown_lm, op9_warc, op10_html_text,
+    ]
     return {f.__name__: f for f in found}
 
 
