@@ -14,11 +14,13 @@ from corvane.llm.common import shared_dir, stored
 from corvane.llm.wordhash import chunks, words
 
 #: Labelled rows (about) that the model is fitted on; more are thinned by a digest of their identifier.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 #: Features that the model weighs, chosen by association with the grades.
 MAX_FEATURES = 4096
 #: Digests of words fall into 2**FEATURE_BITS features.
 FEATURE_BITS = 22
+#: First bytes of a word that are features besides the word.
+STEM_BYTES = (4, 5, 6, 7)
 
 
 @dataclass
@@ -38,15 +40,21 @@ class OrdinalModel:
         return self.above(strength).sum(axis=1)
 
 
-def sparse_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse_features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and log(1 + count) of every feature of every text, by row, then feature.
 
-    Features are words (runs of characters other than white space and ASCII punctuation, A-Z lower-cased), by digest.
+    Features are words (runs of characters other than white space and ASCII punctuation, A-Z lower-cased) and the first bytes of longer words, which stand for a
+    stem, by digest. ``wanted`` (a flag for each possible feature) leaves others out before anything is counted.
     """
     rows, feats, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for a, b in chunks(texts):
-        digest, owner = words(texts[a:b], punctuation=True)
-        pair, count = np.unique((owner.astype(np.int64) << FEATURE_BITS) | (digest >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), return_counts=True)
+        digest, owner, firsts = words(texts[a:b], punctuation=True, prefixes=STEM_BYTES)
+        feature = np.concatenate([digest, *[d for d, _ in firsts]]) >> np.uint64(64 - FEATURE_BITS)
+        feature, owner = feature.astype(np.int64), np.concatenate([owner, *[o for _, o in firsts]]).astype(np.int64)
+        if wanted is not None:
+            keep = wanted[feature]
+            feature, owner = feature[keep], owner[keep]
+        pair, count = np.unique((owner << FEATURE_BITS) | feature, return_counts=True)
         rows.append(a + (pair >> FEATURE_BITS))
         feats.append(pair & ((1 << FEATURE_BITS) - 1))
         values.append(np.log1p(count))
@@ -81,7 +89,7 @@ def _associated(rows: DataFrame, most: int) -> pd.DataFrame:
     )
     odds = F.log((F.col("high") + 0.5) / (n1 - F.col("high") + 0.5)) - F.log((F.col("low") + 0.5) / (n0 - F.col("low") + 0.5))
     spread = F.sqrt(1 / (F.col("high") + 0.5) + 1 / (F.col("low") + 0.5) + 1 / (n1 - F.col("high") + 0.5) + 1 / (n0 - F.col("low") + 0.5))
-    ranked = seen.where(F.col("low") + F.col("high") >= 5).withColumn("z", odds / spread).where(F.abs("z") >= 3.0)
+    ranked = seen.where(F.col("low") + F.col("high") >= 4).withColumn("z", odds / spread).where(F.abs("z") >= 2.5)
     return ranked.orderBy(F.desc(F.abs("z")), "feature").limit(most).toPandas()
 
 
@@ -165,13 +173,13 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.zeros(1 << FEATURE_BITS, dtype=bool)
+        wanted[model.features] = True
         for batch in batches:
-            rows, feats, values = sparse_features(batch["text"].tolist())
+            rows, feats, values = sparse_features(batch["text"].tolist(), wanted)
             strength = np.zeros(len(batch))
             if len(model.features):
-                at = np.minimum(np.searchsorted(model.features, feats), len(model.features) - 1)
-                keep = model.features[at] == feats
-                strength = np.bincount(rows[keep], values[keep] * model.weights[at[keep]], minlength=len(batch))
+                strength = np.bincount(rows, values * model.weights[np.searchsorted(model.features, feats)], minlength=len(batch))
             above = model.above(strength)
             each = -np.diff(np.hstack([np.ones((len(batch), 1)), above, np.zeros((len(batch), 1))]), axis=1)
             yield pd.DataFrame({

@@ -33,11 +33,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[str | None], punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _digests(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digest = (sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(sums))[starts]
+    return mix(digest ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+
+
+def words(
+    texts: list[str | None], punctuation: bool = False, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Digests of all words of ``texts``, A-Z lower-cased, and the text that each word is of (ascending).
 
-    Words are runs of other characters than space and \\t-\\r and, if ``punctuation``, ASCII punctuation. A word's digest is a polynomial in its bytes modulo 2**64, taken
-    from prefix sums, then mixed with its length. Null counts as empty.
+    Words are runs of other characters than space and \\t-\\r and, if ``punctuation``, ASCII punctuation. A word's digest is a polynomial in its
+    bytes modulo 2**64, taken from prefix sums, then mixed with its length. Null counts as empty. For each number in ``prefixes`` a third
+    result has the digests (and texts) of that many first bytes of each longer word.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = _FOLD[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
@@ -48,10 +56,15 @@ def words(texts: list[str | None], punctuation: bool = False) -> tuple[np.ndarra
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data.astype(np.uint64) * _powers_of(_ODD, len(data)), dtype=np.uint64, out=sums[1:])
-    digest = (sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(data))[starts]
-    digest = mix(digest ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
     begins = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]) if raw else np.zeros(0, dtype=np.int64)
-    return digest, np.searchsorted(begins, starts, side="right") - 1
+    digest, owner = _digests(sums, starts, ends), np.searchsorted(begins, starts, side="right") - 1
+    if not prefixes:
+        return digest, owner
+    firsts = []
+    for k in prefixes:
+        at = np.flatnonzero(ends - starts > k)
+        firsts.append((mix(_digests(sums, starts[at], starts[at] + k), 17), owner[at]))
+    return digest, owner, firsts
 
 
 def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
