@@ -4,12 +4,560 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from corvane.functions import text as T
+from corvane.operators import agreement, analytics, dense, fusion, ingest, judge, metrics, monitoring, rerank, sparse
+from corvane.plans import oracles
+from corvane.plans import testbed as bed
+from corvane.streaming import feedback as feedback_stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+TOP, POOL = 10, 20
+SPLIT_DAY = "2024-01-16"
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+# text
+
+
+@query
+def text_tokens_stats(s: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    rows = bed.docs(s, d).select("doc_id", T.let(T.tokens(text), lambda t: F.struct(F.size(t).cast("long").alias("n"), T.stopword_ratio(t).alias("s"))).alias("x"), T.nonascii_ratio(text).alias("a"))
+    return rows.select("doc_id", F.col("x.n").alias("n_tokens"), r6("a").alias("nonascii_ratio"), r6("x.s").alias("stopword_ratio"))
+
+
+@query
+def text_mean_sentence_len(s: SparkSession, d: str) -> DataFrame:
+    return bed.docs(s, d).select("doc_id", r6(T.mean_sentence_len(F.col("text"))).alias("mean_sent_len"))
+
+
+@query
+def chunk_quality(s: SparkSession, d: str) -> DataFrame:
+    return bed.chunk_quality(s, d)
+
+
+@query
+def content_ids(s: SparkSession, d: str) -> DataFrame:
+    pages = bed.table(s, d, "pages")
+    key = T.document_key(F.col("url"))
+    return pages.select("page_id", key.alias("doc_key"), F.sha2("html", 256).alias("content_sha256"), T.chunk_key(key, F.col("page_id"), F.col("html")).alias("chunk_key"))
+
+
+@query
+def snippet(s: SparkSession, d: str) -> DataFrame:
+    return bed.docs(s, d).select("doc_id", T.snippet(F.col("text"), 150, "...").alias("snippet"), T.snippet(F.col("text"), 100).alias("short"))
+
+
+@query
+def passage_labels(s: SparkSession, d: str) -> DataFrame:
+    """Turns as labelled passages: the label is read back from the assembled part, and what follows it."""
+    part = F.concat(F.lit("["), F.col("heading"), F.lit("] "), F.col("text"))
+    rows = bed.turns(s, d).select("conv_id", "turn", part.alias("p"))
+    return rows.select("conv_id", "turn", T.passage_label(F.col("p")).alias("label"), F.length(T.without_label(F.col("p"))).cast("long").alias("n_chars"))
+
+
+@query
+def request_stages(s: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    return bed.table(s, d, "pages").groupBy(T.request_stage(path).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def search_tab_context(s: SparkSession, d: str) -> DataFrame:
+    """The context of each conversation: its first three turns as passages, in order."""
+    lists = bed.turns(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("turn").alias("chunk_id"), "text"))).alias("p"))
+    return lists.select("conv_id", F.sha2(T.context(F.slice("p", F.lit(1), F.lit(3))), 256).alias("context_sha256"))
+
+
+# ingestion
+
+
+@query
+def doc_assembly_offsets(s: SparkSession, d: str) -> DataFrame:
+    rows = ingest.page_offsets(bed.turns(s, d), doc="conv_id", page="turn")
+    return rows.select("conv_id", "turn", "char_offset", F.length("part").cast("long").alias("part_chars"))
+
+
+@query
+def doc_assembly_text(s: SparkSession, d: str) -> DataFrame:
+    rows = ingest.assembled(ingest.page_offsets(bed.turns(s, d), doc="conv_id", page="turn"), doc="conv_id", page="turn")
+    return rows.select("conv_id", F.sha2("full_text", 256).alias("sha256"), F.length("full_text").cast("long").alias("n_chars"))
+
+
+@query
+def nearest_heading(s: SparkSession, d: str) -> DataFrame:
+    """For the middle of each turn the last user turn's first word at or before it."""
+    rows = ingest.page_offsets(bed.turns(s, d), doc="conv_id", page="turn")
+    word = F.when(F.col("heading") == "user", F.regexp_extract("text", r"(\S+)", 1)).otherwise("")
+    heads = rows.select("conv_id", F.col("char_offset").alias("offset"), word.alias("heading"))
+    places = rows.select("conv_id", "turn", (F.col("char_offset") + F.floor(F.length("part") / 2)).cast("long").alias("pos"))
+    return ingest.nearest_heading(places, heads, doc="conv_id").select("conv_id", "turn", "pos", "heading")
+
+
+@query
+def chunk_split(s: SparkSession, d: str) -> DataFrame:
+    rows = ingest.chunk_documents(bed.docs(s, d), text="text")
+    return rows.select("doc_id", "chunk_index", "pos", F.length("chunk_text").cast("long").alias("n_chars"), "chunk_id", "token_count")
+
+
+@query
+def upsert_docs(s: SparkSession, d: str) -> DataFrame:
+    """Stored: the labels; incoming: every document with a quality of its own, or null where its text has no line break."""
+    stored = bed.table(s, d, "labels").select("doc_id", F.col("quality").cast("long").alias("content"))
+    incoming = bed.docs(s, d).select("doc_id", F.when(F.contains("text", F.lit("\n")), F.length("text").cast("long")).alias("content"))
+    return ingest.upsert(stored, incoming, "doc_id")
+
+
+@query
+def insert_if_absent(s: SparkSession, d: str) -> DataFrame:
+    return ingest.insert_if_absent(bed.table(s, d, "labels"), bed.docs(s, d).select("doc_id"), "doc_id")
+
+
+@query
+def hash_drift(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose text differs from its trimmed, single-spaced form."""
+    rows = bed.docs(s, d)
+    stored = rows.select("doc_id", F.sha2("text", 256).alias("h"))
+    return ingest.hash_drift(stored, rows.select("doc_id", F.sha2(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), 256).alias("h")), "doc_id", "h")
+
+
+@query
+def feedback_fk_repair(s: SparkSession, d: str) -> DataFrame:
+    log = bed.queries(s, d).select(F.col("query_id").cast("string").alias("query_id"))
+    rows = bed.feedback(s, d).select("event_id", "query_id", F.lit(None).cast("string").alias("source"), F.nullif("user_id", F.lit("0")).alias("user_id"), "reaction")
+    return ingest.repaired_feedback(rows, log)
+
+
+@query
+def coverage(s: SparkSession, d: str) -> DataFrame:
+    return ingest.coverage(bed.docs(s, d), bed.table(s, d, "labels"), "doc_id")
+
+
+@query
+def coverage_missing(s: SparkSession, d: str) -> DataFrame:
+    return ingest.missing(bed.docs(s, d), bed.table(s, d, "labels"), "doc_id")
+
+
+@query
+def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each source in a sample of 200, with every toxic document."""
+    forced = bed.table(s, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    got = ingest.stratified_sample(bed.table(s, d, "documents").select("doc_id", "source"), forced, 200, "source", "doc_id")
+    return got
+
+
+# retrieval
+
+
+def _scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, terms = bed.docs(s, d), sparse.query_terms(bed.queries(s, d))
+    return docs, terms, sparse.bm25_scores(docs, terms)
+
+
+def _bm25(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    docs, terms, scores = _scores(s, d)
+    return sparse.search(scores, docs, terms, k)
+
+
+def _dot(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    return sparse.top_k(sparse.dot_scores(bed.docs(s, d), sparse.query_terms(bed.queries(s, d))), k)
+
+
+def _dense(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    return dense.cosine_top_k(bed.vectors(s, d), bed.vector_queries(s, d), k, doc_id="vec_id")
+
+
+def _fused(s: SparkSession, d: str, k: int = fusion.RRF_K, n: int = TOP) -> DataFrame:
+    return fusion.rrf([_bm25(s, d, POOL), _dot(s, d, POOL)], n, k)
+
+
+@query
+def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(sparse.term_stats(bed.docs(s, d)), "idf")
+
+
+@query
+def bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(_bm25(s, d), "score")
+
+
+@query
+def sparse_dot_topk(s: SparkSession, d: str) -> DataFrame:
+    return _dot(s, d)
+
+
+@query
+def dense_topk(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(_dense(s, d), "score")
+
+
+@query
+def collection_stats(s: SparkSession, d: str) -> DataFrame:
+    return dense.collection_stats(bed.vectors(s, d))
+
+
+@query
+def rrf_fused_topk(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(_fused(s, d), "score")
+
+
+@query
+def rrf_k_variants(s: SparkSession, d: str) -> DataFrame:
+    a, b = _bm25(s, d, POOL), _dot(s, d, POOL)
+    out = [fusion.rrf([a, b], 5, k).select(F.lit(k).cast("long").alias("k"), "query_id", "doc_id", "rank") for k in (10, 60)]
+    return out[0].unionByName(out[1])
+
+
+@query
+def method_comparison(s: SparkSession, d: str) -> DataFrame:
+    """The first three of each method with the method's name."""
+    a, b = _bm25(s, d, POOL), _dot(s, d, POOL)
+    lists = {"bm25": a, "dot": b, "rrf": fusion.rrf([a, b], POOL)}
+    out = None
+    for name, x in lists.items():
+        part = x.where("rank <= 3").select(F.lit(name).alias("method"), "query_id", "doc_id", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def method_overlap(s: SparkSession, d: str) -> DataFrame:
+    return fusion.overlap(_bm25(s, d, POOL), _dot(s, d, POOL), 5)
+
+
+@query
+def top1_pairs(s: SparkSession, d: str) -> DataFrame:
+    return _fused(s, d, n=1).select("query_id", "doc_id")
+
+
+@query
+def rerank_scored(s: SparkSession, d: str) -> DataFrame:
+    """The pool re-ranked by the share of the query's distinct tokens that a document holds."""
+    pool = _bm25(s, d, POOL).join(bed.docs(s, d), "doc_id").join(bed.queries(s, d), "query_id")
+    got = rerank.routed(pool, "live_fast", {"live_fast": rerank.lexical_overlap}, 5)
+    return _rounded(got.select("query_id", "doc_id", "score", "rank", "tier"), "score")
+
+
+@query
+def rerank_fallback(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(rerank.fallback(_bm25(s, d, POOL), 5), "score")
+
+
+@query
+def rerank_rank1(s: SparkSession, d: str) -> DataFrame:
+    """The first document before and after re-ranking, by query."""
+    pool = _bm25(s, d, POOL).join(bed.docs(s, d), "doc_id").join(bed.queries(s, d), "query_id")
+    after = rerank.by_score(pool, rerank.lexical_overlap(F.col("query"), F.col("text")), 1).select("query_id", F.col("doc_id").alias("after_id"))
+    before = _bm25(s, d, 1).select("query_id", F.col("doc_id").alias("before_id"))
+    return before.join(after, "query_id").withColumn("moved", F.col("before_id") != F.col("after_id"))
+
+
+# metrics and benchmark
+
+
+@query
+def dense_metrics(s: SparkSession, d: str) -> DataFrame:
+    got = metrics.metrics(_dense(s, d), bed.vector_qrels(s, d), doc_id="vec_id")
+    return _rounded(got, "ndcg", "ndcg_exp", "mrr", "prec_at_3", "prec_at_5", "prec_at_10")
+
+
+def _benchmark(s: SparkSession, d: str) -> DataFrame:
+    ranked = _bm25(s, d).select(F.lit("A").alias("config"), "query_id", "doc_id", "rank").unionByName(_dot(s, d).select(F.lit("C").alias("config"), "query_id", "doc_id", "rank"))
+    return metrics.benchmark_rows(ranked, bed.qrels(s, d), {"C": 0.002})
+
+
+@query
+def benchmark_rows(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(_benchmark(s, d), *metrics.MEANS)
+
+
+@query
+def benchmark_aggregate(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.aggregate(_benchmark(s, d)), *metrics.MEANS, "cost_usd")
+
+
+@query
+def ndcg_gate(s: SparkSession, d: str) -> DataFrame:
+    return metrics.gate(metrics.aggregate(_benchmark(s, d)), 0.30)
+
+
+@query
+def ndcg_quartiles(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.spread(_benchmark(s, d)), "p25", "p50", "p75", "mean")
+
+
+@query
+def model_winner(s: SparkSession, d: str) -> DataFrame:
+    return metrics.winner(metrics.aggregate(_benchmark(s, d)), expected=2)
+
+
+def _ranks(s: SparkSession, d: str) -> DataFrame:
+    """Two orderings of each query's pool: by BM25, and by the dot product."""
+    docs, terms, scores = _scores(s, d)
+    a = sparse.search(scores, docs, terms, POOL)
+    dots = sparse.dot_scores(docs, terms).select("query_id", "doc_id", F.col("score").alias("dot"))
+    c = a.join(dots, ["query_id", "doc_id"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("dot", F.lit(0.0)).desc(), "doc_id")).cast("long"))
+    return agreement.both_ranks(a, c)
+
+
+@query
+def spearman_full(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(agreement.spearman_full(_ranks(s, d)), "rho")
+
+
+@query
+def spearman_head(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(agreement.spearman_head(_ranks(s, d)), "rho")
+
+
+@query
+def overlap_at_n(s: SparkSession, d: str) -> DataFrame:
+    return agreement.overlaps(_ranks(s, d))
+
+
+@query
+def rbo(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(agreement.rbo(_ranks(s, d)), "rbo")
+
+
+@query
+def agreement_by_case(s: SparkSession, d: str) -> DataFrame:
+    """Mean agreement by case; a query's case is the length of its passage in hundreds of characters."""
+    ranks = _ranks(s, d)
+    case = bed.queries(s, d).select("query_id", F.floor(F.length("query") / 100).cast("long").alias("case_no"))
+    rows = agreement.spearman_full(ranks).join(agreement.rbo(ranks), "query_id").join(case, "query_id")
+    return _rounded(agreement.by_case(rows, "case_no", ["rho", "rbo"]), "rho", "rbo")
+
+
+@query
+def agreement_summary(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(agreement.summary(agreement.rbo(_ranks(s, d)), "rbo"), "mean", "median", "least", "greatest")
+
+
+# catalogue analytics
+
+
+def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"docs": bed.metadata(s, d), "chunks": bed.chunks(s, d), "quality": bed.chunk_quality(s, d)}
+
+
+@query
+def count_by_family(s: SparkSession, d: str) -> DataFrame:
+    return analytics.dispatch(_tables(s, d), "count_docs_by_gpu_family", {})
+
+
+@query
+def below_threshold(s: SparkSession, d: str) -> DataFrame:
+    return analytics.dispatch(_tables(s, d), "chunks_below_quality_threshold", {"threshold": "0.6"})
+
+
+@query
+def avg_quality_per_doc(s: SparkSession, d: str) -> DataFrame:
+    return analytics.dispatch(_tables(s, d), "avg_quality_per_doc", {})
+
+
+@query
+def chunk_count_like(s: SparkSession, d: str) -> DataFrame:
+    return analytics.dispatch(_tables(s, d), "chunk_count_for_doc", {"title_fragment": "SRC1"})
+
+
+@query
+def list_docs(s: SparkSession, d: str) -> DataFrame:
+    return analytics.dispatch(_tables(s, d), "list_indexed_documents", {})
+
+
+@query
+def avg_price_per_nation(s: SparkSession, d: str) -> DataFrame:
+    """The catalogue's three-way join and average over the order tables."""
+    line, supplier, nation = (bed.table(s, d, t) for t in ("lineitem", "supplier", "nation"))
+    rows = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def eda_canned(s: SparkSession, d: str) -> DataFrame:
+    """The three canned questions: mean by config, share supported, the day of the largest value."""
+    day = bed.daily(s, d).groupBy("day").agg(F.max("score").alias("m")).agg(F.max_by("day", F.struct("m", "day")).alias("worst_day"))
+    share = judge.accuracy(bed.judgments(s, d))
+    return share.crossJoin(day).select(r6("citation_accuracy").alias("citation_accuracy"), F.col("worst_day").cast("string").alias("worst_day"))
+
+
+@query
+def latest_run_per_config(s: SparkSession, d: str) -> DataFrame:
+    got = analytics.latest_by(bed.events(s, d), "user_id", "ts", "duration_ms", "event_id")
+    return got.select("user_id", F.col("ts").cast("string").alias("ts"), "duration_ms")
+
+
+@query
+def latest_complete(s: SparkSession, d: str) -> DataFrame:
+    rows = bed.events(s, d).withColumn("second", F.when(F.col("stage") != "view", F.col("duration_ms")))
+    got = analytics.latest_complete(rows, "ts", ["duration_ms", "second"], "event_id")
+    return got.select(F.col("ts").cast("string").alias("ts"), "duration_ms", "second")
+
+
+@query
+def stage_latency(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(analytics.stage_latency(bed.events(s, d)), "p50", "p95")
+
+
+@query
+def daily_error_rate(s: SparkSession, d: str) -> DataFrame:
+    rows = bed.events(s, d).withColumn("is_error", F.col("stage") == "error").withColumn("day", F.col("day").cast("string"))
+    return analytics.daily_error_rate(rows, "day", "is_error")
+
+
+@query
+def relevance_pct(s: SparkSession, d: str) -> DataFrame:
+    return analytics.relevance_percent(_dot(s, d)).select("query_id", "doc_id", "percent")
+
+
+# monitoring
+
+
+def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = bed.vectors(s, d)
+    return v.where("label < 5"), v.where("label >= 5")
+
+
+def _windows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = bed.turns(s, d)
+    return c.where("heading = 'user'").select("text"), c.where("heading = 'assistant'").select("text")
+
+
+@query
+def centroid_projection(s: SparkSession, d: str) -> DataFrame:
+    base, _ = _halves(s, d)
+    return _rounded(dense.project(bed.vectors(s, d).select("vec_id", "embedding"), dense.centroid(base)).select("vec_id", "x"), "x")
+
+
+@query
+def psi_embeddings(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(monitoring.guarded_drift(*_halves(s, d)), "psi")
+
+
+@query
+def psi_values(s: SparkSession, d: str) -> DataFrame:
+    e = bed.events(s, d)
+    got = monitoring.psi(e.where(F.col("day") < SPLIT_DAY), e.where(F.col("day") >= SPLIT_DAY), "duration_ms")
+    return _rounded(got.withColumn("severity", monitoring.severity(F.col("psi"))), "psi")
+
+
+@query
+def term_freq(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(monitoring.term_frequencies(bed.docs(s, d)).withColumn("freq", F.col("freq") * 1000), "freq")
+
+
+@query
+def term_shift(s: SparkSession, d: str) -> DataFrame:
+    """Terms whose share differs between languages: English against all others."""
+    docs = bed.table(s, d, "documents")
+    got = monitoring.top_shifts(monitoring.term_shift(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), 0.005))
+    return _rounded(got, "base_freq", "cur_freq", "delta")
+
+
+@query
+def new_terms(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.new_terms(*_windows(s, d))
+
+
+@query
+def dropped_terms(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.new_terms(*_windows(s, d)[::-1])
+
+
+@query
+def decline_streak(s: SparkSession, d: str) -> DataFrame:
+    got = monitoring.streaks(bed.daily(s, d))
+    return got.select("metric", "streak", "latest", F.col("day").cast("string").alias("day"), "regressing")
+
+
+@query
+def regression_alert(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.regression_alert(monitoring.streaks(bed.daily(s, d), alert=1))
+
+
+@query
+def feedback_summary(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.feedback_summary(bed.feedback(s, d))
+
+
+@query
+def worst_queries(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.worst_queries(bed.feedback(s, d))
+
+
+@query
+def feedback_weekly(s: SparkSession, d: str) -> DataFrame:
+    rows = bed.feedback(s, d).withColumn("created_at", F.col("ts").cast("timestamp"))
+    got = feedback_stream.weekly(rows)
+    return got.select(F.col("week_start").cast("string").alias("week_start"), "total", "up", "down", "down_rate", "alert")
+
+
+@query
+def drift_alert(s: SparkSession, d: str) -> DataFrame:
+    base, cur = _windows(s, d)
+    shifts = monitoring.term_shift(base, cur)
+    return monitoring.drift_alert(monitoring.guarded_drift(*_halves(s, d)), shifts, monitoring.regression_alert(monitoring.streaks(bed.daily(s, d))))
+
+
+# generated answers
+
+
+@query
+def citation_accuracy(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(judge.accuracy(bed.judgments(s, d)), "citation_accuracy")
+
+
+@query
+def citation_by_group(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(analytics.accuracy_by(bed.judgments(s, d), "query_id"), "accuracy")
+
+
+@query
+def citation_fanout_unretrieved(s: SparkSession, d: str) -> DataFrame:
+    """Citations: the documents that hold a query's passage; retrieved: its BM25 list."""
+    cited = bed.qrels(s, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("chunk_ids")).withColumn("claim", F.lit("passage"))
+    passages = _bm25(s, d, 5).join(bed.docs(s, d), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
+    return judge.fan_out(cited, passages).select("query_id", "chunk_id", "supported", "rationale")
+
+
+@query
+def ragas_dataset(s: SparkSession, d: str) -> DataFrame:
+    """Contexts of each query in order, as one digest and their number."""
+    ranked = _fused(s, d, n=3).join(bed.docs(s, d), "doc_id")
+    answers = bed.queries(s, d).select("query_id", F.col("query").alias("question"), F.lit(None).cast("string").alias("answer"))
+    got = judge.evaluation_set(answers, ranked)
+    return got.select("query_id", F.size("contexts").cast("long").alias("n"), F.sha2(F.array_join("contexts", "\n\n"), 256).alias("contexts_sha256"), "answer", "ground_truth")
+
+
+@query
+def answer_card(s: SparkSession, d: str) -> DataFrame:
+    """The card of each query: a citation for each of its first four fused documents."""
+    rows = _fused(s, d, n=4).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.struct(F.concat(F.lit("claim "), x["rank"].cast("string")).alias("claim"), F.array(x["doc_id"].cast("string")).alias("chunk_ids"))).alias("c")
+    )
+    return rows.select("query_id", judge.answer_card(F.col("c"), F.col("query_id").cast("string")).alias("card"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
