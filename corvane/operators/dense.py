@@ -32,11 +32,12 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
     The query set is a stated, checked size; each task scores it against its batches with one matrix product and sends on k rows for each query and
     batch, so what shuffles does not grow with the number of pairs. Null vectors are left out; k <= 0 gives no rows.
     """
-    rows = queries.select(query_id, vector).where(F.col(vector).isNotNull()).toPandas()
-    if sum(map(len, rows[vector])) > MAX_QUERY_NUMBERS:
+    asked = queries.select(query_id, vector).where(F.col(vector).isNotNull())
+    if (asked.agg(F.sum(F.size(vector))).first()[0] or 0) > MAX_QUERY_NUMBERS:
         raise ValueError("the query set is too large to send to every executor; search it in parts")
+    rows = asked.toPandas()
     ids = rows[query_id].to_numpy()
-    q = np.array([np.asarray(v, dtype=float) for v in rows[vector]]).reshape(len(ids), -1)
+    q = np.array([np.asarray(v, dtype=float) for v in rows[vector]])
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-8) if len(ids) else q
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
