@@ -42,20 +42,23 @@ def _bucket(value: Column, bounds: tuple[float, ...]) -> Column:
     return found
 
 
-def _shape(text: Column, distinct: Column, n: Column) -> list[Column]:
-    """The bucket number of each shape feature, in the order of ``BUCKETS``."""
-    size = F.greatest(F.length(text), F.lit(1))
-    count = F.greatest(n, F.lit(1))
-    value = {
-        "symbols": _count(text, "#*$%&<>") / size,
-        "marks": _count(text, "!") / size,
-        "bars": _count(text, "|") / size,
-        "capitals": (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))) / size,
-        "word_length": size / count,
-        "distinct": F.size(distinct) / count,
-        "words": n.cast("double"),
-    }
-    return [_bucket(value[k], b) for k, b in BUCKETS.items()]
+def _shape(text: Column, distinct: Column, n: Column) -> Column:
+    """An array of the bucket numbers of the shape features, in the order of ``BUCKETS``. Each count is taken once."""
+    counts = F.struct(
+        F.length(text).alias("size"), _count(text, "#*$%&<>").alias("symbols"), _count(text, "!").alias("marks"), _count(text, "|").alias("bars"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).alias("capitals"), F.size(distinct).alias("distinct"), n.alias("words"),
+    )
+
+    def shares(c: Column) -> Column:
+        size, words = F.greatest(c["size"], F.lit(1)), F.greatest(c["words"], F.lit(1))
+        value = {k: c[k] / size for k in ("symbols", "marks", "bars", "capitals")}
+        value |= {"word_length": size / words, "distinct": c["distinct"] / words, "words": c["words"].cast("double")}
+        return F.array(*[value[k] for k in BUCKETS])
+
+    def buckets(v: Column) -> Column:
+        return F.array(*[_bucket(F.get(v, F.lit(i)), b) for i, b in enumerate(BUCKETS.values())])
+
+    return let(let(counts, shares), buckets)
 
 
 @dataclass
@@ -84,21 +87,22 @@ class Classifier:
             def by_distinct(d: Column) -> Column:
                 known = F.array(*map(F.lit, self.lexicon)) if self.lexicon else F.array().cast("array<string>")
                 at = F.transform(F.array_intersect(d, known), lambda x: F.array_position(known, x).cast("int"))
-                shape = _shape(F.coalesce(text, F.lit("")), d, F.size(w))
+                state = F.struct(at.alias("at"), _shape(F.coalesce(text, F.lit("")), d, F.size(w)).alias("shape"))
 
-                def scores(a: Column) -> Column:
+                def scores(x: Column) -> Column:
                     out = []
                     for k, prior in enumerate(self.priors):
-                        total = F.aggregate(a, F.lit(float(prior)), adding(numbers(self.word_logs[k])))
-                        for f, bucket in enumerate(shape):
-                            total = total + F.get(numbers(self.shape_logs[k][f]), bucket)
+                        total = F.aggregate(x["at"], F.lit(float(prior)), adding(numbers(self.word_logs[k])))
+                        for f, logs in enumerate(self.shape_logs[k]):
+                            total = total + F.get(numbers(logs), F.get(x["shape"], F.lit(f)))
                         out.append(total)
                     return F.array(*out)
 
                 def soft(s: Column) -> Column:
-                    return let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
+                    raised = let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+                    return let(raised, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda t: F.transform(e, lambda x: x / t)))
 
-                return F.struct(F.size(w).cast("long").alias("tokens"), let(let(at, scores), soft).alias("p"))
+                return F.struct(F.size(w).cast("long").alias("tokens"), let(let(state, scores), soft).alias("p"))
 
             return let(F.array_distinct(w), by_distinct)
 
@@ -118,9 +122,9 @@ def train_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col:
     few = few.groupBy(id_col).agg(F.min("domain").alias("domain"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), id_col).select(
-        "domain", let(_words(text), lambda w: let(F.array_distinct(w), lambda d: F.struct(d.alias("d"), *[b.alias(k) for k, b in zip(BUCKETS, _shape(text, d, F.size(w)), strict=True)]))).alias("x")
+        "domain", let(_words(text), lambda w: let(F.array_distinct(w), lambda d: F.struct(d.alias("d"), _shape(text, d, F.size(w)).alias("shape")))).alias("x")
     )
-    rows = stored(rows.select("domain", "x.*"), "labelled")
+    rows = stored(rows.select("domain", "x.d", *[F.get("x.shape", F.lit(i)).alias(k) for i, k in enumerate(BUCKETS)]), "labelled")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     domains = sorted(sizes) or ["all"]
     total = max(1, sum(sizes.values()))
@@ -147,63 +151,87 @@ def train_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col:
     return Classifier(domains, priors, words, word_logs, shape_logs)
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, max_rate: float | None = None, rounds: int = 60, close: float = 1e-3) -> DataFrame:
-    """Adds ``rate``: nonnegative rates whose expected domain token totals match the targets.
+def rate_of(p: Column, offsets: list[list[float]], max_rate: float | None = None) -> Column:
+    """The rate that the steps of ``fit_steps`` give to a document with posteriors ``p``."""
+
+    def step(rate: Column, off: Column) -> Column:
+        moved = F.greatest(rate - F.aggregate(F.zip_with(p, off, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+        return moved if max_rate is None else F.least(moved, F.lit(float(max_rate)))
+
+    if not offsets:
+        return F.lit(1.0)
+    return F.aggregate(F.array(*[F.array(*map(F.lit, o)) for o in offsets]), F.lit(1.0), step)
+
+
+def fit_steps(
+    members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, max_rate: float | None = None, rounds: int = 60, close: float = 1e-3
+) -> list[list[float]]:
+    """The steps to nonnegative rates whose expected domain token totals match the targets; ``rate_of`` takes them.
 
     ``members`` has tokens and p (an array in the order of ``domains``). Minimises the sum over domains of (sum of rate * tokens * p - target)^2 / present,
-    where present is a domain's total at rate 1, by projected gradient steps from rate 1 in the metric of the documents' tokens: each round sums the totals over all documents in one
-    distributed aggregate (as many numbers as domains), and moves every rate against the sum of p times the relative residuals, not below 0 and not above
+    where present is a domain's total at rate 1, by projected gradient steps from rate 1 in the metric of the documents' tokens: each round sums the totals over all
+    documents in one distributed aggregate (as many numbers as domains), and moves every rate against the sum of p times the relative residuals, not below 0 and not above
     ``max_rate``. Ends when every total is within ``close`` of its target or nothing moves. A domain that no document
-    belongs to can't be reached and is left out; an empty text has no tokens and keeps what its posterior gives. ``total`` is by default that of the input.
+    belongs to can't be reached and is left out. ``total`` is by default that of the input. Step lengths are Barzilai and Borwein's, from
+    the domains' Gram matrix over all documents; the steps end with the round that came closest.
     """
     k = len(domains)
+    base, rate = members.select("tokens", "p"), F.lit(1.0)
     sums = [F.sum(F.col("tokens") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    have = members.agg(*sums).first()
+    have = base.agg(*sums, *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+    gram = [[float(have[f"g{i}_{j}"] or 0.0) for j in range(k)] for i in range(k)]
+    product = lambda x, y: sum(x[i] * gram[i][j] * y[j] for i in range(k) for j in range(k))
     present = [float(have[i] or 0.0) for i in range(k)]
     whole = sum(present) if total is None else float(total)
     scale = sum(weights.get(d, 0.0) for d in domains) or 1.0
     target = [whole * weights.get(d, 0.0) / scale for d in domains]
-    rate, base, steps = F.lit(1.0), members, 0
-    now, before = present, None
-    for _ in range(rounds):
-        off = [(now[i] - target[i]) / present[i] if present[i] > 0 else 0.0 for i in range(k)]
-        if all(abs(now[i] - target[i]) <= close * max(target[i], 1.0) for i in range(k) if present[i] > 0):
-            break
-        if before is not None and max(abs(a - b) for a, b in zip(now, before, strict=True)) <= 1e-9 * max(1.0, whole):
-            break
-        moved = rate - sum((F.get("p", F.lit(i)) * float(off[i]) for i in range(k)), F.lit(0.0))
-        rate = F.greatest(moved, F.lit(0.0))
+    gap = lambda totals: [(totals[i] - target[i]) / present[i] if present[i] > 0 else 0.0 for i in range(k)]
+    loss = lambda totals: sum(present[i] * x * x for i, x in enumerate(gap(totals)))
+    offsets: list[list[float]] = []
+    now, length, last, best = present, 1.0, None, (loss(present), 0)
+    while len(offsets) < rounds and any(abs(now[i] - target[i]) > close * max(target[i], 1.0) for i in range(k) if present[i] > 0):
+        off = gap(now)
+        if last is not None:
+            change = [a - b for a, b in zip(last, off, strict=True)]
+            curve = product(last, change)
+            length = min(max(length * product(last, last) / curve, 0.5), 50.0) if curve > 0 else 1.0
+        last = off
+        offsets.append([length * x for x in off])
+        rate = F.greatest(rate - sum((F.get("p", F.lit(i)) * x for i, x in enumerate(offsets[-1])), F.lit(0.0)), F.lit(0.0))
         if max_rate is not None:
             rate = F.least(rate, F.lit(float(max_rate)))
-        steps += 1
-        if steps % KEPT_STEPS == 0:
-            base = stored(base.select(*members.columns, rate.alias("_rate")), "rates")
-            rate = F.col("_rate")
+        if len(offsets) % KEPT_STEPS == 0:
+            base, rate = stored(base.select("tokens", "p", rate.alias("rate")), "rates"), F.col("rate")
         got = base.agg(*[F.sum(rate * F.col("tokens") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
         before, now = now, [float(got[i] or 0.0) for i in range(k)]
-    return base.select(*members.columns, rate.alias("rate"))
+        best = min(best, (loss(now), len(offsets)))
+        if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= 1e-7 * max(1.0, whole):
+            break
+    return offsets[: best[1]]
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-    total_share: float | None = None, max_rate: float | None = None,
+    total_share: float | None = None, max_rate: float | None = None, columns: list[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """``docs`` with tokens, p, rate and copies, and the names of the domains in the order of p.
+    """``columns`` of ``docs`` (all by default) with tokens, p, rate and copies, and the names of the domains in the order of p.
 
     copies is the whole part of rate, plus one with the probability of the rest, decided by a digest of the identifier: the same in every run. With ``max_rate`` 1 it is 0 or 1.
-    ``total_share`` gives the target's total as a share of the input's tokens (1 by default). Other columns pass through; columns of these four names are
-    replaced. Repeated rows are documents of their own; a null identifier is one like any other. An empty table gives an empty result.
+    ``total_share`` gives the target's total as a share of the input's tokens (1 by default). Columns of these four names are
+    replaced. Repeated rows are documents of their own; a null identifier is one like any other; an empty text has no tokens and the rate of its
+    posterior. An empty table gives an empty result.
     """
     model = train_classifier(docs, labels, domain, id_col, text_col)
-    own = [c for c in docs.columns if c not in ("tokens", "p", "rate", "copies")]
-    members = docs.select(*own, model.posteriors(F.col(text_col)).alias("_m")).select(*own, "_m.tokens", "_m.p")
+    own = [c for c in columns or docs.columns if c not in ("tokens", "p", "rate", "copies")]
+    members = docs.select(*own, F.col(id_col).alias("_id"), model.posteriors(F.col(text_col)).alias("_m")).select(*own, "_id", "_m.tokens", "_m.p")
     members = stored(members, "members")
     total = None
     if total_share is not None:
         total = total_share * float(members.agg(F.sum("tokens")).first()[0] or 0)
-    out = fit_rates(members, model.domains, weights, total, max_rate)
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("long")), model.domains
+    steps = fit_steps(members, model.domains, weights, total, max_rate)
+    chance = F.pmod(F.xxhash64(F.col("_id"), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
+    out = members.withColumn("rate", rate_of(F.col("p"), steps, max_rate)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return out.drop("_id"), model.domains
 
 
 def label_domain() -> Column:

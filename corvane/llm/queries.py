@@ -52,7 +52,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens, the posterior of each domain, rate and copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed, domains = mix(docs, table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS)
+    mixed, domains = mix(docs, table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS, columns=["doc_id"])
     return mixed.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
 
 
