@@ -327,8 +327,8 @@ def all_sql() -> dict[str, str]:
             SELECT *, drifted OR shifted_terms > 0 OR is_regressing AS alert FROM z""",
         "citation_accuracy": f"WITH {_JUDGED} SELECT round(coalesce(avg(supported::INT), 0), 6) AS citation_accuracy FROM jd",
         "citation_by_group": f"WITH {_JUDGED} SELECT query_id, count(*) FILTER (WHERE supported) AS supported, count(*) AS total, round(count(*) FILTER (WHERE supported) / count(*), 6) AS accuracy FROM jd GROUP BY query_id",
-        "citation_fanout_unretrieved": f"""WITH {_SCORES}, {_QRELS} SELECT q.query_id, q.doc_id AS chunk_id, CASE WHEN b.doc_id IS NULL THEN false END AS supported,
-            CASE WHEN b.doc_id IS NULL THEN 'cited chunk_id not found in retrieved passages' END AS rationale
+        "citation_fanout_unretrieved": f"""WITH {_SCORES}, {_QRELS} SELECT q.query_id, q.doc_id AS chunk_id, CASE WHEN b.doc_id IS NULL THEN 'unsupported' ELSE 'to be judged' END AS verdict,
+            CASE WHEN b.doc_id IS NULL THEN 'cited chunk_id not found in retrieved passages' ELSE '' END AS rationale
             FROM qrels q LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) b ON q.query_id = b.query_id AND q.doc_id = b.doc_id""",
         "ragas_dataset": f"""WITH {_SCORES}, {_fuse(60, 3)}
             SELECT query_id, count(*) AS n, sha256(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS contexts_sha256, '' AS answer, '' AS ground_truth

@@ -534,7 +534,8 @@ def citation_fanout_unretrieved(s: SparkSession, d: str) -> DataFrame:
     """Citations: the documents that hold a query's passage; retrieved: its BM25 list."""
     cited = bed.qrels(s, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("chunk_ids")).withColumn("claim", F.lit("passage"))
     passages = _bm25(s, d, 5).join(bed.docs(s, d), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
-    return judge.fan_out(cited, passages).select("query_id", "chunk_id", "supported", "rationale")
+    verdict = F.when(F.col("supported").isNull(), "to be judged").otherwise("unsupported")
+    return judge.fan_out(cited, passages).select("query_id", "chunk_id", verdict.alias("verdict"), F.coalesce("rationale", F.lit("")).alias("rationale"))
 
 
 @query
