@@ -61,5 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, in buckets by ``key``: later joins on the key with as many partitions move the other side only."""
+    at = uuid.uuid4().hex
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/corvane-{name}-{at}").saveAsTable(f"corvane_{name}_{at}", format="parquet")
+    return df.sparkSession.table(f"corvane_{name}_{at}")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
