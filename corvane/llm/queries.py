@@ -81,7 +81,7 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corvane-warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, min_bytes=0)
-    return capture_digests(transactions(read_archive(spark, path)))
+    return capture_digests(transactions(read_archive(spark, path, bodies=False)))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

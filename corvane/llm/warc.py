@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ CAPTURES_PER_FILE = 20_000
 BROADCAST_GROUPS = 500_000
 SALTS = 32
 
-RECORD = "file string, place long, record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http string, payload binary"
+RECORD = "file string, place long, record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http string, payload_bytes long, payload_sha1 string, payload binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -103,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows.write.option("compression", "gzip").option("lineSep", END + END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
 
 
-def _records(name: str, content: bytes) -> Iterator[tuple]:
+def _records(name: str, content: bytes, bodies: bool = True) -> Iterator[tuple]:
     """The records of one archive, one after another; a block's length comes from its header, so any bytes may stand in it."""
     source = io.BytesIO(content)
     stream = gzip.GzipFile(fileobj=source) if content[:2] == b"\x1f\x8b" else source
@@ -125,14 +127,17 @@ def _records(name: str, content: bytes) -> Iterator[tuple]:
             first, gap, payload = block.partition(b"\r\n\r\n")
             http = first.decode("utf-8", "replace")
         digest = head.get("warc-payload-digest")
+        sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        kept = payload if bodies or head.get("warc-type") != "response" else None
         yield (name, place, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-concurrent-to"), head.get("warc-refers-to"),
-               head.get("warc-target-uri"), digest.removeprefix("sha1:") if digest else None, http, payload)
+               head.get("warc-target-uri"), digest.removeprefix("sha1:") if digest else None, http, len(payload), sha1, kept)
         place += 1
 
 
-def read_archive(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, batch_bytes: int = 8 << 20, bodies: bool = True) -> DataFrame:
     """One row for each record of the WARC files (plain or gzip) in ``path``.
 
+    payload_bytes and payload_sha1 are taken from the whole payload as it is read; without ``bodies`` the payloads of responses are measured so and not sent on.
     Files are dealt to tasks by Spark's ``binaryFile`` reader, so any store that Spark reads will do; a task holds one compressed file and
     sends rows on in batches of about ``batch_bytes``. A damaged archive fails the read.
     """
@@ -143,9 +148,9 @@ def read_archive(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows: list[tuple] = []
                 held = 0
-                for r in _records(name, bytes(content)):
+                for r in _records(name, bytes(content), bodies):
                     rows.append(r)
-                    held += len(r[-1])
+                    held += len(r[-1] or b"") + 200
                     if held >= batch_bytes:
                         yield pd.DataFrame(rows, columns=names)
                         rows, held = [], 0
@@ -162,7 +167,7 @@ def transactions(records: DataFrame) -> DataFrame:
     WARC-Concurrent-To, in order of place, empty where there is none. Records that name no capture, or one that the
     archive lacks, are left out, as are captures without an identifier. Repeated identifiers stay repeated rows.
     """
-    whole = F.struct("file", "place", "record_id", "type", "refers_to", "target_uri", "payload_digest", "http", "payload")
+    whole = F.struct("file", "place", "record_id", "type", "refers_to", "target_uri", "payload_digest", "http", "payload_bytes", "payload_sha1", "payload")
     captures = records.where(F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull()).select("record_id", whole.alias("capture"))
     beside = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     part = F.struct("file", "place", "record_id", "http", "payload")
@@ -178,7 +183,8 @@ def transactions(records: DataFrame) -> DataFrame:
 def capture_digests(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures.
 
-    The page comes from the metadata record; the size of a revisit's payload from its HTTP header.
+    The page comes from the metadata record; a response's size and digest are those of the payload that was read, a revisit's
+    those of its headers, as it has no payload.
     """
     def page(urn: Column) -> Column:
         return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?\d+):", 1), F.lit("")).cast("long")
@@ -188,7 +194,7 @@ def capture_digests(captures: DataFrame) -> DataFrame:
     revisit = F.col("capture.type") == "revisit"
     return captures.select(
         F.nullif(field, F.lit("")).cast("long").alias("page_id"),
-        F.when(revisit, size.cast("long")).otherwise(F.octet_length("capture.payload").cast("long")).alias("payload_bytes"),
-        F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"),
+        F.when(revisit, size.cast("long")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("capture.payload_digest")).otherwise(F.col("capture.payload_sha1")).alias("payload_digest"), F.col("capture.type").alias("record_type"),
         F.when(revisit, page(F.col("capture.refers_to"))).alias("refers_to"),
     )

@@ -40,6 +40,7 @@ def test_round_trip(spark: SparkSession, tmp_path: Path, min_bytes: int, limit:
     captures = transactions(records).cache()
     assert captures.where("size(requests) <> 1 or size(metadata) <> 1").count() == 0
     got = sorted((tuple(r) for r in capture_digests(captures).collect()), key=str)
+    assert got == sorted((tuple(r) for r in capture_digests(transactions(read_archive(spark, path, bodies=False))).collect()), key=str)
     want = expected(min_bytes)
     # of repeated rows exactly one is the response; a lone null identifier is a response
     twice = [r for r in want if r[0] == 6]
@@ -59,7 +60,7 @@ def test_damage_fails_and_empty_is_empty(spark: SparkSession, tmp_path: Path) ->
 
 
 def test_assembly_by_concurrent_to(spark: SparkSession) -> None:
-    row = lambda i, kind, to: ("f", 0, i, kind, to, None, None, None, None, None)
+    row = lambda i, kind, to: ("f", 0, i, kind, to, None, None, None, None, 0, None, None)
     rows = [row("<r>", "response", None), row("<q>", "request", "<r>"), row("<m>", "metadata", "<r>"), row("<m2>", "metadata", "<r>"), row("<l>", "request", "<lost>"), row("<s>", "revisit", None), row(None, "response", None), row("<w>", "warcinfo", None)]
     got = {r["record_id"]: (len(r["requests"]), len(r["metadata"])) for r in transactions(spark.createDataFrame(rows, warc.RECORD)).collect()}
     assert got == {"<r>": (1, 2), "<s>": (0, 0)}
