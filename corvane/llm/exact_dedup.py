@@ -56,9 +56,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(*own, F.col(id_col).alias("_id"), norm.alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
     salt = F.when(F.col("_sha").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(HOT_SALTS))) if hot else F.lit(None).cast("long")
     keyed = keyed.withColumn("_salt", F.coalesce(salt, F.lit(0).cast("long"))).withColumn("_head", F.substring("_norm", 1, SPLITTER_CHARS))
-    # Ranges of (_head, _salt) are finer than the window's keys: no second exchange follows.
-    same = Window.partitionBy("_head", "_salt", "_norm")
-    ranged = keyed.repartitionByRange(parts, "_head", "_salt")
+    # Ranges of (_head, _sha, _salt) are coarser than the window's keys: no second exchange follows. The digest parts texts with one beginning.
+    same = Window.partitionBy("_head", "_sha", "_salt", "_norm")
+    ranged = keyed.repartitionByRange(parts, "_head", "_sha", "_salt")
     near = (
         ranged.withColumn("_n", F.count(F.lit(1)).over(same))
         .withColumn("_nth", F.row_number().over(same.orderBy(first)))
