@@ -96,4 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": oracles.EXACT_DEDUP, "op6_url_filter": oracles.url_filter(RULES, SPAM_LABELS), "op9_warc": oracles.WARC, "op2_quality_rules": oracles.QUALITY}
+    return {
+        "op1_ngram_jaccard": oracles.JACCARD, "op2_quality_rules": oracles.QUALITY, "op5_exact_dedup": oracles.EXACT_DEDUP,
+        "op6_url_filter": oracles.url_filter(RULES, SPAM_LABELS), "op9_warc": oracles.WARC,
+    }
