@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import shared_dir, stored
@@ -16,8 +16,9 @@ from corvane.llm.wordhash import chunks, mix, shingles
 BROADCAST_ROWS = 1_000_000
 #: Ways into which the rows of one class are dealt when its component is joined back.
 SALTS = 16
-#: Rounds in which each posting list is compared with one of its members before all its pairs are.
-HUB_ROUNDS = 3
+#: At most so many rounds compare each posting list with HUBS of its members before all its pairs are compared; none where lists hold
+#: no more than FEW_PAIRS pairs a posting.
+HUB_ROUNDS, HUBS, FEW_PAIRS = 8, 3, 16
 
 
 def _least(n, num: int, den: int):
@@ -62,17 +63,24 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _screened(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The classes (key) whose ``low`` shares enough shingles with other classes to have a partner at all."""
-    rows = classes.select("key", "n", F.explode("low").alias("h"))
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    found = rows.join(shared, "h").groupBy("key", "n").agg(F.count(F.lit(1)).alias("common"))
+def _screened(slim: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The classes (key, doc_id) whose ``low`` shares enough shingles with other classes to have a partner at all.
+
+    Rows of a shingle meet once, in one shuffle of two numbers a row, which the count of classes and the join both use. All
+    copies of a class bring the same shingles, so its count is divided by its copies. A class is told by a 64-bit digest here: should two
+    share one, both only pass more easily.
+    """
+    cid = F.xxhash64("key").alias("cid")
+    rows = slim.where("key is not null and doc_id is not null").select(cid, F.explode("low").alias("h")).repartition("h")
+    shared = rows.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
+    found = rows.join(shared, "h").groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
     least_partner = F.ceil(F.lit(num) * F.col("n") / F.lit(den))  # the smallest size that a partner can have
-    return found.where(F.col("common") >= F.greatest(F.lit(1), F.floor(least_partner / F.lit(20)))).select("key")
+    known = classes.select("key", "doc_id", "n", "copies", cid).join(found, "cid")
+    return known.where(F.col("met") / F.col("copies") >= F.greatest(F.lit(1), F.floor(least_partner / F.lit(20)))).select("key", "doc_id")
 
 
-def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """key, n, members (all shingles), and the prefixes first, rare and other under three global orders.
+def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Keys by sid (a number for each set), and profiles: sid, n, members (all shingles), and the prefixes first, rare and other under three global orders.
 
     The orders are: by digest; rarest first (by how many of ``chosen`` have a shingle, then by digest); and by a second digest. Shingles that
     no other set has come first in the second order, take their places in the prefix and are then left out of it.
@@ -87,36 +95,42 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
                 yield pd.DataFrame(found, columns=["key", "members"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(texts.join(chosen, "doc_id").select("key", "text").mapInPandas(run, "key binary, members array<long>").dropDuplicates(["key"]), "sets")
-    rows = sets.select("key", F.explode("members").alias("h"))
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = rows.join(shared, "h").groupBy("key").agg(F.collect_list("h").alias("hs"), F.collect_list("df").alias("dfs"))
+    found = texts.join(chosen, "doc_id").select("key", "text").mapInPandas(run, "key binary, members array<long>")
+    sets = stored(found.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once; repeated rows are sets that link
+    rows = sets.select("sid", F.explode("members").alias("h")).repartition("h")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    # the two lists of a set are filled row by row, so they stay in step
+    counted = rows.join(shared, "h", "left").groupBy("sid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.coalesce("df", F.lit(1))).alias("dfs"))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, members, hs, dfs in zip(batch["key"], batch["members"], batch["hs"], batch["dfs"], strict=True):
-                m = np.sort(np.asarray(members, dtype=np.int64).view(np.uint64))
-                n = len(m)
-                df = np.ones(n, dtype=np.int64)
-                df[np.searchsorted(m, np.asarray(hs, dtype=np.int64).view(np.uint64))] = dfs
-                p = n - _least(n, num, den) + 1
+            for sid, hs, dfs in zip(batch["sid"], batch["hs"], batch["dfs"], strict=True):
+                m = np.asarray(hs, dtype=np.int64).view(np.uint64)
+                order = np.argsort(m)
+                m, df = m[order], np.asarray(dfs, dtype=np.int64)[order]
+                p = len(m) - _least(len(m), num, den) + 1
                 pre = (np.arange(p), np.lexsort((m, df))[:p], np.argsort(mix(m, 9), kind="stable")[:p])
                 first, rare, other = (m[i][df[i] > 1].view(np.int64) for i in pre)
                 if len(first) and len(rare) and len(other):
-                    out.append((key, n, m.view(np.int64), first, rare, other))
-            yield pd.DataFrame(out, columns=["key", "n", "members", "first", "rare", "other"])
+                    out.append((sid, len(m), m.view(np.int64), first, rare, other))
+            yield pd.DataFrame(out, columns=["sid", "n", "members", "first", "rare", "other"])
 
-    return stored(
-        sets.join(known, "key").mapInPandas(prefixes, "key binary, n long, members array<long>, first array<long>, rare array<long>, other array<long>"),
-        "profiles",
-    )
+    schema = "sid long, n long, members array<long>, first array<long>, rare array<long>, other array<long>"
+    return sets.select("sid", "key"), stored(counted.mapInPandas(prefixes, schema), "profiles")
 
 
 def _linked(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) that pass the filters of all orders, and then the full comparison."""
-    side = {x: profiles.select(*[F.col(c).alias(f"{c}_{x}") for c in profiles.columns]) for x in "ab"}
-    cut = pairs.join(side["a"], F.col("a") == F.col("key_a")).join(side["b"], F.col("b") == F.col("key_b"))
+    """Those of ``pairs`` (a, b: numbers of sets) that pass the filters of all orders, and then the full comparison.
+
+    Sets are far larger than pairs, so while pairs are few they go to the sets: only one set of each pair and the sets it meets are shuffled.
+    """
+    pairs = stored(pairs, "pairs")
+    side = {x: profiles.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "members", "first", "rare", "other")]) for x in "ab"}
+    met = pairs.select(F.col("b").alias("sid_b")).distinct()
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs, met = F.broadcast(pairs), F.broadcast(met)
+    cut = side["a"].join(pairs, F.col("a") == F.col("sid_a")).join(side["b"].join(met, "sid_b", "left_semi"), F.col("b") == F.col("sid_b"))
     cut = cut.where(_sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
     for order in ("first", "rare", "other"):
         cut = cut.where(F.arrays_overlap(f"{order}_a", f"{order}_b"))
@@ -149,39 +163,49 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _unsettled(posts: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """How many pairs of different labels the posting lists hold (a pair counts in each list), and how many postings there are."""
+    by = posts.join(labels, "sid").groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = by.groupBy("h").agg(F.sum("c").alias("d"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    got = lists.agg(F.sum((F.col("d") * F.col("d") - F.col("q")) / 2).alias("pairs"), F.sum("d").alias("n")).first()
+    return int(got["pairs"] or 0), int(got["n"] or 0)
+
+
 def _all_links(profiles: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
     """Links that connect all that any links connect.
 
-    A posting list holds the sets with one shingle in their rare-first prefix. All pairs of a list would grow with the square of
-    a group of near copies. So for some rounds each list's sets are compared with one of them only (a hub, another each round), and what
-    links gets one label. Then all pairs of a list that still have different labels are compared: few, as a group has one label by then. No pair is
-    left out but those already connected, so components come out whole. A pair in several lists counts once, at the least shingle they share.
+    A posting list holds the sets with one shingle in their rare-first prefix. All pairs of a list grow with the square of
+    a group of near copies. So while lists hold far more pairs than postings, some members of each list are its hubs (others each round), every
+    set is compared with them, and what links gets one label. Then all pairs of a list that still have different labels are compared:
+    few, as a group has one label by then. No pair is left out but those already connected, so components come out whole. A
+    pair in several lists counts once, at the least shingle they share.
     """
-    posts = stored(profiles.select("key", "n", "first", "rare", "other", F.explode("rare").alias("h")), "postings")
-    labels = profiles.select("key", F.col("key").alias("label"))
+    posts = stored(profiles.select("sid", F.explode("rare").alias("h")), "postings")
+    labels = profiles.select("sid", F.col("sid").alias("label"))
     links = None
     for r in range(rounds):
-        # a list goes on only while it has two labels
-        slim = posts.select("key", "h").join(labels, "key")
-        hubs = slim.groupBy("h").agg(
-            F.min_by(F.struct("key", "label"), F.xxhash64(F.lit(r), "key")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low <> high").select("h", "hub")
-        pairs = slim.join(hubs, "h").where("label <> hub.label").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-        new = stored(_linked(pairs, profiles, num, den), "links")
+        pairs, postings = _unsettled(posts, labels)
+        if pairs <= FEW_PAIRS * postings:
+            break
+        slim = posts.join(labels, "sid")
+        some = [F.min_by(F.struct("sid", "label"), F.xxhash64(F.lit(HUBS * r + i), "sid")) for i in range(HUBS)]
+        hubs = slim.groupBy("h").agg(F.array(*some).alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high"))
+        hubs = hubs.where("low <> high").select("h", F.explode("hubs").alias("hub"))
+        met = slim.join(hubs, "h").where("label <> hub.label").groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        order = Window.partitionBy("a").orderBy(F.desc("lists"), "b")
+        chosen = met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS).select("a", "b")
+        new = stored(_linked(chosen, profiles, num, den), "links")
         links = new if links is None else links.unionByName(new)
-        labels = profiles.select("key").join(components(links), F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("label"))
+        labels = profiles.select("sid").join(components(links), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("label"))
         labels = stored(labels, "setlabels")
-    slim = posts.join(labels, "key")
+    slim = posts.join(labels, "sid")
     mixed = slim.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    slim = slim.join(mixed, "h")
-    left = slim.select("h", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "label", "first", "rare", "other")])
-    right = slim.select(F.col("h").alias("g"), *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "label", "first", "rare", "other")])
+    rest = slim.join(mixed, "h").join(profiles.select("sid", "n", "rare"), "sid")
+    left = rest.select("h", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "label", "rare")])
+    right = rest.select(F.col("h").alias("g"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "label", "rare")])
     once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("h")
-    met = (
-        (F.col("h") == F.col("g")) & (F.col("label_a") < F.col("label_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den)
-        & once & F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("other_a", "other_b")
-    )
-    pairs = left.join(right, met).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    met = (F.col("h") == F.col("g")) & (F.col("label_a") < F.col("label_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den) & once
+    pairs = left.join(right, met).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
     new = stored(_linked(pairs, profiles, num, den), "links")
     return new if links is None else links.unionByName(new)
 
@@ -205,17 +229,16 @@ def jaccard_components(
     shared_dir(spark)
     slim = stored(_sets(docs, id_col, text_col, size, num, den), "shinglesets")
     usable = slim.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, "classes")
-    lows = usable.join(classes.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("key", "n", "low").dropDuplicates(["key"])
-    chosen = stored(_screened(lows, num, den).join(classes, "key").select("key", "doc_id"), "chosen")
+    classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    chosen = stored(_screened(slim, classes, num, den), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     # the identifier finds the text again; where rows share it, the digest of the set says which one is meant
-    profiles = _profiles(docs, chosen, id_col, text_col, size, num, den)
+    keys, profiles = _profiles(docs, chosen, id_col, text_col, size, num, den)
     roots = components(_all_links(profiles, num, den, rounds))
-    known = classes.join(roots, F.col("key") == F.col("node"), "left").where("copies > 1 or root is not null")
-    known = known.select("key", F.coalesce("root", "key").alias("root"), "doc_id")
+    roots = keys.join(roots, F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root"))
+    known = classes.join(roots, "key", "left").where("copies > 1 or root is not null")
+    known = known.select("key", F.coalesce(F.col("root").cast("string"), F.hex("key")).alias("root"), "doc_id")
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = known.join(least, "root").select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = slim.select("doc_id", "n", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm import ngram_jaccard
 from corvane.llm.ngram_jaccard import components, jaccard_components
 from corvane.llm.wordhash import shingles, words
 from tests.llm.conftest import awkward_rows, prose
@@ -69,8 +70,16 @@ def test_chains_groups_and_shared_passages(spark: SparkSession) -> None:
         assert got(jaccard_components(df, size=size, num=num)) == brute(rows, size, num)
 
 
-def test_no_hub_rounds_gives_the_same(awkward: DataFrame) -> None:
-    assert got(jaccard_components(awkward, rounds=0)) == got(jaccard_components(awkward, rounds=3))
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_hub_rounds_change_nothing(spark: SparkSession, few: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(ngram_jaccard, "FEW_PAIRS", few)
+    r, base, rows = random.Random(8), prose(3, 140).split(), []
+    for i in range(60):
+        v = list(base)
+        for _ in range(r.randint(1, 6)):
+            v[r.randrange(len(v))] = f"y{i}"
+        rows.append((i, " ".join(v)))
+    assert got(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 3, 90)
 
 
 def test_empty(nothing: DataFrame) -> None:
