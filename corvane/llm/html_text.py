@@ -131,33 +131,41 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _runs(size: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, highest block) of each run of non-zero blocks."""
+    block = [sum(size[i : i + window]) for i in range(len(size))]
+    out = []
+    i = 0
+    while i < len(block):
+        dive = i
+        while dive < len(block) and block[dive]:
+            dive += 1
+        if dive > i:
+            out.append((i, dive, max(block[i:dive])))
+        i = dive + 1
+    return out
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
     """The text between surge and dive points of the line-block distribution.
 
     Block i is the text length of lines i .. i + window - 1. The text starts at the first line of a run of
     non-zero blocks that reaches ``surge`` characters and ends where the distribution dives to zero. Where the page has
-    an ``article`` or ``main`` element with text, runs outside it are left out and every run inside it counts, however short.
+    an ``article`` or ``main`` element with text, runs inside and outside are told apart: if no run outside that reaches
+    ``surge`` is larger than the largest inside, every run inside counts, however short, and no other; else the
+    element does not hold the main text, and the distribution over all lines decides as if it were not there.
     """
     if not page:
         return ""
     lines = lines_of(page)
-    if any(a and t for t, a in lines):
-        lines, surge = [(t, a) if a else ("", a) for t, a in lines], 1
     size = [len(t) for t, _ in lines]
-    block = [sum(size[i : i + window]) for i in range(len(size))]
-    kept: list[str] = []
-    i = 0
-    while i < len(block):
-        if not block[i]:
-            i += 1
-            continue
-        dive = i
-        while dive < len(block) and block[dive]:
-            dive += 1
-        if max(block[i:dive]) >= surge:
-            kept.extend(t for t, _ in lines[i:dive] if t)
-        i = dive
-    return " ".join(kept)
+    inside = [n if a else 0 for n, (_, a) in zip(size, lines, strict=True)]
+    if any(inside):
+        outside = [n - m for n, m in zip(size, inside, strict=True)]
+        rival = max((sum(outside[i:dive]) for i, dive, top in _runs(outside, window) if top >= surge), default=0)
+        if rival <= max(sum(inside[i:dive]) for i, dive, _ in _runs(inside, window)):
+            size, surge = inside, 1
+    return " ".join(t for i, dive, top in _runs(size, window) if top >= surge for (t, _), n in zip(lines[i:dive], size[i:dive], strict=True) if n)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = 3, surge: int = 40) -> DataFrame:

@@ -18,6 +18,15 @@ def test_without_an_article_element() -> None:
     assert main_text(page) == f"Title {LONG} Next <b> end. i j"
 
 
+def test_the_larger_run_outside_an_article_survives() -> None:
+    teaser = "<article><h3>Read this too</h3></article>"
+    assert main_text(f"<body><nav>n</nav><div><p>{LONG}<p>{LONG}</div><nav>n</nav>{teaser}") == f"{LONG} {LONG}"  # a short run dives
+    assert main_text(f"<div><p>{LONG}{teaser}<p>End.</div>") == f"{LONG} Read this too End."  # one run, nothing parts it
+    assert main_text(f"<main><p>{LONG}</main><nav>n</nav><div><p>{LONG}<p>{LONG}</div>") == f"{LONG} {LONG} {LONG}"
+    assert main_text(f"<div>{LONG}</div><article><p>{LONG}<p>One<nav>n</nav><p>Two</article>") == f"{LONG} One Two"  # the article is the larger
+    assert main_text("<div>Not much text here, 37 characters.</div><article>Less</article>") == "Less"  # no surge outside
+
+
 def test_broken_and_empty_pages() -> None:
     assert main_text(None) == main_text("") == main_text("<nav>only a menu") == ""
     assert main_text("<article>cut of<b>f <p class='ad'>buy</p>here<") == "cut off here<"
