@@ -18,7 +18,7 @@ from corvane.llm.common import shared_dir, table
 from corvane.llm.exact_dedup import content_sort
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
-from corvane.llm.packing import pack
+from corvane.llm.packing import added_tokens, pack
 from corvane.llm.quality_lines import quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,7 +55,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of ``CAPACITY`` tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, CAPACITY)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, CAPACITY, added=added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

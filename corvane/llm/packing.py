@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -21,16 +22,23 @@ END_ID = 0
 _AT_BORDER = re.compile(r" \s|\s ")
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The strings that a tokenizer's json file takes as one token wherever they stand, with their ids."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class CachedEncoder:
     """Encodes texts with a byte-level BPE vocabulary; equal words are encoded once.
 
     ``vocabulary`` is a file of ranks (base64 token, id on each line), the same vocabulary as the tokenizer's json file.
     The tokenizer's pattern starts a new piece at a single space between other characters, so no token spans such a
     space and a text's ids are those of its space-led words, one after another. Texts with other white space beside a space are
-    encoded whole. Strings of special tokens are ordinary text.
+    encoded whole. A text is first split at the strings of ``added``: each is its one id, and what stands between two of them is a text
+    of its own. Without ``added`` such strings are ordinary text.
     """
 
-    def __init__(self, vocabulary: str, pattern: str) -> None:
+    def __init__(self, vocabulary: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import base64
 
         import tiktoken
@@ -39,12 +47,23 @@ class CachedEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._kept: dict[str, bytes] = {}
+        self._added = {t: np.array([i], dtype="<u4").tobytes() for t, i in (added or {}).items()}
+        self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
+        if not any(t in text for t in self._added):
+            return self._encode_between(text)
+        out, at = [], 0
+        for m in self._cut.finditer(text):
+            out += [self._encode_between(text[at : m.start()]), self._added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._encode_between(text[at:])])
+
+    def _encode_between(self, text: str) -> bytes:
         if not text or _AT_BORDER.search(text) or text[0] == " " or text[-1] == " ":
             return self._encode(text)
         kept, out = self._kept, []
@@ -60,7 +79,7 @@ class CachedEncoder:
         return b"".join(out)
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces of at most ``capacity`` tokens.
 
     A document is its ids, then ``END_ID``; null text is empty. Only longer ones are cut: the first piece is the remainder (or full),
@@ -68,7 +87,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = CachedEncoder(vocabulary, pattern)
+        encoder = CachedEncoder(vocabulary, pattern, added)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows, ids = [], batch["doc_id"].array
@@ -170,10 +189,10 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
     return runs, bins
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece: best-fit decreasing over all pieces.
 
-    The tokens of a sequence have no gap from offset 0. Repeated rows, rows that share an identifier and a null identifier are packed as documents of
+    Strings of ``added`` are one token each. The tokens of a sequence have no gap from offset 0. Repeated rows, rows that share an identifier and a null identifier are packed as documents of
     their own. An empty table gives an empty result. Executors hold one batch of texts; the driver sees how many pieces each length has
     (at most ``capacity`` numbers). A piece's place follows from its rank among those of its length: ranks are counted within
     slices of the documents, so that no task needs all pieces of a frequent length, and slices are joined by prefix sums.
@@ -181,7 +200,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, i
     spark = docs.sparkSession
     shared_dir(spark)
     slices = shuffle_width(spark)
-    found = stored(pieces(docs, vocabulary, pattern, capacity, id_col, text_col), "pieces")
+    found = stored(pieces(docs, vocabulary, pattern, capacity, id_col, text_col, added), "pieces")
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     runs, _ = best_fit_decreasing(counts, capacity)
     places: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)

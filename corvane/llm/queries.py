@@ -16,7 +16,7 @@ from corvane.llm.exact_dedup import content_sort
 from corvane.llm.html_text import extract
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
-from corvane.llm.packing import pack
+from corvane.llm.packing import added_tokens, pack
 from corvane.llm.quality_lines import quality
 from corvane.llm.url_filter import Rule, judge_urls, spam_listing
 from corvane.llm.warc import capture_digests, read_archive, transactions, write_archive
@@ -69,7 +69,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048, added=added)
 
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

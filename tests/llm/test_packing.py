@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,13 +13,18 @@ from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from corvane.llm.packing import CachedEncoder, Capacities, best_fit_decreasing, pack
+from corpus_pipeline import packing_stage
+from corvane.llm.packing import CachedEncoder, Capacities, added_tokens, best_fit_decreasing, pack
+from corvane.llm.queries import op7_packing
 from tests.llm.conftest import awkward_rows, prose
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 ENCODER = CachedEncoder(RANKS, PATTERN)
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 REFERENCE.encode_special_tokens = True
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+WITH_ADDED = CachedEncoder(RANKS, PATTERN, added_tokens(JSON))
+AS_GIVEN = Tokenizer.from_file(JSON)  # no switch set: strings of added tokens are one token
 
 
 def one_by_one(items: list[int], capacity: int) -> list[int]:
@@ -70,6 +76,22 @@ def test_cached_words_give_the_tokenizers_ids(text: str) -> None:
     assert np.frombuffer(ENCODER.encode(text), dtype="<u4").tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "<", "|>", " ", "  ", "\n", "a", "b c", "é", "'s", "1"]), max_size=12))
+def test_added_tokens_are_one_id(parts: list[str]) -> None:
+    text = "".join(parts)
+    assert np.frombuffer(WITH_ADDED.encode(text), dtype="<u4").tolist() == AS_GIVEN.encode(text, add_special_tokens=False).ids
+
+
+def test_query_packs_added_tokens(spark: SparkSession, tmp_path: Path) -> None:
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no <|endoftext| > here", "x  <|endoftext|><|endoftext|>\n"]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op7_packing(spark, str(tmp_path)).collect(), packing_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()):
+        got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows}
+        ids = [[*AS_GIVEN.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert got == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_pack_awkward_rows(awkward: DataFrame, capacity: int) -> None:
     got = [r.asDict() for r in pack(awkward, RANKS, PATTERN, capacity).collect()]
