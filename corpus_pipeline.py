@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: each stage works on what the one before it kept.
 
-Stages, in order: quality rules (rejected documents go), exact dedup (the largest identifier of equal texts stays), n-gram Jaccard join
+Stages, in order: quality rules (rejected documents and failing lines of the others go), exact dedup (the largest identifier of equal texts stays), n-gram Jaccard join
 (five-word shingles, similarity 0.8; one document of each group stays), mixing to target weights (documents are thinned, none repeated) and best-fit
 packing. All but the last return the columns of ``documents``.
 """
@@ -19,7 +19,7 @@ from corvane.llm.exact_dedup import content_sort
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.packing import added_tokens, pack
-from corvane.llm.quality_lines import quality
+from corvane.llm.quality_lines import cleaned_text, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Target shares of tokens by domain. Clean text wants more than there is, so its rate stays at the bound of 1 and none of it goes.
@@ -28,8 +28,9 @@ CAPACITY = 2048
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality rules keep."""
-    return quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    """Keeps the documents that the quality rules keep, without the lines that fail; ``n_chars`` is that of the text left."""
+    kept = quality(docs.select(*COLUMNS)).where("kept").withColumn("text", cleaned_text(F.col("text")))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,6 @@ def quality(docs: DataFrame, text_col: str = "text", rules: LineRules | None = N
 
 
 def cleaned_text(text: Column, rules: LineRules | None = None) -> Column:
-    """``text`` without the lines that fail (line order and line ends stay)."""
+    """``text`` without the lines that fail (line order, line ends and blank lines stay)."""
     rules = rules or LineRules()
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~_line_fails(x, rules)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.btrim(x, F.lit(SPACE)) == "") | ~_line_fails(x, rules)), "\n")

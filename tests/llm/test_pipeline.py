@@ -68,6 +68,13 @@ def test_stages(spark: SparkSession, folder: str) -> None:
     assert kept
 
 
+def test_quality_stage_removes_failing_lines(spark: SparkSession) -> None:
+    a, b = text(1, 60), text(2, 60)
+    docs = spark.createDataFrame([(1, f"Home\n{a}\n\nCookies | Login\n{b}\n", "en", "s", 7), (2, f"{a}\n \n{b}", "en", "s", 7), (3, f"{a}\n" + "Home\n" * 500, "en", "s", 7)], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.quality_stage(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in ((1, f"{a}\n\n{b}\n"), (2, f"{a}\n \n{b}"))}
+
+
 def test_run_packs_what_is_left(spark: SparkSession, folder: str) -> None:
     got = cp.run(spark, folder).collect()
     ids = {r["doc_id"] for r in got}
