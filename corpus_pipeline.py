@@ -22,7 +22,7 @@ from corvane.llm.packing import added_tokens, pack
 from corvane.llm.quality_lines import cleaned_text, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Target shares of tokens by domain. Clean text wants more than there is, so its rate stays at the bound of 1 and none of it goes.
+#: Target shares of tokens by domain. The total is raised where clean text would want less than there is, so that its target is never below what is present.
 MIX_WEIGHTS = {"clean": 0.98, "rough": 0.015, "toxic": 0.005}
 CAPACITY = 2048
 
@@ -50,7 +50,7 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thins the documents to the target weights, each at its rate (0 to 1)."""
-    mixed, _ = mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS, max_rate=1.0)
+    mixed, _ = mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS, max_rate=1.0, whole="clean")
     return mixed.where("copies > 0").select(*COLUMNS)
 
 

@@ -212,12 +212,13 @@ def fit_steps(
 
 def mix(
     docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-    total_share: float | None = None, max_rate: float | None = None, columns: list[str] | None = None,
+    total_share: float | None = None, max_rate: float | None = None, columns: list[str] | None = None, whole: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """``columns`` of ``docs`` (all by default) with tokens, p, rate and copies, and the names of the domains in the order of p.
 
     copies is the whole part of rate, plus one with the probability of the rest, decided by a digest of the identifier: the same in every run. With ``max_rate`` 1 it is 0 or 1.
-    ``total_share`` gives the target's total as a share of the input's tokens (1 by default). Columns of these four names are
+    ``total_share`` gives the target's total as a share of the input's tokens (1 by default); it is raised where the target of the domain
+    ``whole`` would be less than that domain's tokens. Columns of these four names are
     replaced. Repeated rows are documents of their own; a null identifier is one like any other; an empty text has no tokens and the rate of its
     posterior. An empty table gives an empty result.
     """
@@ -228,6 +229,11 @@ def mix(
     total = None
     if total_share is not None:
         total = total_share * float(members.agg(F.sum("tokens")).first()[0] or 0)
+    if whole in model.domains and weights.get(whole, 0.0) > 0:
+        held = F.sum(F.col("tokens") * F.get("p", F.lit(model.domains.index(whole))))
+        tokens, held_tokens = (float(x or 0) for x in members.agg(F.sum("tokens"), held).first())
+        scale = sum(weights.get(d, 0.0) for d in model.domains)
+        total = max(tokens if total is None else total, held_tokens * scale / weights[whole])
     steps = fit_steps(members, model.domains, weights, total, max_rate)
     chance = F.pmod(F.xxhash64(F.col("_id"), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
     out = members.withColumn("rate", rate_of(F.col("p"), steps, max_rate)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))

@@ -75,6 +75,19 @@ def test_quality_stage_removes_failing_lines(spark: SparkSession) -> None:
     assert got == {i: (t, len(t)) for i, t in ((1, f"{a}\n\n{b}\n"), (2, f"{a}\n \n{b}"))}
 
 
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_mixing_keeps_an_all_clean_table(spark: SparkSession, tmp_path: Path, toxic: int) -> None:
+    d = str(tmp_path)
+    clean = [(i, text(i, 80), "en", "s", 1) for i in range(2000)]
+    spark.createDataFrame(clean, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(0, 2000, 2)] + [(9000 + i, 0, toxic * (i % 2)) for i in range(20)]
+    rough = [(9000 + i, "zz ## | " * 30, "en", "s", 1) for i in range(20)]  # so that rough and toxic are known, with few tokens
+    docs = spark.createDataFrame(clean + rough, SCHEMA)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    kept = {r["doc_id"] for r in cp.mixing_stage(spark, docs, d).collect()}
+    assert {r[0] for r in clean} <= kept
+
+
 def test_run_packs_what_is_left(spark: SparkSession, folder: str) -> None:
     got = cp.run(spark, folder).collect()
     ids = {r["doc_id"] for r in got}
