@@ -22,6 +22,24 @@ def metrics(ranked: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (3, 5, 10
     query = keys[-1]
     place = Window.partitionBy(*keys).orderBy("rank", doc_id)
     rows = ranked.withColumn("pos", F.row_number().over(place)).join(qrels.select(query, doc_id, "label"), [query, doc_id], "left")
+    best = Window.partitionBy(query).orderBy(F.desc("label"))
+    return _measured(rows, qrels.withColumn("pos", F.row_number().over(best)), ks, k, keys)
+
+
+def labelled_metrics(rows: DataFrame, counts: DataFrame, ks: tuple[int, ...] = (3, 5, 10), k: int = 10, query: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+    """``metrics`` of ranked rows that have their label (null is 0); ``counts`` has query, label and n, how many the query has of that label.
+
+    No pair of a query and an unranked document is made: of ``counts``, at most k rows of each label are.
+    """
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy("rank", doc_id)))
+    few = counts.where("n > 0").select(query, "label", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("nth"))
+    best = Window.partitionBy(query).orderBy(F.desc("label"))
+    return _measured(rows, few.withColumn("pos", F.row_number().over(best)), ks, k, (query,))
+
+
+def _measured(rows: DataFrame, placed: DataFrame, ks: tuple[int, ...], k: int, keys: tuple[str, ...]) -> DataFrame:
+    """The measures of ``rows`` (keys, pos, label) against the ideal lists ``placed`` (query, pos, label)."""
+    query = keys[-1]
     rows = rows.withColumn("label", F.coalesce("label", F.lit(0)))
     cut = F.col("pos") <= k
     agg = [
@@ -30,8 +48,7 @@ def metrics(ranked: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (3, 5, 10
     agg.append(F.min(F.when(F.col("label") > 0, F.col("pos"))).alias("first"))
     agg += [(F.sum(F.when((F.col("pos") <= n) & (F.col("label") > 0), 1).otherwise(0)) / F.least(F.lit(n), F.count(F.lit(1)))).alias(f"prec_at_{n}") for n in ks]
     got = rows.groupBy(*keys).agg(*agg)
-    best = Window.partitionBy(query).orderBy(F.desc("label"))
-    ideal = qrels.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k).groupBy(query).agg(
+    ideal = placed.where(F.col("pos") <= k).groupBy(query).agg(
         *[F.sum(_gain(F.col("label"), e) / F.log2(F.col("pos") + 1.0)).alias(n) for n, e in (("idcg", False), ("idcg_exp", True))]
     )
     out = got.join(ideal, query, "left")

@@ -273,7 +273,7 @@ def rerank_rank1(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def dense_metrics(s: SparkSession, d: str) -> DataFrame:
-    got = metrics.metrics(_dense(s, d), bed.vector_qrels(s, d), doc_id="vec_id")
+    got = metrics.labelled_metrics(bed.vector_labels(s, d, _dense(s, d)), bed.vector_counts(s, d), doc_id="vec_id")
     return _rounded(got, "ndcg", "ndcg_exp", "mrr", "prec_at_3", "prec_at_5", "prec_at_10")
 
 

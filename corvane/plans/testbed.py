@@ -36,11 +36,20 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
-def vector_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the query's label are relevant (1), the query's own vector most (2)."""
-    asked = vector_queries(spark, sf_dir).select("query_id", "label")
-    rows = vectors(spark, sf_dir).select("vec_id", "label").join(asked, "label")
-    return rows.select("query_id", F.col("vec_id"), F.when(F.col("vec_id") == F.col("query_id"), 2).otherwise(1).alias("label"))
+def vector_labels(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """``ranked`` with label: vectors of the query's label are relevant (1), the query's own vector most (2), others 0."""
+    asked = vector_queries(spark, sf_dir).select("query_id", F.col("label").alias("asked"))
+    rows = ranked.join(vectors(spark, sf_dir).select("vec_id", F.col("label").alias("own")), "vec_id", "left").join(asked, "query_id", "left")
+    relevant = F.when(F.col("vec_id") == F.col("query_id"), 2).otherwise(1)
+    return rows.withColumn("label", F.when(F.col("own") == F.col("asked"), relevant).otherwise(0)).drop("own", "asked")
+
+
+def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, label, n: how many vectors of each relevance a query has."""
+    sizes = vectors(spark, sf_dir).groupBy("label").count()
+    asked = vector_queries(spark, sf_dir).select("query_id", "label").join(sizes, "label")
+    each = F.array(F.struct(F.lit(2).alias("label"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(1).alias("label"), (F.col("count") - 1).alias("n")))
+    return asked.select("query_id", F.explode(each).alias("x")).select("query_id", "x.label", "x.n")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

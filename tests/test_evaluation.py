@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import agreement, judge, metrics
+from corvane.plans import testbed as bed
 
 
 def measured(spark: SparkSession, ranked: str, labels: dict[str, int], k: int = 10, ks: tuple[int, ...] = (3, 5, 10)) -> dict:
@@ -86,3 +89,19 @@ def test_fan_out_and_accuracy(spark: SparkSession) -> None:
     done = judge.judged(judge.fan_out(cited, passages), F.lit(True))
     assert judge.accuracy(done).first()[0] == 0.5 and judge.accuracy(done.limit(0)).first()[0] == 0.0
     assert judge.metrics_for([None, ""]) == ["faithfulness", "answer_relevancy"] and len(judge.metrics_for(["t"])) == 3
+
+
+def test_labelled_metrics_equal_metrics_without_all_pairs(spark: SparkSession, tmp_path: Path) -> None:
+    r = random.Random(5)
+    vectors = [(i, [1.0], r.choice([0, 0, 1, None])) for i in range(400)] + [(500, [1.0], 9)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d, asked = str(tmp_path), [i for i, *_ in vectors if i % 100 == 0]
+    ranked = spark.createDataFrame([(q, v, n) for q in asked for n, v in enumerate(r.sample(range(400), 12), 1)], "query_id long, vec_id long, rank int")
+    labels = {i: x for i, _, x in vectors}
+    pairs = [(q, v, 1 + (q == v)) for q in asked for v in labels if labels[v] is not None and labels[v] == labels[q]]
+    want = metrics.metrics(ranked, spark.createDataFrame(pairs, "query_id long, vec_id long, label int"), doc_id="vec_id")
+    rows, counts = bed.vector_labels(spark, d, ranked), bed.vector_counts(spark, d)
+    assert rows.count() == ranked.count() and counts.count() <= 2 * len(asked) < len(pairs)
+    got = metrics.labelled_metrics(rows, counts, doc_id="vec_id")
+    flat = lambda df: sorted([round(float(x), 9) for x in row] for row in df.collect())
+    assert flat(got) == flat(want) and got.columns == want.columns
