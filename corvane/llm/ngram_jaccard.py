@@ -6,19 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_dir, stored
+from corvane.llm.common import discard, shared_dir, shuffle_width, stored
 from corvane.llm.wordhash import chunks, mix, shingles
 
-#: Survivors of the screen whose identifiers are sent to every executor (40 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Ways into which the rows of one class are dealt when its component is joined back.
+#: Largest table of survivors of the screen, in bytes, that is sent to every executor (``CHOSEN_BYTES`` a row); a larger one is joined by shuffle.
+BROADCAST_BYTES, CHOSEN_BYTES = 64 << 20, 64
+#: Ways into which the rows of one class, or the sets that hold one shingle, are dealt when a table is joined back.
 SALTS = 16
-#: At most so many rounds compare each posting list with HUBS of its members before all its pairs are compared; none where lists hold
-#: no more than FEW_PAIRS pairs a posting.
-HUB_ROUNDS, HUBS, FEW_PAIRS = 8, 3, 16
+#: Rows drawn (about) to find shingles so frequent that one task should not hold them all.
+SAMPLE_ROWS = 200_000
+#: A block has about so many sets and shingles at most; two blocks are compared in one step of a task.
+BLOCK_SETS, BLOCK_SHINGLES = 128, 500_000
+#: Columns of one matrix product.
+WIDTH = 4096
 
 
 def _least(n, num: int, den: int):
@@ -28,7 +31,7 @@ def _least(n, num: int, den: int):
 
 def _screen_size(n: int) -> int:
     """How many common shingles the screen asks for, besides those a partner may lack."""
-    return max(1, n // 20)
+    return max(1, n // 10)
 
 
 def _key(s: np.ndarray) -> bytes | None:
@@ -41,19 +44,24 @@ def _key(s: np.ndarray) -> bytes | None:
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """doc_id, n (set size), key (128-bit digest of the set), low: the first shingles in digest order.
 
-    ``low`` has n - least(n) + screen(n) shingles: two sets that link share at least the smaller screen(n) of them.
+    ``low`` has n - least(n) + screen(n) shingles: two sets that link share at least the smaller screen(n) of them. Of copies that a task meets
+    only the first brings its ``low``, the others null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[bytes] = set()
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].tolist()
             for a, b in chunks(texts):
                 sizes, keys, lows = [], [], []
-                for s in shingles(texts[a:b], size):
-                    n = len(s)
+                for s, i in zip(shingles(texts[a:b], size), ids.iloc[a:b], strict=True):
+                    n, key = len(s), _key(s)
                     sizes.append(n)
-                    keys.append(_key(s))
-                    lows.append(s[: n - _least(n, num, den) + _screen_size(n)].view(np.int64) if n else s.view(np.int64))
+                    keys.append(key)
+                    first = key is not None and i is not None and key not in met
+                    lows.append(s[: n - _least(n, num, den) + _screen_size(n)].view(np.int64) if first else None)
+                    if first:
+                        met.add(key)
                 yield pd.DataFrame({"doc_id": ids.iloc[a:b].array, "n": sizes, "key": keys, "low": lows})
 
     kind = docs.schema[id_col].dataType
@@ -63,20 +71,38 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _hot(lists: DataFrame, column: str) -> list[int]:
+    """Shingles that hold more than half of a partition's share of a sample of the arrays in ``column``.
+
+    At most ``2 * width`` can pass, so the list is bounded by the width of the shuffle. Missing one only makes a task larger.
+    """
+    width = shuffle_width(lists.sparkSession)
+    total = lists.agg(F.sum(F.size(column))).first()[0] or 0
+    drawn = lists.select(F.explode(column).alias("h")).sample(fraction=min(1.0, SAMPLE_ROWS / max(total, 1)), seed=3)
+    least = max(20, min(total, SAMPLE_ROWS) // (2 * width))
+    found = drawn.groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(2 * width)
+    return [r["h"] for r in found.collect()]
+
+
 def _screened(slim: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The classes (key, doc_id) whose ``low`` shares enough shingles with other classes to have a partner at all.
 
-    Rows of a shingle meet once, in one shuffle of two numbers a row, which the count of classes and the join both use. All
-    copies of a class bring the same shingles, so its count is divided by its copies. A class is told by a 64-bit digest here: should two
+    Rows of a shingle meet once, in one shuffle of two numbers a row, which the count of classes and the join both use; hot shingles, which many
+    classes share, need not meet at all. A class that several tasks brought is counted so many times. It is told by a 64-bit digest here: should two
     share one, both only pass more easily.
     """
     cid = F.xxhash64("key").alias("cid")
-    rows = slim.where("key is not null and doc_id is not null").select(cid, F.explode("low").alias("h")).repartition("h")
-    shared = rows.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
-    found = rows.join(shared, "h").groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
+    brought = slim.where("low is not null")
+    rows, hot = brought.select(cid, F.explode("low").alias("h")), _hot(brought, "low")
+    cold = (rows.where(~F.col("h").isin(hot)) if hot else rows).repartition("h")
+    shared = cold.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
+    met = cold.join(shared, "h").select("cid")
+    if hot:
+        met = met.unionByName(rows.where(F.col("h").isin(hot)).select("cid"))
+    found = met.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
     least_partner = F.ceil(F.lit(num) * F.col("n") / F.lit(den))  # the smallest size that a partner can have
-    known = classes.select("key", "doc_id", "n", "copies", cid).join(found, "cid")
-    return known.where(F.col("met") / F.col("copies") >= F.greatest(F.lit(1), F.floor(least_partner / F.lit(20)))).select("key", "doc_id")
+    known = classes.select("key", "doc_id", "n", "brought", cid).join(found, "cid")
+    return known.where(F.col("met") / F.col("brought") >= F.greatest(F.lit(1), F.floor(least_partner / F.lit(10)))).select("key", "doc_id")
 
 
 def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -97,18 +123,22 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = texts.join(chosen, "doc_id").select("key", "text").mapInPandas(run, "key binary, members array<long>")
     sets = stored(found.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once; repeated rows are sets that link
-    rows = sets.select("sid", F.explode("members").alias("h")).repartition("h")
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    rows, hot = sets.select("sid", F.explode("members").alias("h")), _hot(sets, "members")
+    cold = (rows.where(~F.col("h").isin(hot)) if hot else rows).repartition("h")
+    counted = cold.join(cold.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "h")
+    if hot:
+        often = rows.where(F.col("h").isin(hot))
+        counted = counted.unionByName(often.join(F.broadcast(often.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"))), "h"))  # 2 * width rows at most
     # the two lists of a set are filled row by row, so they stay in step
-    counted = rows.join(shared, "h", "left").groupBy("sid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.coalesce("df", F.lit(1))).alias("dfs"))
+    counted = counted.groupBy("sid").agg(F.collect_list("h").alias("hs"), F.collect_list("df").alias("dfs"))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for sid, hs, dfs in zip(batch["sid"], batch["hs"], batch["dfs"], strict=True):
-                m = np.asarray(hs, dtype=np.int64).view(np.uint64)
-                order = np.argsort(m)
-                m, df = m[order], np.asarray(dfs, dtype=np.int64)[order]
+            for sid, members, hs, dfs in zip(batch["sid"], batch["members"], batch["hs"], batch["dfs"], strict=True):
+                m = np.asarray(members, dtype=np.int64).view(np.uint64)  # ascending
+                df = np.ones(len(m), dtype=np.int64)
+                df[np.searchsorted(m, np.asarray(hs, dtype=np.int64).view(np.uint64))] = dfs
                 p = len(m) - _least(len(m), num, den) + 1
                 pre = (np.arange(p), np.lexsort((m, df))[:p], np.argsort(mix(m, 9), kind="stable")[:p])
                 first, rare, other = (m[i][df[i] > 1].view(np.int64) for i in pre)
@@ -117,29 +147,9 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
             yield pd.DataFrame(out, columns=["sid", "n", "members", "first", "rare", "other"])
 
     schema = "sid long, n long, members array<long>, first array<long>, rare array<long>, other array<long>"
-    return sets.select("sid", "key"), stored(counted.mapInPandas(prefixes, schema), "profiles")
-
-
-def _linked(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: numbers of sets) that pass the filters of all orders, and then the full comparison.
-
-    Sets are far larger than pairs, so while pairs are few they go to the sets: only one set of each pair and the sets it meets are shuffled.
-    """
-    pairs = stored(pairs, "pairs")
-    side = {x: profiles.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "members", "first", "rare", "other")]) for x in "ab"}
-    met = pairs.select(F.col("b").alias("sid_b")).distinct()
-    if pairs.count() <= BROADCAST_ROWS:
-        pairs, met = F.broadcast(pairs), F.broadcast(met)
-    cut = side["a"].join(pairs, F.col("a") == F.col("sid_a")).join(side["b"].join(met, "sid_b", "left_semi"), F.col("b") == F.col("sid_b"))
-    cut = cut.where(_sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
-    for order in ("first", "rare", "other"):
-        cut = cut.where(F.arrays_overlap(f"{order}_a", f"{order}_b"))
-    both = F.size(F.array_intersect("members_a", "members_b"))
-    return cut.where(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-
-def _sizes_fit(n: Column, m: Column, num: int, den: int) -> Column:
-    return (den * F.least(n, m)) >= (num * F.greatest(n, m))
+    # a partner holds least(n) of a set's shingles, so sets with fewer that any other has are out before their members are fetched
+    able = counted.join(sets.select("sid", F.size("members").alias("n")), "sid").where(F.size("hs") >= F.ceil(F.lit(num) * F.col("n") / F.lit(den))).drop("n")
+    return sets.select("sid", "key"), stored(able.join(sets.select("sid", "members"), "sid").mapInPandas(prefixes, schema), "profiles")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,68 +161,169 @@ def components(links: DataFrame) -> DataFrame:
     ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     ways = stored(ways, "ways")
     labels = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    labels = stored(labels, "labels")
+    known = stored(labels, "labels")
+    labels = known.select("node", "root")
     while True:
         near = ways.join(labels, ways.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
         moved = lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("over", "root")).alias("root"), "was")
         moved = stored(moved, "labels")
-        labels = moved.select("node", "root")
+        discard(known)
+        known, labels = moved, moved.select("node", "root")
         if moved.where(F.col("root") != F.col("was")).isEmpty():
+            discard(ways)
             return labels
 
 
-def _unsettled(posts: DataFrame, labels: DataFrame) -> tuple[int, int]:
-    """How many pairs of different labels the posting lists hold (a pair counts in each list), and how many postings there are."""
-    by = posts.join(labels, "sid").groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
-    lists = by.groupBy("h").agg(F.sum("c").alias("d"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    got = lists.agg(F.sum((F.col("d") * F.col("d") - F.col("q")) / 2).alias("pairs"), F.sum("d").alias("n")).first()
-    return int(got["pairs"] or 0), int(got["n"] or 0)
+def _cells(profiles: DataFrame) -> DataFrame:
+    """sid, cell: the sets that rarest-first prefixes connect, directly or over others. Sets that link are in one cell.
+
+    Each shingle names a hub among the sets that hold it. Salted sub-hubs stand between, so that no join has all holders of a frequent shingle on one key.
+    """
+    salt = F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("salt")
+    posts = profiles.select("sid", F.explode("rare").alias("h"), salt)
+    near = posts.groupBy("h", "salt").agg(F.min("sid").alias("sub"))
+    edges = posts.join(near, ["h", "salt"]).select(F.col("sid").alias("a"), F.col("sub").alias("b"))
+    top = near.groupBy("h").agg(F.min("sub").alias("b"))
+    edges = edges.unionByName(near.join(top, "h").select(F.col("sub").alias("a"), "b"))
+    return components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
+
+
+def _common(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """How many members the sets before and after ``cut`` have in common, pair by pair, from products of 0-1 matrices of bounded width."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # members of one set only have no column
+    use = np.flatnonzero(times[place] > 1)
+    owner, place = owner[use], column[place[use]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((cut, len(sets) - cut), dtype=np.int64)
+    width = int(place[-1]) + 1 if len(place) else 0
+    for begin in range(0, width, WIDTH):
+        a, b = np.searchsorted(place, (begin, begin + WIDTH))
+        held = np.zeros((len(sets), min(WIDTH, width - begin)), dtype=np.float32)
+        held[owner[a:b], place[a:b] - begin] = 1
+        out += (held[:cut] @ held[cut:].T).astype(np.int64)
+    return out
+
+
+def _joined(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that connect more of them: at most one fewer than there are rows.
+
+    Pairs of one label are connected already. A candidate's sizes fit and it shares a prefix shingle under each of the three orders; only candidates are
+    compared in full.
+    """
+    cut, both = len(left), pd.concat([left, right], ignore_index=True)
+    n, label, sid = (both[c].to_numpy() for c in ("n", "label", "sid"))
+    fits = den * np.minimum.outer(n[:cut], n[cut:]) >= num * np.maximum.outer(n[:cut], n[cut:])
+    fits &= np.not_equal.outer(label[:cut], label[cut:])
+    for order in ("rare", "first", "other"):
+        if not fits.any():
+            return []
+        fits &= _common(both[order].tolist(), cut) > 0
+    rows, cols = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    if not len(rows):
+        return []
+    members = both["members"].tolist()
+    same = _common([members[i] for i in rows] + [members[cut + j] for j in cols], len(rows))
+    near = fits[np.ix_(rows, cols)] & (den * same >= num * (n[rows][:, None] + n[cut + cols][None, :] - same))
+    root = {x: x for x in label.tolist()}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = rows[i], cut + cols[j]
+        x, y = top(label[a]), top(label[b])
+        if x != y:
+            root[x] = y
+            out.append((int(sid[a]), int(sid[b])))
+    return out
+
+
+def _compared(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) found within each group of ``dealt``: cell, i, j (numbers of two blocks), block (which one a row is of), label and the profile.
+
+    Groups of one block are compared with themselves. A group is two blocks, so a task holds few sets at a time, and links leave it, never pairs.
+    """
+
+    def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
+        group = pd.concat(held, ignore_index=True)
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        found = _joined(group, group, num, den) if i == j else _joined(group[group["block"] == i], group[group["block"] == j], num, den)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        for batch in batches:
+            for key, rows in batch.groupby(["cell", "i", "j"], sort=False):  # rows come in order, so a group may only go on in the next batch
+                if key != last and held:
+                    yield flush(held)
+                    held = []
+                held.append(rows)
+                last = key
+        if held:
+            yield flush(held)
+
+    spread = dealt.repartition(shuffle_width(dealt.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    columns = ["cell", "i", "j", "block", "label", "sid", "n", "members", "first", "rare", "other"]
+    return spread.select(*columns).mapInPandas(run, "a long, b long")
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    return sets.join(components(links).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+
+
+def _block(blocks: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(blocks)).cast("int")
 
 
-def _all_links(profiles: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
+def _all_links(profiles: DataFrame, num: int, den: int) -> DataFrame:
     """Links that connect all that any links connect.
 
-    A posting list holds the sets with one shingle in their rare-first prefix. All pairs of a list grow with the square of
-    a group of near copies. So while lists hold far more pairs than postings, some members of each list are its hubs (others each round), every
-    set is compared with them, and what links gets one label. Then all pairs of a list that still have different labels are compared:
-    few, as a group has one label by then. No pair is left out but those already connected, so components come out whole. A
-    pair in several lists counts once, at the least shingle they share.
+    Sets that link are in one cell. A cell is dealt into blocks at random, and each block is compared with itself: small cells are one block and done
+    with that. Large ones are dealt anew once, so that what links widely gets one label. In cells that still have several labels, the sets outside
+    the largest label are compared with all others, block by block: pairs within the largest label are connected already, and no other pair is left out.
     """
-    posts = stored(profiles.select("sid", F.explode("rare").alias("h")), "postings")
-    labels = profiles.select("sid", F.col("sid").alias("label"))
-    links = None
-    for r in range(rounds):
-        pairs, postings = _unsettled(posts, labels)
-        if pairs <= FEW_PAIRS * postings:
-            break
-        slim = posts.join(labels, "sid")
-        some = [F.min_by(F.struct("sid", "label"), F.xxhash64(F.lit(HUBS * r + i), "sid")) for i in range(HUBS)]
-        hubs = slim.groupBy("h").agg(F.array(*some).alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high"))
-        hubs = hubs.where("low <> high").select("h", F.explode("hubs").alias("hub"))
-        met = slim.join(hubs, "h").where("label <> hub.label").groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-        order = Window.partitionBy("a").orderBy(F.desc("lists"), "b")
-        chosen = met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS).select("a", "b")
-        new = stored(_linked(chosen, profiles, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = profiles.select("sid").join(components(links), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("label"))
-        labels = stored(labels, "setlabels")
-    slim = posts.join(labels, "sid")
-    mixed = slim.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    rest = slim.join(mixed, "h").join(profiles.select("sid", "n", "rare"), "sid")
-    left = rest.select("h", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "label", "rare")])
-    right = rest.select(F.col("h").alias("g"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "label", "rare")])
-    once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("h")
-    met = (F.col("h") == F.col("g")) & (F.col("label_a") < F.col("label_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den) & once
-    pairs = left.join(right, met).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    new = stored(_linked(pairs, profiles, num, den), "links")
-    return new if links is None else links.unionByName(new)
-
-
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, rounds: int = HUB_ROUNDS
-) -> DataFrame:
+    cells = stored(_cells(profiles), "cells")
+    sizes = cells.join(profiles.select("sid", "n"), "sid").groupBy("cell").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    rows = cells.join(sizes.select("cell", blocks), "cell").select("sid", "cell", "blocks", F.col("sid").alias("label"))
+
+    def within(rows: DataFrame, seed: int) -> DataFrame:
+        own = _block("blocks", seed)
+        dealt = rows.select("sid", "cell", "label", own.alias("block"), own.alias("i"), own.alias("j"))
+        return stored(_compared(dealt.join(profiles, "sid"), num, den), "links")
+
+    links = within(rows, 0)
+    rows = stored(_labelled(rows.where("blocks > 1"), links), "setlabels")
+    open_cells = rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+    rows = stored(rows.join(open_cells, "cell"), "setlabels")
+    if rows.isEmpty():
+        return links
+    links = stored(links.unionByName(within(rows, 1)), "links")
+    rows = stored(_labelled(rows.drop("label"), links), "setlabels")
+    parts = rows.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("sets"))
+    whole = parts.groupBy("cell").agg(F.sum("sets").alias("all"), F.max(F.struct("sets", "label")).alias("most")).where(F.col("all") > F.col("most.sets"))
+    rest = rows.join(whole.select("cell", F.col("most.label").alias("largest"), F.col("most.sets").alias("most"), "all"), "cell")
+    # blocks 0 .. outer - 1 hold the sets outside the largest label, the following ones the sets within
+    share = F.col("blocks") / F.col("all")
+    rest = rest.withColumn("outer", F.ceil(share * (F.col("all") - F.col("most"))).cast("int")).withColumn("inner", F.ceil(share * F.col("most")).cast("int"))
+    inside = F.col("label") == F.col("largest")
+    rest = rest.withColumn("block", F.when(inside, F.col("outer") + _block("inner", 2)).otherwise(_block("outer", 2)))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))
+    rest = rest.withColumn("with", F.explode(others))
+    dealt = rest.select("sid", "cell", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return links.unionByName(stored(_compared(dealt.join(profiles, "sid"), num, den), "links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``: the components of links between similar texts.
 
     A text's set has its distinct shingles of ``size`` words, A-Z lower-cased; two texts link when den * common >= num * union. A row's
@@ -222,26 +333,30 @@ def jaccard_components(
     Shingles are compared by 64-bit digests.
 
     1. Screen (first order, by digest): a class without enough common shingles among its first ones has no partner.
-    2. Of what is left, prefixes under three global orders; candidates come from the rarest-first one and must meet under all three.
-    3. Candidates are compared in full; links give components.
+    2. Of what is left, prefixes under three global orders; the rarest-first ones part the sets into cells.
+    3. Within cells, pairs that share a prefix shingle under each of the three orders are compared in full, in blocks; links give components.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    slim = stored(_sets(docs, id_col, text_col, size, num, den), "shinglesets")
-    usable = slim.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    chosen = stored(_screened(slim, classes, num, den), "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
+    wide = stored(_sets(docs, id_col, text_col, size, num, den), "shinglesets")
+    slim = stored(wide.select("doc_id", "n", "key"), "setkeys")
+    usable = wide.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key")
+    classes = usable.agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.count("low").alias("brought"))
+    classes = stored(classes, "classes")
+    chosen = stored(_screened(wide, classes, num, den), "chosen")
+    discard(wide)
+    if chosen.count() * CHOSEN_BYTES <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
     # the identifier finds the text again; where rows share it, the digest of the set says which one is meant
     keys, profiles = _profiles(docs, chosen, id_col, text_col, size, num, den)
-    roots = components(_all_links(profiles, num, den, rounds))
-    roots = keys.join(roots, F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root"))
+    roots = components(_all_links(profiles, num, den))
+    roots = stored(keys.join(roots, F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root")), "roots")
+    discard(profiles)
     known = classes.join(roots, "key", "left").where("copies > 1 or root is not null")
     known = known.select("key", F.coalesce(F.col("root").cast("string"), F.hex("key")).alias("root"), "doc_id")
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = known.join(least, "root").select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = slim.select("doc_id", "n", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     rows = rows.join(known, ["key", "salt"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

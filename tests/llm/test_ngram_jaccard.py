@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import ngram_jaccard
 from corvane.llm.ngram_jaccard import components, jaccard_components
@@ -70,18 +71,28 @@ def test_chains_groups_and_shared_passages(spark: SparkSession) -> None:
         assert got(jaccard_components(df, size=size, num=num)) == brute(rows, size, num)
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_hub_rounds_change_nothing(spark: SparkSession, few: int, monkeypatch: pytest.MonkeyPatch) -> None:
-    monkeypatch.setattr(ngram_jaccard, "FEW_PAIRS", few)
+@pytest.mark.parametrize(("sets", "shingles_held"), [(1, 10**9), (7, 10**9), (128, 400)])
+def test_blocks_change_nothing(spark: SparkSession, sets: int, shingles_held: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", shingles_held)
+    monkeypatch.setattr(ngram_jaccard, "WIDTH", 64)
     r, base, rows = random.Random(8), prose(3, 140).split(), []
     for i in range(60):
         v = list(base)
         for _ in range(r.randint(1, 6)):
-            v[r.randrange(len(v))] = f"y{i}"
+            v[r.randrange(len(v))] = f"y{i % 20}"
         rows.append((i, " ".join(v)))
     assert got(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 3, 90)
 
 
+def test_hot_shingles_change_nothing(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rows = [(i, f"{prose(i // 2, 30)} {prose(99, 60)} {'w' + str(i) if i % 2 else ''}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_jaccard._hot(df.select(F.array(F.lit(5).cast("long"), F.col("doc_id")).alias("x")), "x") == [5]
+    monkeypatch.setattr(ngram_jaccard, "_hot", lambda lists, column: [r["h"] for r in lists.select(F.explode(column).alias("h")).groupBy("h").count().where("count > 10").collect()])
+    assert got(jaccard_components(df)) == brute(rows, 3, 90)
+
+
 def test_empty(nothing: DataFrame) -> None:
     assert jaccard_components(nothing).collect() == []
 
