@@ -20,6 +20,8 @@ SALTS = 16
 SAMPLE_ROWS = 200_000
 #: A block has about so many sets and shingles at most; two blocks are compared in one step of a task.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 500_000
+#: Rows of a table of links or labels that one file holds, and one task contracts, about.
+ROWS_PER_FILE = 100_000
 #: Columns of one matrix product.
 WIDTH = 4096
 
@@ -152,27 +154,62 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
     return sets.select("sid", "key"), stored(able.join(sets.select("sid", "members"), "sid").mapInPandas(prefixes, schema), "profiles")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node that ``links`` (a, b) reach from each node. Label propagation with pointer jumping.
+def _parts(rows: int) -> int:
+    """In how many files a narrow table of so many rows is kept."""
+    return 1 + rows // ROWS_PER_FILE
 
+
+def _contracted(links: DataFrame, parts: int) -> DataFrame:
+    """Links with the same components, fewer and shorter: each task replaces the links it holds by one from each node to the least node they reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches if len(b)]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b = place[: len(a)], place[len(a) :]
+        root, before = np.arange(len(nodes)), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            for end in (a, b):
+                np.minimum.at(root, end, low)
+                np.minimum.at(root, before[end], low)
+            root = root[root]
+        at = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pd.DataFrame({"a": nodes[at], "b": nodes[root[at]]})
+
+    return links.select("a", "b").where("a <> b").coalesce(parts).mapInPandas(run, "a long, b long")
+
+
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root: the least node that ``links`` (a, b) reach from each node. Contraction in tasks, then label propagation with pointer jumping.
+
+    A task contracts about ``ROWS_PER_FILE`` links, twice, the second time those with a common end together; propagation joins what different tasks found.
     Each round writes its labels to the shared folder, so a lost executor costs that round only. Rounds grow with the logarithm of
-    the longest chain. Nothing but one count comes to the driver.
+    the longest chain. Nothing but counts comes to the driver. ``rows`` is about how many links there are, if that is known.
     """
-    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-    ways = stored(ways, "ways")
+    parts = _parts(links.count() if rows is None else rows)
+    short = stored(_contracted(links, parts), "contracted")
+    if parts > 1:
+        again = stored(_contracted(short.repartition(parts, "b"), parts), "contracted")
+        discard(short)
+        short = again
+    ways = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    known = stored(labels, "labels")
+    known = stored(labels.coalesce(parts), "labels")
     labels = known.select("node", "root")
     while True:
         near = ways.join(labels, ways.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
         moved = lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("over", "root")).alias("root"), "was")
-        moved = stored(moved, "labels")
+        moved = stored(moved.coalesce(parts), "labels")
         discard(known)
         known, labels = moved, moved.select("node", "root")
         if moved.where(F.col("root") != F.col("was")).isEmpty():
-            discard(ways)
+            discard(short)
             return labels
 
 
@@ -187,7 +224,8 @@ def _cells(profiles: DataFrame) -> DataFrame:
     edges = posts.join(near, ["h", "salt"]).select(F.col("sid").alias("a"), F.col("sub").alias("b"))
     top = near.groupBy("h").agg(F.min("sub").alias("b"))
     edges = edges.unionByName(near.join(top, "h").select(F.col("sub").alias("a"), "b"))
-    return components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
+    held = profiles.agg(F.sum(F.size("rare"))).first()[0] or 0
+    return components(edges, held).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
 
 
 def _common(sets: list[np.ndarray], cut: int) -> np.ndarray:
@@ -291,24 +329,30 @@ def _all_links(profiles: DataFrame, num: int, den: int) -> DataFrame:
     with that. Large ones are dealt anew once, so that what links widely gets one label. In cells that still have several labels, the sets outside
     the largest label are compared with all others, block by block: pairs within the largest label are connected already, and no other pair is left out.
     """
+    narrow = _parts(profiles.count())
     cells = stored(_cells(profiles), "cells")
     sizes = cells.join(profiles.select("sid", "n"), "sid").groupBy("cell").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
     rows = cells.join(sizes.select("cell", blocks), "cell").select("sid", "cell", "blocks", F.col("sid").alias("label"))
+    rows = stored(rows.coalesce(narrow), "setblocks")
 
     def within(rows: DataFrame, seed: int) -> DataFrame:
         own = _block("blocks", seed)
         dealt = rows.select("sid", "cell", "label", own.alias("block"), own.alias("i"), own.alias("j"))
         return stored(_compared(dealt.join(profiles, "sid"), num, den), "links")
 
+    def still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The sets of large cells with several labels, with their labels by ``links``."""
+        rows = stored(_labelled(rows.where("blocks > 1").drop("label"), links).coalesce(narrow), "setlabels")
+        several = rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+        return stored(rows.join(several, "cell").coalesce(narrow), "setlabels")
+
     links = within(rows, 0)
-    rows = stored(_labelled(rows.where("blocks > 1"), links), "setlabels")
-    open_cells = rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-    rows = stored(rows.join(open_cells, "cell"), "setlabels")
+    rows = still_open(rows, links)
     if rows.isEmpty():
         return links
-    links = stored(links.unionByName(within(rows, 1)), "links")
-    rows = stored(_labelled(rows.drop("label"), links), "setlabels")
+    links = stored(links.unionByName(within(rows, 1)).coalesce(narrow), "links")
+    rows = still_open(rows, links)
     parts = rows.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("sets"))
     whole = parts.groupBy("cell").agg(F.sum("sets").alias("all"), F.max(F.struct("sets", "label")).alias("most")).where(F.col("all") > F.col("most.sets"))
     rest = rows.join(whole.select("cell", F.col("most.label").alias("largest"), F.col("most.sets").alias("most"), "all"), "cell")
