@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucketed, shared_dir, shuffle_width, stored
+from corvane.llm.common import bucketed, discard, shared_dir, shuffle_width, stored
 from corvane.llm.wordhash import chunks, mix, words
 
 #: Characters of text in one chunk; bounds a task's arrays.
@@ -29,7 +29,8 @@ END_CLASS, RARE_CLASS = 0, 1
 class BrownParams:
     classes: int = 24
     min_count: int = 12  # words seen less often are of the rare class
-    sweeps: int = 2  # passes over the corpus; each moves the words of one half
+    sweeps: int = 8  # passes over the corpus at most; each moves the words of one group
+    least_gain: float = 0.0005  # of the classes' likelihood: the exchange has converged when each group in turn gains less
     class_share: float = 0.6  # of the class model, the rest is the unigram base
     alpha: float = 1.0  # added to class transitions
 
@@ -129,13 +130,20 @@ def _lexicon(packed: DataFrame, p: BrownParams) -> DataFrame:
     return rows.groupBy("share").applyInPandas(merge, schema)
 
 
-def _moving(h: np.ndarray, cls: np.ndarray, half: int | None) -> np.ndarray:
-    """The frequent words of one half of the vocabulary."""
-    none = half is None
-    return np.zeros(len(h), dtype=bool) if none else (cls > RARE_CLASS) & ((mix(h, 7) & np.uint64(1)) == np.uint64(half))
+def _moving(h: np.ndarray, cls: np.ndarray, group: tuple[int, int] | None) -> np.ndarray:
+    """The frequent words of one group of the vocabulary: (which, of how many)."""
+    if group is None:
+        return np.zeros(len(h), dtype=bool)
+    return (cls > RARE_CLASS) & (mix(h, 7) % np.uint64(group[1]) == np.uint64(group[0]))
 
 
-def _looked_up(lexicon: DataFrame, half: int | None) -> DataFrame:
+def class_likelihood(moves: np.ndarray) -> float:
+    """The log likelihood of the training texts under the class bigrams, but for a constant that the words' counts alone decide."""
+    total = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+    return total(moves) - total(moves.sum(axis=1)) - total(moves.sum(axis=0))
+
+
+def _looked_up(lexicon: DataFrame, group: tuple[int, int] | None) -> DataFrame:
     """For each chunk one row: of its vocabulary, in order, the counts, the classes and whether a word may move (0x80 in its class)."""
 
     def reply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,10 +151,10 @@ def _looked_up(lexicon: DataFrame, half: int | None) -> DataFrame:
             for r in batch.itertuples(index=False):
                 h, c = np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype="<i8")
                 cls = np.frombuffer(r.cls, dtype=np.uint8)
-                cls = cls | (_moving(h, cls, half).astype(np.uint8) << np.uint8(7))
+                cls = cls | (_moving(h, cls, group).astype(np.uint8) << np.uint8(7))
                 ends = np.cumsum(np.asarray(r.sizes))
                 at = np.split(_opened(r.places), ends[:-1])
-                rows = [(k, r.share, cls[i].tobytes(), _squeezed(c[i]) if half is None else b"") for k, i in zip(r.chunks, at, strict=True)]
+                rows = [(k, r.share, cls[i].tobytes(), _squeezed(c[i]) if group is None else b"") for k, i in zip(r.chunks, at, strict=True)]
                 yield pd.DataFrame(rows, columns=["chunk", "share", "cls", "c"])
 
     rows = lexicon.select("share", "h", "c", "cls", "chunks", "sizes", "places").mapInPandas(reply, "chunk long, share int, cls binary, c binary")
@@ -188,8 +196,8 @@ def _transitions(packed: DataFrame, looked: DataFrame, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: np.ndarray, half: int, p: BrownParams) -> DataFrame:
-    """One exchange pass: each frequent word of one half moves to the class that makes its neighbours likeliest.
+def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: np.ndarray, group: tuple[int, int], p: BrownParams) -> DataFrame:
+    """One exchange pass: each frequent word of one group moves to the class that makes its neighbours likeliest.
 
     Tasks sum the classes to the left and right of each such word in their chunks; a shuffle by share of the lexicon sums them over the corpus;
     then log P(class | left) + log P(right | class) - n log size(class) is compared for all classes, under the counts of the classes as they stand.
@@ -220,7 +228,7 @@ def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: n
         for row in range(len(words_of)):  # one row a share
             r = words_of.iloc[row]
             h, cls = np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["cls"], dtype=np.uint8).copy()
-            moving = _moving(h, cls, half)
+            moving = _moving(h, cls, group)
             at = np.cumsum(moving) - 1
             got = np.zeros((int(moving.sum()), 2 * k))
             places = dict(zip(r["chunks"], np.split(_opened(r["places"]), np.cumsum(np.asarray(r["sizes"]))[:-1]), strict=True))
@@ -238,6 +246,37 @@ def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: n
     return lexicon.groupBy("share").cogroup(found.groupBy("share")).applyInPandas(choose, lexicon.schema)
 
 
+def _clustered(packed: DataFrame, lexicon: DataFrame, p: BrownParams) -> tuple[DataFrame, np.ndarray]:
+    """The lexicon after the exchange, and its class transitions.
+
+    Groups of words move in turn, each under the counts that the moves before it left. A pass after which the texts are less likely is undone, and the
+    groups are halved, as words that move at once may get in each other's way. So likelihood never falls; the exchange ends when each group in
+    turn gains less than ``least_gain`` of it, or after ``sweeps`` passes.
+    """
+    groups, nth, quiet = 2, 0, 0
+    looked = stored(_looked_up(lexicon, (0, groups)), "lmlooked")
+    moves = _transitions(packed, looked, p.classes)
+    for _ in range(p.sweeps):
+        changed = stored(_exchange(packed, looked, lexicon, moves, (nth % groups, groups), p), "lexicon")
+        after = (nth + 1) % groups, groups
+        seen = stored(_looked_up(changed, after), "lmlooked")
+        new = _transitions(packed, seen, p.classes)
+        gain = class_likelihood(new) - class_likelihood(moves)
+        discard(looked)
+        if gain < 0:
+            discard(seen)
+            discard(changed)
+            groups, nth, quiet = 2 * groups, 0, 0
+            looked = stored(_looked_up(lexicon, (0, groups)), "lmlooked")
+            continue
+        discard(lexicon)
+        quiet = quiet + 1 if gain <= p.least_gain * abs(class_likelihood(new)) else 0
+        lexicon, looked, moves, nth = changed, seen, new, nth + 1
+        if quiet == groups:
+            break
+    return lexicon, moves
+
+
 def _scores(packed: DataFrame, looked: DataFrame, moves: np.ndarray, rare: int, total: int, distinct: int, p: BrownParams) -> DataFrame:
     """The columns of ``score`` for each document."""
     smooth = moves + p.alpha
@@ -270,7 +309,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     The model learns from the rows whose ``held_out`` (a boolean Column) is false or null. Tokens are words, A-Z lower-cased, then one end for each text; null text is
     empty, so it is one end. base_score is the add-one unigram log10 probability over training tokens, with one share for all unknown words. score mixes it with
-    P(class | class before) * P(word | class): exchange clustering assigns the words seen often enough to classes, in passes over the whole corpus. perplexity is 10 ** (-score / n_tokens).
+    P(class | class before) * P(word | class): exchange clustering assigns the words seen often enough to classes, in passes over the whole corpus until it converges. perplexity is 10 ** (-score / n_tokens).
     Both are proper distributions. Repeated rows and a null identifier are texts like any other. An empty table gives an empty result.
 
     Counts of words, classes around words and class transitions are sums over all training texts, moved by Spark's shuffles; the driver sees
@@ -285,12 +324,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     lexicon = stored(_lexicon(packed, p), "lexicon")
     totals = lexicon.agg(*[F.sum(x).alias(x) for x in ("n", "v", "rare")]).first()
     total, distinct, rare = (int(totals[x] or 0) for x in ("n", "v", "rare"))
-    for sweep in range(p.sweeps):
-        looked = stored(_looked_up(lexicon, sweep % 2), "lmlooked")
-        moves = _transitions(packed, looked, p.classes)
-        lexicon = stored(_exchange(packed, looked, lexicon, moves, sweep % 2, p), "lexicon")
+    lexicon, moves = _clustered(packed, lexicon, p)
     looked = stored(_looked_up(lexicon, None), "lmlooked")
-    moves = _transitions(packed, looked, p.classes)
     out = _scores(packed, looked, moves, rare, total, distinct, p)
     return out.select(
         F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",

@@ -6,12 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import brown_lm
 from corvane.llm.brown_lm import BrownParams, score
+from corvane.llm.wordhash import words
 from tests.llm.conftest import awkward_rows
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +61,51 @@ def test_classes_help_on_held_out_texts(spark: SparkSession) -> None:
     assert rows["s"] > none
 
 
+def test_registered_settings_cluster_and_never_lose_likelihood(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rows = sentences(3, 500)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = brown_lm._clustered
+    kept = lambda packed, lexicon, p: seen.append(real(packed, lexicon, p)) or seen[-1]
+    monkeypatch.setattr(brown_lm, "_clustered", kept)
+    got = {r["doc_id"]: r for r in score(df, held_out()).collect()}
+    lexicon, moves = seen[0]
+    first = score(df, held_out(), params=BrownParams(sweeps=0)).where("held_out").agg(F.sum("score")).first()[0]
+    assert brown_lm.class_likelihood(moves) > brown_lm.class_likelihood(seen[1][1])
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > first
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.15
+    # the scores again, from classes and counts, token by token
+    p, c = BrownParams(), Counter()
+    cls, digest = {}, {}
+    for r in lexicon.collect():
+        cls |= dict(zip(np.frombuffer(r["h"], dtype=np.uint64).tolist(), np.frombuffer(r["cls"], dtype=np.uint8).tolist(), strict=True))
+    for i, t in rows:
+        digest |= dict(zip(t.split(), words([t])[0].tolist(), strict=True))
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update([*t.split(), None])
+    kind = lambda w: brown_lm.END_CLASS if w is None else cls[digest[w]]
+    mass, pair, rare = Counter(), Counter(), sum(kind(w) == brown_lm.RARE_CLASS for w in c)
+    for w, k in c.items():
+        mass[kind(w)] += k
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            chain = [None, *t.split(), None]
+            pair.update((kind(a), kind(b)) for a, b in zip(chain, chain[1:], strict=False))
+    out = Counter()
+    for (a, _), k in pair.items():
+        out[a] += k
+    total, distinct = sum(c.values()), len(c)
+    for i, t in rows[:60]:
+        want, chain = 0.0, [None, *t.split(), None]
+        for a, b in zip(chain, chain[1:], strict=False):
+            x = kind(b)
+            emit = (c[b] + (x == brown_lm.RARE_CLASS)) / (mass[x] + (rare + 1 if x == brown_lm.RARE_CLASS else 0))
+            ahead = (pair[kind(a), x] + p.alpha) / (out[kind(a)] + p.classes * p.alpha)
+            want += math.log10(p.class_share * ahead * emit + (1 - p.class_share) * (c[b] + 1) / (total + distinct + 1))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_the_model_is_a_distribution(spark: SparkSession) -> None:
     """One-word texts: the probabilities of every known word and of an unknown one add up to 1, after the end's share."""
     train = [(i, t) for i, t in sentences(2, 60)]
