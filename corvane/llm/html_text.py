@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,7 @@ OPTIONAL_END = "p li dt dd tr td th option".split()
 ASIDE_ROLES = "navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+_NO_CDATA = re.compile(_TOKEN.pattern.replace(r"<!\[CDATA\[(.*?)\]\]>|", "(?!)()|"), re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _BREAKS, _DROPPED, _VOID, _BARE = map(frozenset, (BREAKS, DROPPED, VOID, BARE_TEXT))
@@ -68,12 +70,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     """Strips markup: one (text, inside the article element) for each block.
 
     Removed parts of the page's frame leave ``GAP_LINES`` empty lines. A paragraph's open tag also ends the one before;
-    an element that is never closed ends with the one that holds it or with the page.
+    an element that is never closed ends with the one that holds it or with the page. Time grows with the page's length, whatever is left open.
     """
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, removed, article
     at, end = 0, len(page)
+    last_tag, last_cdata = page.rfind(">"), page.rfind("]]>")
+    opened: Counter[str] = Counter()  # names on the stack
     removed = article = frame = False
 
     def flush() -> None:
@@ -85,6 +89,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     def close_to(depth: int) -> None:
         nonlocal removed, article
         flush()
+        opened.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
         was, removed = removed, bool(stack) and stack[-1][1]
         article = bool(stack) and stack[-1][2]
@@ -92,7 +97,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             out.extend([("", article)] * GAP_LINES)
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at < last_cdata else _NO_CDATA).search(page, at) if at <= last_tag or page.find("<!--", at) >= 0 else None
         if not removed:
             parts.append(page[at : m.start() if m else end])
         if not m:
@@ -104,9 +109,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 parts.append(m[1])
             continue
         if m[2]:  # a close tag
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                close_to(depth)
+            if opened[name] > 0:
+                close_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name in _BREAKS and not removed:
                 flush()
             continue
@@ -127,6 +131,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if drop and (not removed or name not in _OPTIONAL) or name in _BREAKS and name not in _OPTIONAL:
             removed, article = drop, article or name in ("article", "main")
             stack.append((name, removed, article))
+            opened[name] += 1
     flush()
     return out
 
@@ -150,9 +155,10 @@ def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
     """The text between surge and dive points of the line-block distribution.
 
     Block i is the text length of lines i .. i + window - 1. The text starts at the first line of a run of
-    non-zero blocks that reaches ``surge`` characters and ends where the distribution dives to zero. Where the page has
+    non-zero blocks that surges and ends where the distribution dives to zero. A run surges with a block of ``surge`` characters or, where the whole
+    distribution stays low, of half its highest block. Where the page has
     an ``article`` or ``main`` element with text, runs inside and outside are told apart: if no run outside that reaches
-    ``surge`` is larger than the largest inside, every run inside counts, however short, and no other; else the
+    ``surge`` is larger than the largest inside, the runs inside are the distribution; else the
     element does not hold the main text, and the distribution over all lines decides as if it were not there.
     """
     if not page:
@@ -164,8 +170,10 @@ def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
         outside = [n - m for n, m in zip(size, inside, strict=True)]
         rival = max((sum(outside[i:dive]) for i, dive, top in _runs(outside, window) if top >= surge), default=0)
         if rival <= max(sum(inside[i:dive]) for i, dive, _ in _runs(inside, window)):
-            size, surge = inside, 1
-    return " ".join(t for i, dive, top in _runs(size, window) if top >= surge for (t, _), n in zip(lines[i:dive], size[i:dive], strict=True) if n)
+            size = inside
+    runs = _runs(size, window)
+    least = min(surge, max((top for _, _, top in runs), default=0) / 2)
+    return " ".join(t for i, dive, top in runs if top >= least for (t, _), n in zip(lines[i:dive], size[i:dive], strict=True) if n)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = 3, surge: int = 40) -> DataFrame:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+import time
+
 from pyspark.sql import SparkSession
 
-from corvane.llm.html_text import extract, main_text
+from corvane.llm.html_text import extract, lines_of, main_text
 
 LONG = "A rather long paragraph that makes the distribution rise over the threshold at once."
 
@@ -23,7 +26,7 @@ def test_the_larger_run_outside_an_article_survives() -> None:
     assert main_text(f"<body><nav>n</nav><div><p>{LONG}<p>{LONG}</div><nav>n</nav>{teaser}") == f"{LONG} {LONG}"  # a short run dives
     assert main_text(f"<div><p>{LONG}{teaser}<p>End.</div>") == f"{LONG} Read this too End."  # one run, nothing parts it
     assert main_text(f"<main><p>{LONG}</main><nav>n</nav><div><p>{LONG}<p>{LONG}</div>") == f"{LONG} {LONG} {LONG}"
-    assert main_text(f"<div>{LONG}</div><article><p>{LONG}<p>One<nav>n</nav><p>Two</article>") == f"{LONG} One Two"  # the article is the larger
+    assert main_text(f"<div>{LONG}</div><article><p>{LONG}<p>One<nav>n</nav><p>Two</article>") == f"{LONG} One"  # the article is the larger; what the menu parts from it is too little to surge
     assert main_text("<div>Not much text here, 37 characters.</div><article>Less</article>") == "Less"  # no surge outside
 
 
@@ -41,3 +44,43 @@ def test_operator_keeps_rows_and_columns(spark: SparkSession) -> None:
     assert got.columns == ["page_id", "html", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "", 0), (1, "", 0), (1, "é𝄞", 2)]
     assert extract(df.limit(0)).collect() == []
+
+
+def kept_lines(page: str, window: int = 3, surge: int = 40) -> list[str]:
+    """The distribution once more, line by line, for pages without an article element."""
+    lines = [t for t, _ in lines_of(page)]
+    block = [sum(map(len, lines[i : i + window])) for i in range(len(lines))]
+    out = []
+    for i, t in enumerate(lines):
+        a = b = i
+        while a > 0 and block[a - 1]:
+            a -= 1
+        while b + 1 < len(block) and block[b + 1]:
+            b += 1
+        if t and block[i] and max(block[a : b + 1]) >= min(surge, max(block) / 2):
+            out.append(t)
+    return out
+
+
+def test_the_distribution_against_brute_force() -> None:
+    r = random.Random(4)
+    for _ in range(300):
+        parts = ["<nav>menu</nav>" if r.random() < 0.4 else f"<p>{'w ' * r.randint(1, 30)}</p>" for _ in range(r.randint(0, 12))]
+        page = f"<body>{''.join(parts)}</body>"
+        assert main_text(page) == " ".join(kept_lines(page))
+
+
+def test_the_distribution_decides_inside_an_article() -> None:
+    page = f"<article><p>{LONG}</p><nav>x</nav><p>Tags: a, b</p><nav>y</nav><p>{LONG}</p></article>"
+    assert " ".join(t for t, inside in lines_of(page) if t and inside) == f"{LONG} Tags: a, b {LONG}"  # all lines of the article
+    assert main_text(page) == f"{LONG} {LONG}"
+    assert main_text("<article><p>Short.</p></article>") == "Short."  # the highest block there is
+
+
+def test_time_does_not_explode() -> None:
+    begun = time.monotonic()
+    for page in ("<![CDATA[" * 100_000, "<a " * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<p>x " * 100_000, "<!-- " * 100_000, "<![CDATA[ x > y" * 50_000 + "]]>"):
+        main_text(page)
+    assert time.monotonic() - begun < 20
+    assert main_text(f"<p>{LONG} " * 5_000) == " ".join([LONG] * 5_000)
+    assert main_text("<p>a <![CDATA[ b < c ]]> d</p><![CDATA[ e > f") == "a b < c d f"
