@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,8 @@ from corvane.llm.common import shared_dir, shuffle_width, stored
 WORDS_KEPT = 200_000
 #: Ends a document.
 END_ID = 0
-_AT_BORDER = re.compile(r" \s|\s ")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_AT_BORDER = re.compile(r"\s \S|\S \s|  ")
 
 
 def added_tokens(tokenizer: str) -> dict[str, int]:
@@ -28,13 +29,26 @@ def added_tokens(tokenizer: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
+class _Words(dict):
+    """Ids of words with a space before them, as bytes; a word that is missing is encoded and kept."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self._of = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = got = self._of(" " + word)
+        return got
+
+
 class CachedEncoder:
     """Encodes texts with a byte-level BPE vocabulary; equal words are encoded once.
 
     ``vocabulary`` is a file of ranks (base64 token, id on each line), the same vocabulary as the tokenizer's json file.
     The tokenizer's pattern starts a new piece at a single space between other characters, so no token spans such a
-    space and a text's ids are those of its space-led words, one after another. Texts with other white space beside a space are
-    encoded whole. A text is first split at the strings of ``added``: each is its one id, and what stands between two of them is a text
+    space and a text's ids are those of its space-led words, one after another. Where other white space stands beside a space the text is not
+    cut. A text is first split at the strings of ``added``: each is its one id, and what stands between two of them is a text
     of its own. Without ``added`` such strings are ordinary text.
     """
 
@@ -46,7 +60,7 @@ class CachedEncoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._kept: dict[str, bytes] = {}
+        self._kept = _Words(self._encode)
         self._added = {t: np.array([i], dtype="<u4").tobytes() for t, i in (added or {}).items()}
         self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
 
@@ -64,19 +78,9 @@ class CachedEncoder:
         return b"".join([*out, self._encode_between(text[at:])])
 
     def _encode_between(self, text: str) -> bytes:
-        if not text or _AT_BORDER.search(text) or text[0] == " " or text[-1] == " ":
-            return self._encode(text)
-        kept, out = self._kept, []
-        parts = text.split(" ")
-        for i, word in enumerate(parts):
-            word = " " + word if i else word
-            got = kept.get(word)
-            if got is None:
-                if len(kept) >= WORDS_KEPT:
-                    kept.clear()
-                got = kept[word] = self._encode(word)
-            out.append(got)
-        return b"".join(out)
+        plain = text[:1] != " " and text[-1:] != " " and not _AT_BORDER.search(text)
+        first, *rest = text.split(" ") if plain else _BETWEEN.split(text)
+        return self._encode(first) + b"".join(map(self._kept.__getitem__, rest))
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
