@@ -46,7 +46,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"))
+    grade = toxicity.severity(F.col("toxic"), F.col("quality"))
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), grade))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import shared_dir, stored
@@ -61,12 +61,17 @@ def sparse_features(texts: list[str | None], wanted: np.ndarray | None = None) -
     return np.concatenate(rows), np.concatenate(feats), np.concatenate(values)
 
 
-def _labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """grade, features, values of each labelled document in the bounded sample."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("grade"))
+def severity(toxic: Column, quality: Column) -> Column:
+    """Ordered grades from two labels: 0 not toxic, 1 toxic in a text of good (or unknown) quality, 2 toxic in a poor one; null where toxic is."""
+    return F.when((toxic == 1) & (quality == 0), 2).when(toxic == 1, 1).when(toxic == 0, 0)
+
+
+def _labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade: Column) -> DataFrame:
+    """grade, features, amounts of each labelled document in the bounded sample, one row for each identifier (the least text where rows share it)."""
+    known = labels.select(id_col, grade.cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("grade").alias("grade"))
     share = min(1.0, MAX_LABELLED / max(1, labels.count()))
     few = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), id_col).select("grade", "text")
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("grade").alias("grade"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,7 +79,7 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col
             cut = np.searchsorted(rows, np.arange(1, len(batch)))
             yield pd.DataFrame({"grade": batch["grade"].array, "features": np.split(feats, cut), "amounts": np.split(values, cut)})
 
-    return stored(texts.mapInPandas(run, "grade int, features array<long>, amounts array<double>"), "toxfeatures")
+    return stored(texts.select("grade", "text").mapInPandas(run, "grade int, features array<long>, amounts array<double>"), "toxfeatures")
 
 
 def _associated(rows: DataFrame, most: int) -> pd.DataFrame:
@@ -93,16 +98,6 @@ def _associated(rows: DataFrame, most: int) -> pd.DataFrame:
     return ranked.orderBy(F.desc(F.abs("z")), "feature").limit(most).toPandas()
 
 
-def graded_by_markers(rows: DataFrame, found: pd.DataFrame) -> DataFrame:
-    """Severity grades for rows whose label is only 0 or 1: 0 stays, 1 becomes 1, 2 or 3.
-
-    A marker is a feature that nearly only labelled rows of grade 1 have. Rows with up to two markers are of grade 1, up to five of grade 2, more of 3.
-    """
-    markers = found[(found["z"] > 0) & (found["low"] * 50 <= found["high"])]["feature"].tolist()
-    held = F.size(F.array_intersect("features", F.array(*[F.lit(int(m)) for m in markers]).cast("array<long>")))
-    return rows.withColumn("grade", F.when(F.col("grade") == 0, 0).when(held <= 2, 1).when(held <= 5, 2).otherwise(3))
-
-
 def fit(rows: pd.DataFrame, features: np.ndarray, grades: int, rounds: int = 400, ridge: float = 0.01) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty by full-batch gradient steps (Adam) on the bounded sample.
 
@@ -137,20 +132,19 @@ def fit(rows: pd.DataFrame, features: np.ndarray, grades: int, rounds: int = 400
     return OrdinalModel(features, w, t[0] + np.concatenate(([0.0], np.cumsum(np.exp(t[1:])))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", grades: int | None = None) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, grade: Column | str, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits the model on at most about ``MAX_LABELLED`` labelled documents.
 
-    ``label_col`` holds grades 0, 1, .. ; where it holds 0 and 1 only (``grades`` is None) severities 1 to 3 are derived from marker
-    words. Repeated labels of a document count once, by the largest; null labels and labels without a document are left out. Without labels of both kinds every
-    expected severity is 0.
+    ``grade`` is a column of ``labels``, or an expression over them, that gives ordered grades 0, 1, ..; grades come from labels alone, never from a text. Repeated labels
+    of a document count once, by the largest, and rows that share an identifier are one document; null grades and labels without a document are left out. Without
+    labels of grade 0 and of a higher one every expected severity is 0.
     """
     shared_dir(docs.sparkSession)
-    rows = _labelled_features(docs, labels, id_col, text_col, label_col)
+    rows = _labelled_features(docs, labels, id_col, text_col, F.col(grade) if isinstance(grade, str) else grade)
     found = _associated(rows, MAX_FEATURES)
     if found.empty:
-        return OrdinalModel(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(3, 500.0))
-    if grades is None:
-        rows, grades = graded_by_markers(rows, found), 4
+        return OrdinalModel(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(1, 500.0))
+    grades = rows.agg(F.max("grade")).first()[0] + 1
     features = np.sort(found["feature"].to_numpy(dtype=np.int64))
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

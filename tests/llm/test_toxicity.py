@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import toxicity
 from corvane.llm.toxicity import OrdinalModel, fit, score, sparse_features, train
+from corvane.llm.wordhash import mix, words
 from tests.llm.conftest import prose
 
 BAD = ["grum", "flosk", "vreck", "dworp", "snarg"]
@@ -38,6 +42,35 @@ def test_held_out_accuracy_and_order(spark: SparkSession) -> None:
     assert r[3] < r[1] < r[2] <= 3.0
 
 
+def test_scores_against_brute_force(spark: SparkSession) -> None:
+    rows = corpus(4, 150)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t, int(i % 3 > 0)) for i, _, t in rows], "doc_id long, toxic int, quality int")
+    model = train(docs, labels, toxicity.severity(F.col("toxic"), F.col("quality")))
+    assert len(model.thresholds) == 2  # grades 0, 1, 2 share the weights
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    place = lambda b: int(words([b.decode()])[0][0] >> np.uint64(64 - toxicity.FEATURE_BITS))
+    stem = lambda b, k: int(mix(words([b[:k].decode()])[0], 17)[0] >> np.uint64(64 - toxicity.FEATURE_BITS))
+    for got in score(docs, model).collect():
+        count: Counter[int] = Counter()
+        for w in re.findall(r"[^\s!-/:-@\[-`{-~]+", rows[got["doc_id"]][1]):
+            b = w.encode()
+            count.update([place(b), *[stem(b, k) for k in toxicity.STEM_BYTES if len(b) > k]])
+        s = sum(np.log1p(n) * weight.get(f, 0.0) for f, n in count.items())
+        above = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        assert np.isclose(got["expected_severity"], sum(above), atol=1e-9)
+        each = -np.diff([1.0, *above, 0.0])
+        assert got["severity_grade"] == each.argmax() and got["toxic"] == (above[0] >= 0.5)
+
+
+def test_rows_that_share_an_identifier_are_one_labelled_document(spark: SparkSession) -> None:
+    docs = spark.createDataFrame([(1, "b"), (1, "a a"), (1, "a a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    got = toxicity._labelled_features(docs, labels, "doc_id", "text", F.col("toxic")).collect()
+    assert sorted((r["grade"], len(r["features"])) for r in got) == [(0, 1), (1, 1)]
+    assert sorted(r["amounts"][0] for r in got) == [np.log1p(1), np.log1p(2)]
+
+
 def test_cumulative_links_recover_ordered_grades() -> None:
     r = np.random.default_rng(0)
     x = r.normal(size=3000)
