@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, shared_dir, shuffle_width, stored
+from corvane.llm.common import ascii_lower, shared_dir, shuffle_width
 
 #: Rows drawn (about) to find texts so frequent that one task should not hold them all.
 SAMPLE_ROWS = 20_000
@@ -35,7 +35,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts as empty. Sampled splitters range-partition the normalised texts, each
     partition is sorted (Spark's external sort spills to disk), so that equal texts are
     neighbours, and neighbours are compared in full. A text that a sample shows to be
-    hot is cut into several ranges; its parts are then merged by digest, one row each.
+    hot is cut into several ranges; what its parts hold together is one aggregate by digest and text, summed before it is shuffled.
 
     Adds ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` (of the normalised
     UTF-8 text) to the columns of ``docs``; other columns pass through, columns of those
@@ -70,12 +70,14 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             *own, F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"),
             (F.col("_nth") == 1).alias("kept"), F.col("_sha").alias("text_sha256"),
         )
-    near = stored(near, "contentsort")
-    # Each part of a hot text adds one row here: at most HOT_SALTS rows a text.
-    whole = near.where(F.col("_sha").isin(hot) & (F.col("_nth") == 1)).groupBy("_sha").agg(
-        best("_best").alias("_whole"), F.sum("_n").alias("_all"),
-        F.min_by("_salt", F.struct(F.col("_best").isNull(), F.col("_best") if keep == "smallest" else -F.col("_best"), F.col("_salt"))).alias("_home"),
+    # a part's home is where the row that stays is; rows without an identifier come last
+    has = F.col("_id").isNotNull()
+    home = F.max_by("_salt", F.struct(has, "_id", "_salt")) if keep == "largest" else F.min_by("_salt", F.struct(~has, "_id", "_salt"))
+    whole = keyed.where(F.col("_sha").isin(hot)).groupBy("_sha").agg(
+        best("_id").alias("_whole"), F.count(F.lit(1)).alias("_all"), home.alias("_home"), F.min("_norm").alias("_low"), F.max("_norm").alias("_high")
     )
+    same_text = F.when(F.col("_low") == F.col("_high"), F.col("_all")).otherwise(F.raise_error(F.lit("two texts of one digest")).cast("long"))
+    whole = whole.select("_sha", "_whole", same_text.alias("_all"), "_home")
     out = near.join(F.broadcast(whole), "_sha", "left")  # 2 * parts rows at most
     cut = F.col("_all").isNotNull()
     return out.select(

@@ -49,3 +49,9 @@ def test_other_columns_pass_and_clashing_ones_are_replaced(awkward: DataFrame, n
     assert content_sort(nothing).collect() == []
     with pytest.raises(ValueError, match="keep"):
         content_sort(awkward, keep="any")
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_string_identifiers_of_a_hot_text(spark: SparkSession, keep: str) -> None:
+    rows = [(f"id{i}", "Hot text" if i % 2 else f"text {i % 50}") for i in range(400)]
+    check(rows, content_sort(spark.createDataFrame(rows, "doc_id string, text string"), keep=keep), keep)
