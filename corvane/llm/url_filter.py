@@ -16,8 +16,10 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 BLOCK_WORDS = 8
 #: Bits of the filter for each listed URL, before rounding up to blocks.
 BITS_PER_KEY = 16
-#: Largest filter, in bytes, that is sent to every executor; a larger one is joined by shuffle.
+#: Largest filter, and largest list, in bytes, that is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Ways into which a block of the filter, or a listed URL, is dealt in such a shuffle, so that a popular URL is not one task's.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,10 @@ def _bits(key: Column) -> list[Column]:
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 7 * i), F.lit(64)).cast("int")) for i in range(BLOCK_WORDS)]
 
 
+def _salted(small: DataFrame) -> DataFrame:
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def build_filter(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
     """A blocked Bloom filter as a table: one row for each block, 8 words of 64 bits.
 
@@ -90,21 +96,31 @@ def build_filter(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
 def listed_hits(urls: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """``urls`` with ``is_possible`` (the Bloom filter's answer) and ``is_listed`` (exact).
 
-    Only possible hits take part in the exact hash join; a null key is never listed. The filter is
-    broadcast while its size, which is known, stays within ``BROADCAST_BYTES``; a larger one is joined
-    by shuffle on the block number. ``listed`` may repeat keys.
+    Only possible hits take part in the exact hash join; a null key is never listed. Filter and list are
+    broadcast, and ``urls`` scanned once, while their sizes, which are known, stay within ``BROADCAST_BYTES``. Larger ones are joined
+    by shuffles on the block number and on the URL, both salted by a digest of the row. ``listed`` may repeat keys.
     """
-    listed = listed.select(key).where(F.col(key).isNotNull()).distinct()
+    listed = stored(listed.select(key).where(F.col(key).isNotNull()).distinct(), "urlkeys")
     bloom, blocks = build_filter(listed, key)
+    size = listed.agg(F.sum(F.octet_length(key))).first()[0] or 0
+    row = F.xxhash64(*urls.columns)  # deals rows without a key to all blocks
+    probed = urls.withColumn("_block", F.coalesce(F.when(F.col(key).isNotNull(), _block(F.col(key), blocks)), F.pmod(row, F.lit(blocks))))
+    salt = F.pmod(row, F.lit(SALTS)).cast("int")
     if blocks * 8 * BLOCK_WORDS <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
-    probed = urls.withColumn("_block", _block(F.col(key), blocks)).join(bloom, "_block", "left")
+        probed = probed.join(F.broadcast(bloom), "_block", "left")
+    else:
+        probed = probed.withColumn("_salt", salt).join(_salted(bloom), ["_block", "_salt"], "left").drop("_salt")
     hit = reduce(lambda a, b: a & b, [F.col(f"_w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col(key)))])
     probed = probed.withColumn("is_possible", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)))
     probed = probed.drop("_block", *[f"_w{i}" for i in range(BLOCK_WORDS)])
-    hits = probed.where("is_possible").join(listed.withColumn("is_listed", F.lit(True)), key, "left")
-    rest = probed.where(~F.col("is_possible")).withColumn("is_listed", F.lit(False))
-    return hits.withColumn("is_listed", F.coalesce("is_listed", F.lit(False))).unionByName(rest)
+    sure = listed.select(F.col(key).alias("_hit"), F.lit(True).alias("is_listed"))
+    if size + 16 * blocks * 64 * BLOCK_WORDS // BITS_PER_KEY <= BROADCAST_BYTES:
+        out = probed.withColumn("_hit", F.when(F.col("is_possible"), F.col(key))).join(F.broadcast(sure), "_hit", "left").drop("_hit")
+    else:
+        hits = probed.where("is_possible").withColumn("_hit", F.col(key)).withColumn("_salt", salt)
+        hits = hits.join(_salted(sure), ["_hit", "_salt"], "left").drop("_hit", "_salt")
+        out = hits.unionByName(probed.where(~F.col("is_possible")).withColumn("is_listed", F.lit(False)))
+    return out.withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str = "page_id") -> DataFrame:
