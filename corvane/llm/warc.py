@@ -25,6 +25,8 @@ CAPTURES_PER_FILE = 20_000
 #: Groups of equal payloads that are sent to every executor (about 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_GROUPS = 500_000
 SALTS = 32
+#: Stands for a missing identifier; no encoded one has this character.
+NO_PAGE = "~"
 
 RECORD = "file string, place long, record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http string, payload_bytes long, payload_sha1 string, payload binary"
 
@@ -65,7 +67,16 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def _urn(page: Column, uid: Column, part: str = "") -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), uid.cast("string"), F.lit(f"{part}>"))
+    return F.concat(F.lit("<urn:page:"), _spelt(page), F.lit(":"), uid.cast("string"), F.lit(f"{part}>"))
+
+
+def _spelt(page: Column) -> Column:
+    """An identifier of any type as one word; ``NO_PAGE`` for null."""
+    return F.coalesce(F.url_encode(page.cast("string")), F.lit(NO_PAGE))
+
+
+def _read_page(word: Column, kind: str) -> Column:
+    return F.when(~word.isin("", NO_PAGE), F.url_decode(word)).when(word == "", F.lit("")).cast(kind)
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
@@ -99,7 +110,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.col("page_id"), F.col("uid"), ":metadata")), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(END)),
+        F.concat(F.lit("page_id: "), _spelt(F.col("page_id")), F.lit(END)),
     )
     rows = judged.select(F.explode(F.array(request, capture, metadata)).alias("value"))
     rows.write.option("compression", "gzip").option("lineSep", END + END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
@@ -135,7 +146,7 @@ def _records(name: str, content: bytes, bodies: bool = True) -> Iterator[tuple]:
 
 
 def read_archive(spark: SparkSession, path: str, batch_bytes: int = 8 << 20, bodies: bool = True) -> DataFrame:
-    """One row for each record of the WARC files (plain or gzip) in ``path``.
+    """One row for each record of the WARC files (plain or gzip, of any name) in ``path``.
 
     payload_bytes and payload_sha1 are taken from the whole payload as it is read; without ``bodies`` the payloads of responses are measured so and not sent on.
     Files are dealt to tasks by Spark's ``binaryFile`` reader, so any store that Spark reads will do; a task holds one compressed file and
@@ -156,7 +167,7 @@ def read_archive(spark: SparkSession, path: str, batch_bytes: int = 8 << 20, bod
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, RECORD)
 
 
@@ -180,21 +191,19 @@ def transactions(records: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, none) for c in ("requests", "metadata")})
 
 
-def capture_digests(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures.
+def capture_digests(captures: DataFrame, kind: str = "long") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures; identifiers are of type ``kind``.
 
     The page comes from the metadata record; a response's size and digest are those of the payload that was read, a revisit's
-    those of its headers, as it has no payload.
+    those of its headers, as it has no payload. A capture without metadata has a null page.
     """
-    def page(urn: Column) -> Column:
-        return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?\d+):", 1), F.lit("")).cast("long")
-
-    field = F.regexp_extract(F.get("metadata", F.lit(0))["payload"].cast("string"), r"(?m)^page_id: (-?\d+)\s*$", 1)
+    field = F.regexp_extract(F.get("metadata", F.lit(0))["payload"].cast("string"), r"(?m)^page_id: (\S*)\s*$", 1)
+    field = F.when(F.size("metadata") > 0, field)
     size = F.regexp_extract(F.col("capture.http"), r"(?im)^content-length: (\d+)\s*$", 1)
     revisit = F.col("capture.type") == "revisit"
     return captures.select(
-        F.nullif(field, F.lit("")).cast("long").alias("page_id"),
+        _read_page(field, kind).alias("page_id"),
         F.when(revisit, size.cast("long")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("capture.payload_digest")).otherwise(F.col("capture.payload_sha1")).alias("payload_digest"), F.col("capture.type").alias("record_type"),
-        F.when(revisit, page(F.col("capture.refers_to"))).alias("refers_to"),
+        F.when(revisit, _read_page(F.regexp_extract("capture.refers_to", r"^<urn:page:([^:]*):", 1), kind)).alias("refers_to"),
     )

@@ -64,3 +64,14 @@ def test_assembly_by_concurrent_to(spark: SparkSession) -> None:
     rows = [row("<r>", "response", None), row("<q>", "request", "<r>"), row("<m>", "metadata", "<r>"), row("<m2>", "metadata", "<r>"), row("<l>", "request", "<lost>"), row("<s>", "revisit", None), row(None, "response", None), row("<w>", "warcinfo", None)]
     got = {r["record_id"]: (len(r["requests"]), len(r["metadata"])) for r in transactions(spark.createDataFrame(rows, warc.RECORD)).collect()}
     assert got == {"<r>": (1, 2), "<s>": (0, 0)}
+
+
+def test_string_identifiers_and_any_file_name(spark: SparkSession, tmp_path: Path) -> None:
+    ids = ["a b:c>d", "", None, "null", "~"]
+    df = spark.createDataFrame([(i, "u", f"<p>{k % 2}</p>") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    write_archive(df, f"file://{tmp_path}/w")
+    (tmp_path / "other").mkdir()
+    for k, f in enumerate(sorted((tmp_path / "w").glob("part-*"))):
+        f.rename(tmp_path / f"other/crawl-{k}.warc.gz")
+    got = {r["page_id"]: r["refers_to"] for r in capture_digests(transactions(read_archive(spark, f"file://{tmp_path}/other")), "string").collect()}
+    assert got == {"a b:c>d": "~", "": "null", None: "~", "null": None, "~": None}
