@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -173,7 +174,7 @@ def fit_steps(
     documents in one distributed aggregate (as many numbers as domains), and moves every rate against the sum of p times the relative residuals, not below 0 and not above
     ``max_rate``. Ends when every total is within ``close`` of its target or nothing moves. A domain that no document
     belongs to can't be reached and is left out. ``total`` is by default that of the input. Step lengths are Barzilai and Borwein's, from
-    the domains' Gram matrix over all documents; the steps end with the round that came closest.
+    the domains' Gram matrix over all documents; the steps end with the round that came closest. If ``rounds`` end before that, a warning names the residuals.
     """
     k = len(domains)
     base, rate = members.select("tokens", "p"), F.lit(1.0)
@@ -207,6 +208,9 @@ def fit_steps(
         best = min(best, (loss(now), len(offsets)))
         if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= 1e-7 * max(1.0, whole):
             break
+    else:
+        if len(offsets) >= rounds:
+            warnings.warn(f"mixing stopped after {rounds} rounds; relative residuals by domain: {dict(zip(domains, (round(x, 4) for x in gap(now)), strict=True))}", stacklevel=2)
     return offsets[: best[1]]
 
 
