@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.quantiles import quantiles
+
 
 def both_ranks(a: DataFrame, c: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """query_id, doc_id, rank_a, rank_c; pools that differ are an error when the rows are read."""
@@ -54,4 +56,6 @@ def by_case(rows: DataFrame, case: str, columns: list[str]) -> DataFrame:
 
 def summary(rows: DataFrame, column: str) -> DataFrame:
     """Mean, median, least and greatest of one statistic over all queries."""
-    return rows.agg(F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    middle = quantiles(rows, column, [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    whole = rows.agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    return whole.crossJoin(middle).select("mean", "median", "least", "greatest")  # one row each

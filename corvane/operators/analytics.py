@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.quantiles import quantiles
+
 
 def count_by_family(docs: DataFrame, family: str = "gpu_family") -> DataFrame:
     """Documents of each family. The label Unknown stands for null and for empty, after grouping: there may be two such rows."""
@@ -45,8 +47,7 @@ def latest_complete(rows: DataFrame, started: str, values: list[str], tie: str)
 
 
 def stage_latency(log: DataFrame, stage: str = "stage", ms: str = "duration_ms") -> DataFrame:
-    p = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95)))
-    return log.groupBy(stage).agg(p.alias("p")).select(stage, F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"))
+    return quantiles(log, ms, [0.5, 0.95], (stage,)).select(stage, F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p95"))
 
 
 def daily_error_rate(log: DataFrame, day: str, is_error: str) -> DataFrame:

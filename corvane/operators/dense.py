@@ -13,8 +13,8 @@ from corvane.operators.sparse import top_k
 
 #: Query vectors that one block scores; more are dealt to several passes of a batch.
 BLOCK = 1024
-#: Largest query set, in numbers, that is sent to every executor.
-MAX_QUERY_NUMBERS = 64_000_000
+#: Largest query set, in bytes (8 a number), that is sent to every executor, as one broadcast variable.
+MAX_QUERY_BYTES = 512 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,17 +33,20 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
     batch, so what shuffles does not grow with the number of pairs. Null vectors are left out; k <= 0 gives no rows.
     """
     asked = queries.select(query_id, vector).where(F.col(vector).isNotNull())
-    if (asked.agg(F.sum(F.size(vector))).first()[0] or 0) > MAX_QUERY_NUMBERS:
+    if 8 * (asked.agg(F.sum(F.size(vector))).first()[0] or 0) > MAX_QUERY_BYTES:
         raise ValueError("the query set is too large to send to every executor; search it in parts")
     rows = asked.toPandas()
     ids = rows[query_id].to_numpy()
     q = np.array([np.asarray(v, dtype=float) for v in rows[vector]])
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-8) if len(ids) else q
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
         for batch in batches:
             if not len(ids) or not len(batch) or k <= 0:
                 continue
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             e = np.stack([np.asarray(v, dtype=float) for v in batch["v"]])
             e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-8)
             names = batch["id"].to_numpy()
@@ -51,7 +54,8 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
                 score = q[a : a + BLOCK] @ e.T
                 for i, s in enumerate(score):
                     best = np.lexsort((names, -np.round(s, 9)))[:k]
-                    yield pd.DataFrame({"query": ids[a + i], "id": names[best], "score": s[best]})
+                    found.append((np.repeat(ids[a + i : a + i + 1], len(best)), names[best], s[best]))
+            yield pd.DataFrame(dict(zip(("query", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     kinds = dict(corpus.dtypes)[doc_id], dict(queries.dtypes)[query_id]
     found = corpus.select(F.col(doc_id).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(run, f"query {kinds[1]}, id {kinds[0]}, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import chunk_key
 
+# How texts are cut, how much of a piece is looked for, and the first bytes of a PDF.
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 150
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 PROBE = 80
@@ -124,9 +125,11 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "full_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for name, t in zip(batch["d"], batch["t"], strict=True):
                 parts = split_text(t or "", size, overlap)
-                yield pd.DataFrame({"d": name, "chunk_index": range(len(parts)), "pos": localised(t or "", parts, overlap), "chunk_text": parts})
+                rows += [(name, i, at, p) for i, (at, p) in enumerate(zip(localised(t or "", parts, overlap), parts, strict=True))]
+            yield pd.DataFrame(rows, columns=["d", "chunk_index", "pos", "chunk_text"])
 
     kind = docs.schema[doc].dataType
     rows = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, "d string, chunk_index long, pos long, chunk_text string")
@@ -182,5 +185,6 @@ def stratified_sample(docs: DataFrame, forced: DataFrame, size: int, stratum: st
     want = sizes.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total))  # one row each
     want = want.select(stratum, F.bround(F.greatest(F.lit(size) - F.col("held"), F.lit(0)) * F.col("n") / F.col("total"), 0).cast("long").alias("want"))
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))), key)
-    drawn = rest.select(key, stratum).withColumn("nth", F.row_number().over(order)).join(F.broadcast(want), stratum).where("nth <= want")
+    nth = rest.select(key, stratum).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)  # so each task sends on at most ``size`` rows of a stratum
+    drawn = nth.join(F.broadcast(want), stratum).where("nth <= want")
     return drawn.select(key, stratum).unionByName(docs.join(forced.select(key), key, "left_semi").select(key, stratum))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.quantiles import quantiles
+
 GATE = 0.50
 
 
@@ -86,10 +88,9 @@ def gate(results: DataFrame, threshold: float = GATE, metric: str = "ndcg_at_10"
 
 def spread(rows: DataFrame, metric: str = "ndcg_at_10") -> DataFrame:
     """Quartiles and mean of a metric by config."""
-    p = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy("config").agg(p.alias("p"), F.avg(metric).alias("mean")).select(
-        "config", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "mean"
-    )
+    rows = rows.select("config", metric)
+    quarters = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    return quantiles(rows, metric, [0.25, 0.5, 0.75], ("config",)).select("config", *quarters).join(rows.groupBy("config").agg(F.avg(metric).alias("mean")), "config")
 
 
 def winner(means: DataFrame, name: str = "config", metric: str = "ndcg_at_10", expected: int | None = None) -> DataFrame:

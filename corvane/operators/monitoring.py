@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 from corvane.operators.dense import centroid, project
+from corvane.operators.quantiles import quantiles
 
 EPSILON = 1e-4
 SIGNIFICANT, MODERATE = 0.25, 0.10
@@ -18,8 +19,7 @@ def psi(baseline: DataFrame, current: DataFrame, value: str, buckets: int = 10)
     Buckets end at the baseline's distinct quantiles (exact, interpolated), the outer ones open; each takes [edge, next). Every share gets EPSILON
     more. A constant baseline gives 0. An empty side is an error when the row is read.
     """
-    cuts = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    edges = baseline.agg(F.array_distinct(F.percentile(value, cuts)).alias("edges"))
+    edges = quantiles(baseline, value, [i / buckets for i in range(buckets + 1)]).select(F.array_distinct("q").alias("edges"))
     inner = edges.select(F.when(F.size("edges") < 2, F.array().cast("array<double>")).otherwise(F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("inner"), (F.size("edges") < 2).alias("constant"))
     rows = baseline.select(F.lit(0).alias("side"), F.col(value).cast("double").alias("x")).unionByName(current.select(F.lit(1).alias("side"), F.col(value).cast("double").alias("x")))
     at = F.size(F.filter("inner", lambda e: e <= F.col("x")))

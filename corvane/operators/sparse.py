@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.sources.store import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -15,10 +16,6 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
     return queries.select(query_id, F.explode(tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(doc_id, F.size(tokens(F.col(text))).cast("long").alias("dl"))
-
-
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, term, tf, dl: one row for each document and term."""
     toks = docs.select(doc_id, tokens(F.col(text)).alias("toks"))
@@ -26,18 +23,26 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, df, idf of the whole vocabulary.
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, idf of the whole vocabulary, and avgdl, in one pass over the texts.
 
     idf = ln(N - df + .5) - ln(df + .5); a negative one becomes EPSILON times the mean over all terms (negatives included). Distinct tokens leave a
-    document before the explode, and the shuffle is by term with map-side sums.
+    document before the explode, with an empty one that stands for the document and carries its length; the shuffle is by term with map-side sums.
     """
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n is one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    out = raw.crossJoin(F.broadcast(mean))
-    return out.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    toks = docs.select(tokens(F.col(text)).alias("toks")).select(F.size("toks").cast("long").alias("dl"), F.concat(F.array(F.lit("")), F.array_distinct("toks")).alias("d"))
+    rows = toks.select("dl", F.explode("d").alias("term"))
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total"))
+    # filters are on sums and not on the term, so that all three uses below share one exchange
+    whole = counts.agg(F.max(F.when(F.col("total").isNotNull(), F.col("df"))).alias("n"), F.max("total").alias("all"))
+    raw = counts.crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # whole is one row
+    mean = raw.agg(F.avg(F.when(F.col("total").isNull(), F.col("raw"))).alias("mean"))
+    out = raw.where("total is null").crossJoin(F.broadcast(mean))
+    return out.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), (F.col("all") / F.col("n")).alias("avgdl"))
+
+
+def term_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, idf of the whole vocabulary."""
+    return statistics(docs, text).drop("avgdl")
 
 
 def hits(docs: DataFrame, terms: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,11 +57,10 @@ def hits(docs: DataFrame, terms: DataFrame, query_id: str = "query_id", doc_id:
 
 
 def bm25_scores(docs: DataFrame, terms: DataFrame, stats: DataFrame | None = None, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, doc_id, score of every document that holds a query term (the Okapi formula, query terms with multiplicity)."""
-    stats = term_stats(docs, doc_id, text) if stats is None else stats
-    mean = lengths(docs, doc_id, text).agg(F.avg("dl").alias("avgdl"))
+    """query_id, doc_id, score of every document that holds a query term (the Okapi formula, query terms with multiplicity). ``stats`` are those of ``statistics``."""
+    stats = statistics(docs, text) if stats is None else stats
     idf = stats.join(terms.select("term").distinct(), "term")
-    rows = hits(docs, terms, query_id, doc_id, text).join(idf, "term").crossJoin(F.broadcast(mean))  # mean is one row
+    rows = hits(docs, terms, query_id, doc_id, text).join(idf, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
 
@@ -81,17 +85,20 @@ def top_k(scores: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "
 def search(scores: DataFrame, docs: DataFrame, terms: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """The first k documents of every query that has a token; documents without a hit score 0 and may fill the list.
 
-    Fill-ups are needed only by queries with fewer than k positive hits, and come from the lowest identifiers: as many as such a
-    query has hits, and k more. k <= 0 gives no rows.
+    Scores are computed once: the first k of each query are stored, with how many hits it has. Fill-ups are needed only by queries with fewer
+    than k positive hits, and come from the lowest identifiers: as many as such a query has hits, and k more. k <= 0 gives no rows.
     """
     if k <= 0:
         return top_k(scores, 0, query_id, doc_id)
-    asked = terms.select(query_id).distinct()
     held = scores.groupBy(query_id).agg(F.count_if(F.col("score") > 0).alias("positive"), F.count(F.lit(1)).alias("all"))
-    short = asked.join(held, query_id, "left").where(F.coalesce("positive", F.lit(0)) < k)
+    first = stored(top_k(scores, k, query_id, doc_id).join(held, query_id), "topk")
+    lists = first.drop("positive", "all")
+    known = first.groupBy(query_id).agg(F.max("positive").alias("positive"), F.max("all").alias("all"))
+    short = terms.select(query_id).distinct().join(known, query_id, "left").where(F.coalesce("positive", F.lit(0)) < k)
     most = short.agg(F.max(F.coalesce("all", F.lit(0))).alias("m")).first()["m"]
     if most is None:
-        return top_k(scores, k, query_id, doc_id)
+        return lists
+    hit = lists if most <= k else scores.join(short.select(query_id), query_id, "left_semi")  # a list of all hits of the short queries
     lowest = docs.select(doc_id).orderBy(doc_id).limit(k + int(most))
-    zeros = short.select(query_id).crossJoin(lowest).join(scores, [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(scores.unionByName(zeros), k, query_id, doc_id)
+    zeros = short.select(query_id).crossJoin(F.broadcast(lowest)).join(hit.select(query_id, doc_id), [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(lists.drop("rank").unionByName(zeros), k, query_id, doc_id)

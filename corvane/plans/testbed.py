@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import quality
+from corvane.sources.store import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,24 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id, label 1 where a document holds the query's passage: the query set against all rows."""
-    asked = queries(spark, sf_dir)
-    return docs(spark, sf_dir).join(asked, F.contains("text", "query")).select("query_id", "doc_id", F.lit(1).alias("label"))
+    """query_id, doc_id, label 1 where a document holds the query's passage: the query set against all rows.
+
+    A word inside a passage (not its first or last) is a whole word of any document that holds it. So each passage is looked for only where its
+    rarest such word is: an equi-join. Passages of fewer than three words have none, and are compared with all texts.
+    """
+    asked = queries(spark, sf_dir).where("query is not null")
+    words = F.split("query", " ")
+    inner = asked.select("query_id", "query", F.explode(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("word")).where("word <> ''")
+    held = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    held = stored(held.join(inner.select("word").distinct(), "word"), "heldwords")
+    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    anchor = inner.join(df, "word", "left").groupBy("query_id", "query").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    near = held.join(anchor, "word").select("doc_id", "query_id", "query").join(docs(spark, sf_dir), "doc_id").where(F.contains("text", "query"))
+    short = asked.join(anchor.select("query_id"), "query_id", "left_anti")
+    found = near.select("query_id", "doc_id")
+    if not short.isEmpty():
+        found = found.unionByName(docs(spark, sf_dir).join(short, F.contains("text", "query")).select("query_id", "doc_id"))
+    return found.select("query_id", "doc_id", F.lit(1).alias("label"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
