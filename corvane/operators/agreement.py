@@ -59,3 +59,9 @@ def summary(rows: DataFrame, column: str) -> DataFrame:
     middle = quantiles(rows, column, [0.5]).select(F.get("q", F.lit(0)).alias("median"))
     whole = rows.agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("greatest"))
     return whole.crossJoin(middle).select("mean", "median", "least", "greatest")  # one row each
+
+
+def gap(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: in how many rows ``a`` is above ``b``, of how many in which both are known, and the mean of a - b."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return known.agg(F.count_if(F.col(a) > F.col(b)).alias("n_above"), F.count(F.lit(1)).alias("n"), F.avg(F.col(a) - F.col(b)).alias("mean_gap"))

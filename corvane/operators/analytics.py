@@ -40,6 +40,11 @@ def latest_by(rows: DataFrame, key: str, started: str, value: str, tie: str) ->
     return rows.groupBy(key).agg(F.max_by(F.struct(started, value), F.struct(started, tie)).alias("r")).select(key, f"r.{started}", f"r.{value}")
 
 
+def newest(rows: DataFrame, started: str, value: str, tie: str) -> DataFrame:
+    """One row: the value of the run that started last, even if it is null. No rows give null."""
+    return rows.agg(F.max_by(F.struct(value), F.struct(started, tie)).alias("r")).select(F.col(f"r.{value}").alias(value))
+
+
 def latest_complete(rows: DataFrame, started: str, values: list[str], tie: str) -> DataFrame:
     """The last row in which none of ``values`` is null."""
     full = rows.where(" and ".join(f"{v} is not null" for v in values))

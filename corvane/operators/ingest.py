@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import chunk_key
+from corvane.sources.store import stored
 
 # How texts are cut, how much of a piece is looked for, and the first bytes of a PDF.
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 150
@@ -137,6 +138,21 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "full_text
     return rows.select(F.col("d").cast(kind).alias(doc), "chunk_index", "pos", "chunk_text", chunk_key(F.col("d"), F.col("chunk_index"), F.col("chunk_text")).alias("chunk_id"), counter(F.col("chunk_text")).alias("token_count"))
 
 
+def emitted_chunks(texts: DataFrame, headings: DataFrame, doc: str = "doc_id", text: str = "full_text", **kw) -> DataFrame:
+    """The rows of the chunk table: those of ``chunk_documents`` with section_heading, the last heading (doc, offset, heading) at or before where a piece begins."""
+    rows = nearest_heading(chunk_documents(texts, doc, text, **kw), headings, doc)
+    return rows.withColumnRenamed("heading", "section_heading")
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, .. in the order of ``order``, by sorted range partitions and the sizes of those before; no task needs all rows."""
+    ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
+    placed = stored(ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)), "numbered")
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # as many rows as partitions
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_p", "_first", "_before")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows of both; where both have the key, each column is the new value or, if that is null, the old one. Adds action: insert, update or keep."""
     values = [c for c in stored.columns if c != key]

@@ -36,6 +36,11 @@ def judged(pairs: DataFrame, judge: Column) -> DataFrame:
     return pairs.withColumn("supported", F.coalesce("supported", judge)).where("supported is not null")
 
 
+def label_pool(pairs: DataFrame, judge: Column) -> DataFrame:
+    """``pairs`` (each query with each document of its pool) with label, an injected judge's 0 or 1; pairs for which it has none are dropped."""
+    return pairs.withColumn("label", judge).where("label is not null")
+
+
 def accuracy(judgments: DataFrame) -> DataFrame:
     """One row: the share of supported judgments, 0 if there are none."""
     return judgments.agg(F.coalesce(F.avg(F.col("supported").cast("int")), F.lit(0.0)).alias("citation_accuracy"))

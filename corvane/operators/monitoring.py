@@ -120,6 +120,33 @@ def worst_queries(rows: DataFrame, n: int = 5, keys: tuple[str, ...] = ()) -> Da
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
+def between(rows: DataFrame, ts: str, now: str, first: float, last: float = 0) -> DataFrame:
+    """Rows from ``first`` days before ``now`` up to, but without, ``last`` days before it."""
+    back = lambda days: F.to_timestamp(F.lit(now)) - F.make_dt_interval(days=F.lit(0), secs=F.lit(float(days) * 86400))
+    return rows.where((F.col(ts) >= back(first)) & (F.col(ts) < back(last)))
+
+
+def drift_windows(rows: DataFrame, ts: str, now: str, days: tuple[float, float, float] = (37, 30, 1)) -> tuple[DataFrame, DataFrame]:
+    """The baseline window, from days[0] to days[1] days before ``now``, and the current one, the last days[2] days."""
+    return between(rows, ts, now, days[0], days[1]), between(rows, ts, now, days[2])
+
+
+def trailing(rows: DataFrame, ts: str, now: str, days: float = 7) -> DataFrame:
+    """Rows of the last ``days`` days before ``now`` and later ones."""
+    return rows.where(F.col(ts) >= F.to_timestamp(F.lit(now)) - F.make_dt_interval(days=F.lit(0), secs=F.lit(float(days) * 86400)))
+
+
+def regression_run(history: DataFrame, today: DataFrame, n: int, eps: float = 0.0, alert: int = 3) -> DataFrame:
+    """Streaks over ``history`` (metric, day, score) and today's means over the first n queries of ``today`` (metric, query_id, day, score).
+
+    A day of the history that is run again is replaced. Append the same means to the stored history, and pass the result to ``regression_alert``.
+    """
+    asked = today.select("query_id").where("query_id is not null").distinct().orderBy("query_id").limit(n)
+    means = today.join(F.broadcast(asked), "query_id").groupBy("metric", "day").agg(F.avg("score").alias("score"))  # n rows
+    old = history.join(means.select("metric", "day"), ["metric", "day"], "left_anti")
+    return streaks(old.select("metric", "day", "score").unionByName(means), eps, alert)
+
+
 def drift_alert(drift: DataFrame, shifts: DataFrame, regression: DataFrame) -> DataFrame:
     """One row: whether any of the three monitors asks for attention."""
     moved = shifts.agg(F.count(F.lit(1)).alias("shifted_terms"))

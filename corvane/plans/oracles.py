@@ -70,7 +70,7 @@ def _fuse(k: int = 60, n: int = 10, name: str = "fused") -> str:
   SELECT query_id, doc_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, no, first, doc_id) AS rank FROM (
       SELECT query_id, doc_id, sum(1.0::DOUBLE / ({k} + rank)) AS score, min(no) AS no, arg_min(rank, no) AS first FROM (
-        SELECT query_id, doc_id, rank, 0 AS no FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 1 FROM dots WHERE rank <= 20)
+        SELECT query_id, doc_id, rank, 0 AS no FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank, 1 FROM dots WHERE rank <= 100)
       GROUP BY query_id, doc_id)) WHERE rank <= {n})
 """
 
@@ -109,8 +109,8 @@ agg AS (
          sum(cost_usd) AS cost_usd, count(*) AS num_queries FROM bench GROUP BY config)
 """
 
-_RANKS = f"""{_SCORES},
-pool AS (SELECT query_id, doc_id, rank AS rank_a, dot FROM bm WHERE rank <= 20),
+_RANKS = f"""{_SCORES}, {_fuse(60, 100, 'pooled')},
+pool AS (SELECT p.query_id, p.doc_id, p.rank AS rank_a, allp.dot FROM pooled p JOIN allp USING (query_id, doc_id)),
 ranks AS (SELECT query_id, doc_id, rank_a, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, doc_id) AS rank_c FROM pool),
 rho AS (SELECT query_id, corr(rank_a, rank_c) AS rho FROM ranks GROUP BY query_id),
 size AS (SELECT query_id, count(*) AS k FROM ranks GROUP BY query_id),
@@ -176,8 +176,8 @@ _META = "meta AS (SELECT doc_id, source || '/' || lang AS title, lang AS gpu_fam
 _JUDGED = "jd AS (SELECT doc_id, source AS query_id, quality = 1 AS supported FROM labels JOIN documents USING (doc_id))"
 _RER = """
 rr AS (
-  SELECT query_id, doc_id, bm.rank AS prior, len(list_filter(list_distinct(qtoks), lambda t: list_contains(toks, t))) / nullif(len(list_distinct(qtoks)), 0) AS score
-  FROM bm JOIN dt USING (doc_id) JOIN (SELECT item_id AS query_id, {q} AS qtoks FROM benchmark) USING (query_id) WHERE bm.rank <= 20),
+  SELECT query_id, doc_id, pooled.rank AS prior, len(list_filter(list_distinct(qtoks), lambda t: list_contains(toks, t))) / nullif(len(list_distinct(qtoks)), 0) AS score
+  FROM pooled JOIN dt USING (doc_id) JOIN (SELECT item_id AS query_id, {q} AS qtoks FROM benchmark) USING (query_id)),
 rer AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, prior) AS rank FROM rr)
 """.replace("{q}", _tok("text"))
 
@@ -258,10 +258,10 @@ def all_sql() -> dict[str, str]:
         "method_overlap": f"""WITH {_SCORES} SELECT b.query_id, count(d.doc_id) AS overlap FROM (SELECT * FROM bm WHERE rank <= 5) b
             LEFT JOIN (SELECT * FROM dots WHERE rank <= 5) d ON b.query_id = d.query_id AND b.doc_id = d.doc_id GROUP BY b.query_id""",
         "top1_pairs": f"WITH {_SCORES}, {_fuse(60, 1)} SELECT query_id, doc_id FROM fused",
-        "rerank_scored": f"WITH {_SCORES}, {_RER} SELECT query_id, doc_id, round(score, 6) AS score, rank, 'live_fast' AS tier FROM rer WHERE rank <= 5",
-        "rerank_fallback": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 5",
-        "rerank_rank1": f"""WITH {_SCORES}, {_RER} SELECT b.query_id, b.doc_id AS before_id, r.doc_id AS after_id, b.doc_id <> r.doc_id AS moved
-            FROM bm b JOIN rer r USING (query_id) WHERE b.rank = 1 AND r.rank = 1""",
+        "rerank_scored": f"WITH {_SCORES}, {_fuse(60, 100, 'pooled')}, {_RER} SELECT query_id, doc_id, round(score, 6) AS score, rank, 'live_fast' AS tier FROM rer WHERE rank <= 5",
+        "rerank_fallback": f"WITH {_SCORES}, {_fuse(60, 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fused",
+        "rerank_rank1": f"""WITH {_SCORES}, {_fuse(60, 100, 'pooled')}, {_RER} SELECT b.query_id, b.doc_id AS before_id, r.doc_id AS after_id, b.doc_id <> r.doc_id AS moved
+            FROM pooled b JOIN rer r USING (query_id) WHERE b.rank = 1 AND r.rank = 1""",
         "dense_metrics": f"WITH {_VECTORS}, {_metrics('dense', 'vq', 'query_id', 'vec_id')} SELECT query_id, {r6('ndcg', 'ndcg_exp', 'mrr', 'prec_at_3', 'prec_at_5', 'prec_at_10')} FROM metric",
         "benchmark_rows": f"WITH {_BENCH} SELECT config, query_id, {r6(*means)}, cost_usd FROM bench",
         "benchmark_aggregate": f"WITH {_BENCH} SELECT config, {r6(*means, 'cost_usd')}, num_queries FROM agg",
@@ -280,6 +280,33 @@ def all_sql() -> dict[str, str]:
         "agreement_by_case": f"""WITH {_RANKS} SELECT (length(b.text) // 100)::BIGINT AS case_no, round(avg(rho), 6) AS rho, round(avg(rbo), 6) AS rbo
             FROM rho JOIN rb USING (query_id) JOIN benchmark b ON b.item_id = rho.query_id GROUP BY 1""",
         "agreement_summary": f"WITH {_RANKS} SELECT round(avg(rbo), 6) AS mean, round(quantile_cont(rbo, 0.5), 6) AS median, round(min(rbo), 6) AS least, round(max(rbo), 6) AS greatest FROM rb",
+        "agreement_gap": f"""WITH {_RANKS} SELECT count(*) FILTER (WHERE rbo > rho) AS n_above, count(*) AS n, round(avg(rbo - rho), 6) AS mean_gap
+            FROM rho JOIN rb USING (query_id) WHERE rho IS NOT NULL AND NOT isnan(rho)""",
+        "splade_dot_topk": f"""WITH {_SCORES},
+            s AS (SELECT query_id, doc_id, sum(ln(1 + qtf) * ln(1 + tf)) AS score FROM tf JOIN terms USING (term) GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+            SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+        "prefixed_queries": "SELECT item_id AS query_id, sha256('query: ' || text) AS query_sha256, sha256('passage: ' || text) AS passage_sha256 FROM benchmark",
+        "retrieve_without_dense": f"WITH {_SCORES} SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, rank FROM bm WHERE rank <= 10",
+        "first_queries": "SELECT 'bq' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 2, '0') AS name, item_id AS query_id, text AS query FROM benchmark ORDER BY item_id LIMIT 10",
+        "pool_labels": f"""WITH {_SCORES}, {_fuse()} SELECT query_id, doc_id, contains(d.text, b.text)::INT AS label
+            FROM fused JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id""",
+        "biencoder_mean": f"WITH {_VECTORS}, {_metrics('dense', 'vq', 'query_id', 'vec_id')} SELECT round(avg(ndcg_exp), 6) AS mean_ndcg, count(*) AS num_queries FROM metric",
+        "eda_mean_by_config": f"WITH {_BENCH} SELECT config, round(ndcg_at_10, 6) AS mean_ndcg, round(mrr, 6) AS mean_mrr FROM agg",
+        "latest_citation_run": f"WITH {_EVENTS} SELECT CASE WHEN stage = 'view' THEN duration_ms END AS metric FROM ev ORDER BY ev.ts DESC, event_id DESC LIMIT 1",
+        "drift_windows": f"""WITH {_EVENTS}, n AS (SELECT TIMESTAMP '2024-01-31' AS t)
+            SELECT 'baseline' AS "window", count(*) AS n, round(avg(duration_ms), 6) AS mean FROM ev, n WHERE ts >= t - INTERVAL 30 DAY AND ts < t - INTERVAL 23 DAY
+            UNION ALL SELECT 'current', count(*), round(avg(duration_ms), 6) FROM ev, n WHERE ts >= t - INTERVAL 2 DAY AND ts < t""",
+        "feedback_trailing_week": f"""WITH {_EVENTS} SELECT count(*) AS total, count(*) FILTER (WHERE reaction = 'up') AS up, count(*) FILTER (WHERE reaction = 'down') AS down,
+            round(count(*) FILTER (WHERE reaction = 'down') / count(*), 4) AS down_rate, count(*) >= 5 AND count(*) FILTER (WHERE reaction = 'down') / count(*) >= 0.30 AS alert
+            FROM fb WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY""",
+        "regression_run": f"""WITH {_EVENTS.replace("daily AS", "eachday AS")},
+            today AS (SELECT * FROM ev WHERE day = DATE '2024-01-30'),
+            asked AS (SELECT DISTINCT query_id FROM today WHERE query_id IS NOT NULL ORDER BY query_id LIMIT 20),
+            daily AS (SELECT * FROM eachday WHERE day < DATE '2024-01-30'
+                      UNION ALL SELECT stage, day, avg(duration_ms) FROM today JOIN asked USING (query_id) GROUP BY ALL), {_STREAK}
+            SELECT metric, streak, round(latest, 6) AS latest, last_day::VARCHAR AS day, streak >= 3 AS regressing FROM streak""",
+        "vector_positions": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vec_id FROM documents",
         "count_by_family": "SELECT coalesce(nullif(lang, ''), 'Unknown') AS family, count(*) AS n FROM documents GROUP BY lang",
         "below_threshold": f"WITH {_QUALITY} SELECT chunk_id, quality_score FROM quality WHERE quality_score < 0.6",
         "avg_quality_per_doc": f"""WITH {_QUALITY}, {_META} SELECT title, round(avg(quality_score), 4) AS avg_quality, count(*) AS chunks

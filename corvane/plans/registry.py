@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import agreement, analytics, dense, fusion, ingest, judge, metrics, monitoring, rerank, sparse
+from corvane.operators import agreement, analytics, dense, encode, flow, fusion, ingest, judge, metrics, monitoring, rerank, sparse
 from corvane.plans import oracles
 from corvane.plans import testbed as bed
+from corvane.sources.store import stored
 from corvane.streaming import feedback as feedback_stream
 
-TOP, POOL = 10, 20
+TOP, POOL = 10, 100
 SPLIT_DAY = "2024-01-16"
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -116,6 +117,21 @@ def chunk_split(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "pos", F.length("chunk_text").cast("long").alias("n_chars"), "chunk_id", "token_count")
 
 
+@query
+def vector_positions(s: SparkSession, d: str) -> DataFrame:
+    """Every document's place in the vector collection, in the order of identifiers."""
+    return ingest.numbered(bed.docs(s, d).select("doc_id"), "doc_id", "vec_id")
+
+
+@query
+def chunk_emission(s: SparkSession, d: str) -> DataFrame:
+    """The pieces of assembled conversations with the heading that each begins under."""
+    parts = ingest.page_offsets(bed.turns(s, d), doc="conv_id", page="turn")
+    texts = ingest.assembled(parts, doc="conv_id", page="turn")
+    rows = ingest.emitted_chunks(texts, parts.select("conv_id", F.col("char_offset").alias("offset"), "heading"), doc="conv_id")
+    return rows.select("conv_id", "chunk_index", "chunk_id", "token_count", "section_heading", F.length("chunk_text").cast("long").alias("n_chars"))
+
+
 @query
 def upsert_docs(s: SparkSession, d: str) -> DataFrame:
     """Stored: the labels; incoming: every document with a quality of its own, or null where its text has no line break."""
@@ -246,25 +262,29 @@ def top1_pairs(s: SparkSession, d: str) -> DataFrame:
     return _fused(s, d, n=1).select("query_id", "doc_id")
 
 
+def _with_texts(s: SparkSession, d: str, pool: DataFrame) -> DataFrame:
+    return pool.join(bed.docs(s, d), "doc_id").join(bed.queries(s, d), "query_id")
+
+
 @query
 def rerank_scored(s: SparkSession, d: str) -> DataFrame:
-    """The pool re-ranked by the share of the query's distinct tokens that a document holds."""
-    pool = _bm25(s, d, POOL).join(bed.docs(s, d), "doc_id").join(bed.queries(s, d), "query_id")
+    """The fused pool re-ranked by the share of the query's distinct tokens that a document holds."""
+    pool = _with_texts(s, d, _fused(s, d, n=POOL))
     got = rerank.routed(pool, "live_fast", {"live_fast": rerank.lexical_overlap}, 5)
     return _rounded(got.select("query_id", "doc_id", "score", "rank", "tier"), "score")
 
 
 @query
 def rerank_fallback(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(rerank.fallback(_bm25(s, d, POOL), 5), "score")
+    return _rounded(rerank.fallback(_fused(s, d, n=POOL), 5), "score")
 
 
 @query
 def rerank_rank1(s: SparkSession, d: str) -> DataFrame:
     """The first document before and after re-ranking, by query."""
-    pool = _bm25(s, d, POOL).join(bed.docs(s, d), "doc_id").join(bed.queries(s, d), "query_id")
-    after = rerank.by_score(pool, rerank.lexical_overlap(F.col("query"), F.col("text")), 1).select("query_id", F.col("doc_id").alias("after_id"))
-    before = _bm25(s, d, 1).select("query_id", F.col("doc_id").alias("before_id"))
+    fused = stored(_fused(s, d, n=POOL), "pool")
+    after = rerank.by_score(_with_texts(s, d, fused), rerank.lexical_overlap(F.col("query"), F.col("text")), 1).select("query_id", F.col("doc_id").alias("after_id"))
+    before = fused.where("rank = 1").select("query_id", F.col("doc_id").alias("before_id"))
     return before.join(after, "query_id").withColumn("moved", F.col("before_id") != F.col("after_id"))
 
 
@@ -308,11 +328,12 @@ def model_winner(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
-    """Two orderings of each query's pool: by BM25, and by the dot product."""
+    """Two orderings of each query's fused pool: as fused, and by the dot product."""
     docs, terms, scores = _scores(s, d)
-    a = sparse.search(scores, docs, terms, POOL)
-    dots = sparse.dot_scores(docs, terms).select("query_id", "doc_id", F.col("score").alias("dot"))
-    c = a.join(dots, ["query_id", "doc_id"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("dot", F.lit(0.0)).desc(), "doc_id")).cast("long"))
+    dots = stored(sparse.dot_scores(docs, terms), "dots")
+    a = stored(fusion.rrf([sparse.search(scores, docs, terms, POOL), sparse.top_k(dots, POOL)], POOL), "pool")
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("dot", F.lit(0.0)).desc(), "doc_id")
+    c = a.join(dots.withColumnRenamed("score", "dot"), ["query_id", "doc_id"], "left").withColumn("rank", F.row_number().over(order).cast("long"))
     return agreement.both_ranks(a, c)
 
 
@@ -350,6 +371,61 @@ def agreement_summary(s: SparkSession, d: str) -> DataFrame:
     return _rounded(agreement.summary(agreement.rbo(_ranks(s, d)), "rbo"), "mean", "median", "least", "greatest")
 
 
+@query
+def agreement_gap(s: SparkSession, d: str) -> DataFrame:
+    """In how many queries rank-biased overlap is above the correlation, and the mean gap."""
+    ranks = _ranks(s, d)
+    rows = agreement.spearman_full(ranks).join(agreement.rbo(ranks), "query_id")
+    return _rounded(agreement.gap(rows, "rbo", "rho"), "mean_gap")
+
+
+# encoders, retrieval node, fixed query set
+
+
+def _weights(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sparse vectors of documents and queries: log(1 + count) of each token."""
+    return encode.sparse_vectors(bed.docs(s, d), "doc_id"), encode.sparse_vectors(bed.queries(s, d), "query_id", "query")
+
+
+@query
+def splade_dot_topk(s: SparkSession, d: str) -> DataFrame:
+    docs, asked = _weights(s, d)
+    return _rounded(encode.sparse_top_k(docs, asked, TOP), "score")
+
+
+@query
+def prefixed_queries(s: SparkSession, d: str) -> DataFrame:
+    """Queries and passages as the default model wants them."""
+    rows = bed.queries(s, d).select("query_id", encode.prefixed(F.col("query"), "query").alias("q"), encode.prefixed(F.col("query"), "passage").alias("p"))
+    return rows.select("query_id", F.sha2("q", 256).alias("query_sha256"), F.sha2("p", 256).alias("passage_sha256"))
+
+
+@query
+def retrieve_without_dense(s: SparkSession, d: str) -> DataFrame:
+    """The retrieval node where no dense retriever is set."""
+    state = flow.retrieve(lambda: _bm25(s, d, POOL), None, TOP)
+    return _rounded(state.fused.select("query_id", "doc_id", "score", "rank"), "score")
+
+
+@query
+def first_queries(s: SparkSession, d: str) -> DataFrame:
+    """The first queries of the benchmark's set, numbered."""
+    return flow.first_queries(bed.queries(s, d), 10)
+
+
+@query
+def pool_labels(s: SparkSession, d: str) -> DataFrame:
+    """Every pair of a query and a pooled document, labelled 1 where the document holds the passage."""
+    pairs = _with_texts(s, d, _fused(s, d))
+    return judge.label_pool(pairs, F.contains("text", "query").cast("int")).select("query_id", "doc_id", "label")
+
+
+@query
+def biencoder_mean(s: SparkSession, d: str) -> DataFrame:
+    """Mean exponential NDCG of the vectors' own ranking."""
+    return dense_metrics(s, d).agg(r6(F.avg("ndcg_exp")).alias("mean_ndcg"), F.count(F.lit(1)).alias("num_queries"))
+
+
 # catalogue analytics
 
 
@@ -392,12 +468,25 @@ def avg_price_per_nation(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def eda_canned(s: SparkSession, d: str) -> DataFrame:
-    """The three canned questions: mean by config, share supported, the day of the largest value."""
+    """Two of the three canned questions: share supported, the day of the largest value (the third, the mean by config, is ``eda_mean_by_config``)."""
     day = bed.daily(s, d).groupBy("day").agg(F.max("score").alias("m")).agg(F.max_by("day", F.struct("m", "day")).alias("worst_day"))
     share = judge.accuracy(bed.judgments(s, d))
     return share.crossJoin(day).select(r6("citation_accuracy").alias("citation_accuracy"), F.col("worst_day").cast("string").alias("worst_day"))
 
 
+@query
+def eda_mean_by_config(s: SparkSession, d: str) -> DataFrame:
+    rows = _benchmark(s, d).groupBy("config").agg(F.avg("ndcg_at_10").alias("mean_ndcg"), F.avg("mrr").alias("mean_mrr"))
+    return _rounded(rows, "mean_ndcg", "mean_mrr")
+
+
+@query
+def latest_citation_run(s: SparkSession, d: str) -> DataFrame:
+    """The value of the newest run alone, null if it has none; only some events count as runs with a value."""
+    rows = bed.events(s, d).withColumn("metric", F.when(F.col("stage") == "view", F.col("duration_ms")))
+    return analytics.newest(rows, "ts", "metric", "event_id").select("metric")
+
+
 @query
 def latest_run_per_config(s: SparkSession, d: str) -> DataFrame:
     got = analytics.latest_by(bed.events(s, d), "user_id", "ts", "duration_ms", "event_id")
@@ -509,6 +598,32 @@ def feedback_weekly(s: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("week_start").cast("string").alias("week_start"), "total", "up", "down", "down_rate", "alert")
 
 
+NOW = "2024-01-31"
+
+
+@query
+def drift_windows(s: SparkSession, d: str) -> DataFrame:
+    """How many values, and their mean, in the baseline's and the current window before a fixed day."""
+    base, cur = monitoring.drift_windows(bed.events(s, d), "ts", NOW, (30, 23, 2))
+    parts = [x.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("duration_ms")).alias("mean")).select(F.lit(name).alias("window"), "n", "mean") for name, x in (("baseline", base), ("current", cur))]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def feedback_trailing_week(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.feedback_summary(monitoring.trailing(bed.feedback(s, d), "ts", NOW, 7))
+
+
+@query
+def regression_run(s: SparkSession, d: str) -> DataFrame:
+    """The last day's scores of the first 20 queries, appended to the history before it."""
+    last = "2024-01-30"
+    history = bed.daily(s, d).where(F.col("day") < last)
+    today = bed.events(s, d).where(F.col("day") == last).select(F.col("stage").alias("metric"), "query_id", "day", F.col("duration_ms").alias("score"))
+    found = monitoring.regression_run(history, today, 20)
+    return found.select("metric", "streak", r6("latest").alias("latest"), F.col("day").cast("string").alias("day"), "regressing")
+
+
 @query
 def drift_alert(s: SparkSession, d: str) -> DataFrame:
     base, cur = _windows(s, d)

@@ -51,6 +51,13 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("results"))
 
 
+def cached_pools(spark: SparkSession, path: str, method: str = "method_c_rrf") -> DataFrame:
+    """query_id, chunk_id, text, score, rank of saved candidate pools: a JSON array of cases, each with its candidates under ``method``."""
+    candidate = "array<struct<chunk_id:string,text:string,score:double,rank:int>>"
+    rows = spark.read.option("multiLine", "true").schema(f"query_id string, {method} {candidate}").json(path)
+    return rows.select("query_id", F.inline(method))
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

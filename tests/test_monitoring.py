@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import deque
 from pathlib import Path
 
 import numpy as np
@@ -60,7 +62,7 @@ def test_term_shift(spark: SparkSession) -> None:
     assert len(monitoring.top_shifts(monitoring.term_shift(texts(spark, "a b c d e"), texts(spark, "f g h i j"), 0.0), 2).collect()) == 2
 
 
-@pytest.mark.parametrize(("series", "eps", "want"), [([0.8], 0, 0), ([0.8, 0.8], 0, 0), ([0.9, 0.8, 0.7], 0, 2), ([0.95, 0.9, 0.8, 0.7], 0, 3), ([0.5, 0.9, 0.8, 0.7], 0, 2), ([0.7, None, 0.8], 0, 0), ([0.80, 0.79, 0.78], 0.02, 0), ([0.80, 0.75, 0.70], 0.02, 2)])
+@pytest.mark.parametrize(("series", "eps", "want"), [([0.61], 0, 0), ([0.4, 0.4, 0.4], 0, 0), ([0.3, 0.5, 0.9], 0, 0), ([0.77, 0.71, 0.52], 0, 2), ([0.91, 0.62, 0.44, 0.43, 0.1], 0, 4), ([0.2, 0.66, 0.6, 0.35], 0, 2), ([0.9, None, 0.7, 0.8], 0, 0), ([0.9, None, 0.7, 0.6], 0, 2), ([0.55, 0.54, 0.53], 0.03, 0), ([0.6, 0.5, 0.4], 0.03, 2)])
 def test_streaks(spark: SparkSession, series: list, eps: float, want: int) -> None:
     df = spark.createDataFrame([("m", dt.date(2026, 1, 1 + i), x) for i, x in enumerate(series)], "metric string, day date, score double")
     assert monitoring.streaks(df, eps).first()["streak"] == want
@@ -107,6 +109,71 @@ def test_splitter_invariants() -> None:
     assert ingest.split_text("") == [] and ingest.split_text("short") == ["short"]
 
 
+def recursive_pieces(text: str, size: int, overlap: int, seps: tuple[str, ...]) -> list[str]:
+    """The splitter once more: units cut at the first separator that occurs, then packed greedily."""
+    while seps and seps[0] and seps[0] not in text:
+        seps = seps[1:]
+    sep, rest = (seps[0], seps[1:]) if seps else ("", ())
+    cut = text.split(sep) if sep else []
+    units = [u for u in [cut[0], *(sep + c for c in cut[1:])] if u] if sep else list(text)  # a separator begins what follows
+    out: list[str] = []
+    window: deque[str] = deque()
+    for u in [*units, None]:
+        if u is None or len(u) >= size:
+            if window:
+                out.append("".join(window))
+                window.clear()
+            if u is not None:
+                out += recursive_pieces(u, size, overlap, rest) if rest else [u]
+            continue
+        if window and sum(map(len, window)) + len(u) > size:
+            out.append("".join(window))
+            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(u) > size):
+                window.popleft()
+        window.append(u)
+    return [p.strip() for p in out if p.strip()]
+
+
+def test_splitter_on_recorded_pieces_and_by_brute_force(spark: SparkSession) -> None:
+    for text, size, overlap, want, at in (
+        ("aa bb. cc dd\n\nee ff", 8, 3, ["aa bb", ". cc dd", "ee ff"], [0, 5, 14]), ("one two three four five", 11, 4, ["one two", "two three", "four five"], [0, 4, 14]),
+        ("x" * 20, 8, 3, ["x" * 8, "x" * 8, "x" * 8, "x" * 5], [0, 5, 10, 15]), ("a\nb\nc\n\nd e f g h", 5, 2, ["a\nb\nc", "d e", "e f", "f g", "g h"], [0, 7, 9, 11, 13]),
+    ):
+        assert ingest.split_text(text, size, overlap) == want
+        assert ingest.localised(text, want, overlap) == at
+    r = random.Random(6)
+    texts = ["".join(r.choice(["\n\n", "\n", ". ", " ", "a", "bc", "def", "ghijk"]) for _ in range(r.randint(0, 120))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
+    rows = ingest.chunk_documents(df, size=30, overlap=8).orderBy("doc_id", "chunk_index").collect()
+    got = {i: [x["chunk_text"] for x in rows if x["doc_id"] == i] for i in range(len(texts))}
+    assert got == {i: recursive_pieces(t, 30, 8, ingest.SEPARATORS) for i, t in enumerate(texts)}
+    heads = spark.createDataFrame([(1, 0, "A"), (1, 20, "B")], "doc_id long, offset long, heading string")
+    for x in ingest.emitted_chunks(df.where("doc_id < 3"), heads, size=30, overlap=8).collect():
+        assert x["section_heading"] == (None if x["doc_id"] != 1 else "A" if x["pos"] < 20 else "B")
+        assert x["token_count"] == len(x["chunk_text"].split())
+
+
+def test_windows_and_regression_run(spark: SparkSession) -> None:
+    now = dt.datetime(2026, 3, 1)
+    rows = spark.createDataFrame([(h, now - dt.timedelta(hours=h)) for h in range(0, 40 * 24, 6)], "h long, ts timestamp")
+    base, cur = monitoring.drift_windows(rows, "ts", "2026-03-01")
+    assert {r["h"] for r in base.collect()} == {h for h in range(0, 960, 6) if 30 * 24 < h <= 37 * 24}
+    assert {r["h"] for r in cur.collect()} == {6, 12, 18, 24}
+    assert {r["h"] for r in monitoring.trailing(rows, "ts", "2026-03-01").collect()} == {h for h in range(0, 960, 6) if h <= 168}
+    day = lambda i: dt.date(2026, 1, i)
+    history = spark.createDataFrame([("m", day(1), 0.9), ("m", day(2), 0.8), ("m", day(3), 0.7), ("m", day(4), 5.0)], "metric string, day date, score double")
+    today = spark.createDataFrame([("m", q, day(4), x) for q, x in (("a", 0.2), ("b", 0.4), ("c", 9.0), (None, 9.0))], "metric string, query_id string, day date, score double")
+    got = monitoring.regression_run(history, today, 2).first()
+    assert (got["streak"], round(got["latest"], 9), got["regressing"]) == (3, 0.3, True)  # the day is replaced, the third query left out
+
+
+def test_positions(spark: SparkSession) -> None:
+    ids = [f"d{i * 7919 % 1000:03d}" for i in range(1000)]
+    df = spark.createDataFrame([(i, 1) for i in ids], "doc_id string, _n long").repartition(5)
+    assert {r["doc_id"]: r["vec_id"] for r in ingest.numbered(df.select("doc_id"), "doc_id", "vec_id").collect()} == {d: i for i, d in enumerate(sorted(ids))}
+    assert ingest.numbered(df.select("doc_id").limit(0), "doc_id", "vec_id").collect() == []
+
+
 def test_files(spark: SparkSession, tmp_path: Path) -> None:
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"<html>")
