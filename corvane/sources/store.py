@@ -20,7 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: it is computed once, and a lost executor costs a re-read."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back.
+
+    This cuts the lineage: what follows reads files that every executor sees, so it is computed once, a
+    lost executor costs a re-read, and values that a task numbered stay as they are.
+    """
     path = f"{shared_dir(df.sparkSession)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``, when nothing reads it any more."""
+    remove(df.sparkSession, df.stored_at)

@@ -40,7 +40,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.split('.')[0] == 'corpus_pipeline' or name.startswith('corvane.llm'):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert 'rrf_fused_topk' in e.queries() and 'pipeline' not in e.queries() and not any(q.startswith('op1_') for q in e.queries())
