@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.store import discard, shared_dir, stored
+
+__all__ = ["ascii_lower", "bucketed", "discard", "let", "shared_dir", "shuffle_width", "stored", "table"]
+
 # The six characters that separate words, and the ASCII letters.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,43 +41,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (local tests) a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage: what follows reads files that every executor sees, so a
-    lost executor costs a re-read, and values that a task numbered stay as they are.
-    """
-    path = f"{shared_dir(df.sparkSession)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for ``df``, when nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As ``stored``, in buckets by ``key``: later joins on the key with as many partitions move the other side only."""
     at = uuid.uuid4().hex
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/corvane-{name}-{at}").saveAsTable(f"corvane_{name}_{at}", format="parquet")
-    return df.sparkSession.table(f"corvane_{name}_{at}")
+    own = f"corvane_{name}_{at}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/corvane-{name}-{at}").saveAsTable(own, format="parquet")
+    out = df.sparkSession.table(own)
+    df.sparkSession.sql(f"DROP TABLE {own}")  # of the catalog only: the files are the shared folder's, and ``out`` knows them
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
