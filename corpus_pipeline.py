@@ -20,6 +20,7 @@ from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.packing import added_tokens, pack
 from corvane.llm.quality_lines import cleaned_text, quality
+from corvane.sources.store import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Target shares of tokens by domain. The total is raised where clean text would want less than there is, so that its target is never below what is present.
@@ -28,13 +29,16 @@ CAPACITY = 2048
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality rules keep, without the lines that fail; ``n_chars`` is that of the text left."""
+    """Keeps the documents that the quality rules keep, without the lines that fail; ``n_chars`` is that of the text left.
+
+    Null, empty and short texts fail the base rule and go. Rows are judged one by one, so repeated rows stay repeated; a null identifier, lang or source stays null.
+    """
     kept = quality(docs.select(*COLUMNS)).where("kept").withColumn("text", cleaned_text(F.col("text")))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts: that with the largest identifier."""
+    """Keeps one row of each group of equal texts: that with the largest identifier. A null text is an empty one; a null identifier loses against any other."""
     return content_sort(docs.select(*COLUMNS), keep="largest").where("kept").select(*COLUMNS)
 
 
@@ -49,13 +53,17 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins the documents to the target weights, each at its rate (0 to 1)."""
+    """Thins the documents to the target weights, each at its rate (0 to 1).
+
+    Null texts count as empty. Repeated rows are documents of their own but share an identifier's fate; a null identifier is one like any other. Labels that are
+    null, repeated or of no document: see ``train_classifier``. Without labels all documents are of one domain and stay.
+    """
     mixed, _ = mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS, max_rate=1.0, whole="clean")
     return mixed.where("copies > 0").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of ``CAPACITY`` tokens."""
+    """The pieces of all documents with their places in sequences of ``CAPACITY`` tokens. A null text is an empty document of one token; every row is packed."""
     added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, CAPACITY, added=added)
 
@@ -73,10 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies ``STAGES`` to ``documents``; each result is written as Parquet in the shared folder and read again."""
+    """Applies ``STAGES`` to ``documents``; each result is written as Parquet in the shared folder and read again, and goes when the next one is there."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/corvane-pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
