@@ -196,11 +196,44 @@ def _transitions(packed: DataFrame, looked: DataFrame, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def _moved(around: np.ndarray, cls: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The classes of words after each was taken out of its class and put where the class bigrams become likeliest.
+
+    ``around`` has the classes before and after each word (k counts each). Every move changes the counts that the next word is judged under; the
+    moves of other shares are seen with the next pass.
+    """
+    k = len(moves)
+    now, mass = moves.astype(float).copy(), moves.sum(axis=0).astype(float)
+    out = cls.copy()
+    for w in np.argsort(-around[:, :k].sum(axis=1), kind="stable"):  # frequent words first
+        left, right = around[w, :k], around[w, k:]
+        n, a = left.sum(), out[w]
+        if not n:
+            continue
+        now[a] -= right
+        now[:, a] -= left
+        np.maximum(now, 0, out=now)  # a word beside itself is taken out twice
+        mass[a] -= n
+        i, j = np.flatnonzero(left), np.flatnonzero(right)
+        gain = (_xlogx(now[:, j] + right[j]) - _xlogx(now[:, j])).sum(axis=1) + (_xlogx(now[i] + left[i, None]) - _xlogx(now[i])).sum(axis=0)
+        gain -= 2 * (_xlogx(mass + n) - _xlogx(mass))
+        gain[: RARE_CLASS + 1] = -np.inf
+        b = out[w] = gain.argmax()
+        now[b] += right
+        now[:, b] += left
+        mass[b] += n
+    return out
+
+
 def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: np.ndarray, group: tuple[int, int], p: BrownParams) -> DataFrame:
     """One exchange pass: each frequent word of one group moves to the class that makes its neighbours likeliest.
 
     Tasks sum the classes to the left and right of each such word in their chunks; a shuffle by share of the lexicon sums them over the corpus;
-    then log P(class | left) + log P(right | class) - n log size(class) is compared for all classes, under the counts of the classes as they stand.
+    then ``_moved`` takes the words of a share one after another.
     """
     k = p.classes
 
@@ -219,10 +252,6 @@ def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: n
                 rows = [(s, r.chunk, _squeezed(both[a:b].ravel())) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
                 yield pd.DataFrame(rows, columns=["share", "chunk", "around"])
 
-    smooth = moves + p.alpha
-    ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    mass = np.log(np.maximum(moves.sum(axis=0), 1.0))
-
     def choose(words_of: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         out = words_of.copy()
         for row in range(len(words_of)):  # one row a share
@@ -235,10 +264,8 @@ def _exchange(packed: DataFrame, looked: DataFrame, lexicon: DataFrame, moves: n
             for chunk, x in zip(around["chunk"], around["around"], strict=True):
                 i = places[chunk]
                 got[at[i[moving[i]]]] += _opened(x).reshape(-1, 2 * k)  # a word is once in a chunk's vocabulary
-            gain = got[:, :k] @ ahead + got[:, k:] @ ahead.T - got[:, :k].sum(axis=1, keepdims=True) * mass[None, :]
-            gain[:, : RARE_CLASS + 1] = -np.inf
-            seen = got.any(axis=1)
-            cls[np.flatnonzero(moving)[seen]] = gain.argmax(axis=1)[seen]
+            at = np.flatnonzero(moving)
+            cls[at] = _moved(got, cls[at].astype(np.int64), moves)
             out.at[out.index[row], "cls"] = cls.tobytes()
         return out
 
