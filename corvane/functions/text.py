@@ -24,8 +24,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of ASCII letters, digits and underscores between word borders, of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Runs of ASCII letters, digits and underscores between word borders, of the lower-cased text.
+
+    Where every character is one byte, all borders are those of the runs, and a plain pattern finds the same far faster.
+    """
+    found = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    return let(F.lower(text), lambda t: F.when(F.octet_length(t) == F.length(t), found(t, "[a-z0-9_]+")).otherwise(found(t, TOKEN)))
 
 
 def nonascii_ratio(text: Column) -> Column:

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import quality
-from corvane.sources.store import stored
+from corvane.sources.store import spread, stored
+
+
+#: Tables of texts: what is done to a row costs far more than moving it.
+TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
