@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.store import discard, shared_dir, stored
+from corvane.sources.store import discard, shared_dir, spread, stored
 
 __all__ = ["ascii_lower", "bucketed", "discard", "let", "shared_dir", "shuffle_width", "stored", "table"]
 
@@ -21,7 +21,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(col: Column) -> Column:
