@@ -93,7 +93,7 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
 line AS (SELECT r, unnest(lines) AS x FROM d),
 judged AS (
-  SELECT r, length(x) AS chars, length(x) - length(replace(x, ' ', '')) + 1 AS n, x FROM line),
+  SELECT r, length(x) AS chars, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n, x FROM line),
 lost AS (
   SELECT r, sum(chars) AS total, sum(CASE WHEN
       (n < 10 AND NOT regexp_matches(x, '{_END}'))

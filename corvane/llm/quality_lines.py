@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import GAP, SPACE, let
+from corvane.llm.common import GAP, SPACE, WORD, let
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -86,7 +86,7 @@ def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
 
 def _line_fails(line: Column, rules: LineRules) -> Column:
     """True for a line that the punctuation, navigation or boilerplate rules remove."""
-    n = _count(line, " ") + 1
+    n = F.regexp_count(line, F.lit(WORD))
     low = F.lower(line)
     short = n < rules.short_line_words
     return (
@@ -99,49 +99,60 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
     )
 
 
-def _counts(text: Column, rules: LineRules) -> Column:
-    """All measures of one text in one struct, its words split once and its lines split once."""
+def _counts(text: Column, rules: LineRules, clean: bool) -> Column:
+    """All measures of one text in one struct, its words split once and its lines split and judged once; with ``clean`` also the text without failing lines."""
     def by_words(w: Column) -> Column:
         return F.struct(F.size(w).alias("n_words"), repeated_window_words(w).alias("n_repeat_words"))
 
+    def judge(line: Column) -> Column:
+        blank = F.btrim(line, F.lit(SPACE)) == ""
+        return F.struct(line.alias("x"), blank.alias("blank"), (~blank & _line_fails(line, rules)).alias("fails"))
+
     def by_lines(lines: Column) -> Column:
-        full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
+        def size(some: Column) -> Column:
+            return F.aggregate(some, F.lit(0), lambda a, s: a + F.length(s["x"]))
 
-        def of(f: Column) -> Column:
-            lost = F.aggregate(F.transform(f, lambda x: F.when(_line_fails(x, rules), F.length(x)).otherwise(F.lit(0))), F.lit(0), lambda a, x: a + x)
-            total = F.aggregate(F.transform(f, lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
-            return F.struct((F.size(f) - F.size(F.array_distinct(f))).alias("n_dup_lines"), lost.alias("lost_chars"), total.alias("line_chars"))
+        def of(full: Column) -> Column:
+            lost = size(F.filter(full, lambda s: s["fails"]))
+            alike = F.size(full) - F.size(F.array_distinct(F.transform(full, lambda s: s["x"])))
+            return F.struct(alike.alias("n_dup_lines"), lost.alias("lost_chars"), size(full).alias("line_chars"))
 
-        return let(full, of)
+        measures = let(F.filter(lines, lambda s: ~s["blank"]), of)
+        if not clean:
+            return F.struct(measures.alias("m"))
+        left = F.array_join(F.transform(F.filter(lines, lambda s: ~s["fails"]), lambda s: s["x"]), "\n")
+        return F.struct(measures.alias("m"), left.alias("clean"))
 
     return F.struct(
         let(words_of(text), by_words).alias("w"),
-        let(F.split(text, "\n"), by_lines).alias("l"),
+        let(F.transform(F.split(text, "\n"), judge), by_lines).alias("l"),
         F.length(_without(text, SPACE)).alias("word_chars"),
         _count(text, SYMBOLS).alias("n_symbols"),
     )
 
 
-def quality(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None, clean_col: str | None = None) -> DataFrame:
     """Adds the base counts, the lines' loss and the verdict to ``docs``; no shuffle, one row for each row.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), lost_share (double, of the characters of
-    lines with a word), base_failed and kept (boolean); columns of these names are replaced, others pass through.
+    lines with a word), base_failed and kept (boolean); columns of these names are replaced, others pass through. ``clean_col`` names a further column
+    (it may be ``text_col``) for the text without the lines that fail: line order, line ends and blank lines stay.
     Each line is judged first; a text that loses more than ``max_lost_share`` of its characters
     is rejected. A null, empty or blank text has counts of 0 and fails the base rule.
     """
     rules = rules or LineRules()
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_share", "base_failed", "kept")
     own = [c for c in docs.columns if c not in added]
-    got = docs.select(*own, let(F.coalesce(F.col(text_col), F.lit("")), lambda t: _counts(t, rules)).alias("_q"))
+    got = docs.select(*own, let(F.coalesce(F.col(text_col), F.lit("")), lambda t: _counts(t, rules, clean_col is not None)).alias("_q"))
     n, rep = F.col("_q.w.n_words"), F.col("_q.w.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
-    share = F.coalesce(F.col("_q.l.lost_chars") / F.nullif(F.col("_q.l.line_chars"), F.lit(0)), F.lit(0.0))
+    share = F.coalesce(F.col("_q.l.m.lost_chars") / F.nullif(F.col("_q.l.m.line_chars"), F.lit(0)), F.lit(0.0))
     lost = share > rules.max_lost_share
+    cleaned = [F.col("_q.l.clean").alias(clean_col)] if clean_col else []
     return got.select(
-        *own,
+        *[c for c in own if c != clean_col], *cleaned,
         n.cast("long").alias("n_words"), F.col("_q.word_chars").cast("long").alias("word_chars"),
-        F.col("_q.n_symbols").cast("long").alias("n_symbols"), F.col("_q.l.n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col("_q.n_symbols").cast("long").alias("n_symbols"), F.col("_q.l.m.n_dup_lines").cast("long").alias("n_dup_lines"),
         rep.cast("long").alias("n_repeat_words"), share.alias("lost_share"),
         failed.alias("base_failed"), (~failed & ~lost).alias("kept"),
     )

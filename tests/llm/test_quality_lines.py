@@ -51,3 +51,17 @@ def test_lines_decide(spark: SparkSession) -> None:
     assert got == {"clean": True, "menu": False, "shout": False, "symbols": False, "frame": False}
     text = spark.createDataFrame([(good + "\nHome\n" + good,)], "t string").select(cleaned_text(F.col("t"))).first()[0]
     assert text == good + "\n" + good
+
+
+def test_a_lines_words_are_runs_whatever_parts_them(spark: SparkSession) -> None:
+    seven, ten = ["w" + c for c in "abcdefg"], ["w" + c for c in "abcdefghij"]
+    lines = ["  ".join(seven) + "  ", "\t".join(ten), " ".join(ten), "\t".join(seven)]  # no end mark: only a line of ten words or more stays
+    text = spark.createDataFrame([("\n".join(lines),)], "t string").select(cleaned_text(F.col("t"))).first()[0]
+    assert text == "\n".join(lines[1:3])
+
+
+def test_the_clean_column_is_the_cleaned_text(awkward: DataFrame) -> None:
+    want = awkward.select(F.coalesce("text", F.lit("")).alias("t")).select(cleaned_text(F.col("t")).alias("c")).collect()
+    got = quality(awkward, clean_col="text").select("text").collect()
+    assert sorted(r["text"] for r in got) == sorted(r["c"] for r in want)
+    assert quality(awkward, clean_col="key").columns.count("key") == 1
