@@ -19,7 +19,7 @@ from corvane.llm.exact_dedup import content_sort
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.packing import added_tokens, pack
-from corvane.llm.quality_lines import cleaned_text, quality
+from corvane.llm.quality_lines import quality
 from corvane.sources.store import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and short texts fail the base rule and go. Rows are judged one by one, so repeated rows stay repeated; a null identifier, lang or source stays null.
     """
-    kept = quality(docs.select(*COLUMNS)).where("kept").withColumn("text", cleaned_text(F.col("text")))
+    kept = quality(docs.select(*COLUMNS), clean_col="text").where("kept")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
