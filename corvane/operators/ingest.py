@@ -30,6 +30,12 @@ def require_all(manifest: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.where(F.when(F.col("_hit").isNull(), lost).otherwise(True)).drop("_hit")
 
 
+def download_report(manifest: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """``key`` and status of every document of the manifest: ok, or download_failed if there is no file of it or the file is not what it should be (is_pdf)."""
+    found = files.groupBy(key).agg(F.bool_or("is_pdf").alias("_ok"))
+    return manifest.select(key).join(found, key, "left").select(key, F.when(F.coalesce("_ok", F.lit(False)), "ok").otherwise("download_failed").alias("status"))
+
+
 def heading_spans(spans: DataFrame) -> DataFrame:
     """Page texts and headings from (doc_id, page, span_no, text, size, flags): large or bold short spans are headings."""
     heading = ((F.col("size") >= 12) | (F.col("flags").bitwiseAND(16) != 0)) & (F.length("text") < 120)
@@ -153,6 +159,18 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_p", "_first", "_before")
 
 
+def upsert_vectors(stored_rows: DataFrame, incoming: DataFrame, key: str, name: str = "vec_id") -> DataFrame:
+    """The collection after an upsert: known keys keep their place ``name`` and take the new values, new keys follow in order of ``key``."""
+    values = [c for c in incoming.columns if c != key]
+    known = incoming.join(stored_rows.select(key, name), key)
+    kept = stored_rows.join(incoming.select(key), key, "left_anti")
+    last = stored_rows.agg(F.coalesce(F.max(name), F.lit(-1)).alias("_last"))
+    new = numbered(incoming.join(stored_rows.select(key), key, "left_anti"), key, name).crossJoin(F.broadcast(last))  # last is one row
+    new = new.withColumn(name, F.col(name) + F.col("_last") + 1)
+    columns = [key, name, *values]
+    return kept.select(*columns).unionByName(known.select(*columns)).unionByName(new.select(*columns))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows of both; where both have the key, each column is the new value or, if that is null, the old one. Adds action: insert, update or keep."""
     values = [c for c in stored.columns if c != key]

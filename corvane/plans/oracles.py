@@ -307,6 +307,32 @@ def all_sql() -> dict[str, str]:
                       UNION ALL SELECT stage, day, avg(duration_ms) FROM today JOIN asked USING (query_id) GROUP BY ALL), {_STREAK}
             SELECT metric, streak, round(latest, 6) AS latest, last_day::VARCHAR AS day, streak >= 3 AS regressing FROM streak""",
         "vector_positions": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vec_id FROM documents",
+        "download_report": """SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'ok' ELSE 'download_failed' END AS status FROM documents""",
+        "vector_upsert": """
+            WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vec_id FROM documents WHERE lang = 'en'),
+            n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 + (SELECT count(*) FROM o) AS vec_id FROM documents WHERE lang <> 'en')
+            SELECT doc_id, vec_id, length(source)::BIGINT AS payload FROM (SELECT * FROM o UNION ALL SELECT * FROM n) JOIN documents USING (doc_id)""",
+        "upsert_quality": f"""WITH {_QUALITY}, o AS (SELECT DISTINCT doc_id AS chunk_id FROM labels)
+            SELECT coalesce(q.chunk_id, o.chunk_id) AS chunk_id, coalesce(quality_score, 0.0) AS quality_score, coalesce(quality_score < 0.40, true) AS flagged,
+                   CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN q.chunk_id IS NULL THEN 'keep' ELSE 'update' END AS action
+            FROM quality q FULL JOIN o ON q.chunk_id = o.chunk_id""",
+        "bm25_from_index": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
+        "method_comparison_snippets": f"""WITH {_SCORES}, {_fuse(60, 3)},
+            m AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM bm WHERE rank <= 3 UNION ALL SELECT 'dot', query_id, doc_id, rank FROM dots WHERE rank <= 3
+                  UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM fused)
+            SELECT method, query_id, doc_id, rank, substr(trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')), 1, 80) AS snippet FROM m JOIN documents USING (doc_id)""",
+        "request_log": """
+            WITH p AS (SELECT page_id, html, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS endpoint FROM pages)
+            SELECT page_id, endpoint, coalesce(nullif(string_split(trim(endpoint, '/'), '/')[1], ''), 'root') AS stage, CASE WHEN length(html) > 0 THEN 200 ELSE 500 END AS status_code FROM p""",
+        "footer_query_ids": "SELECT conv_id, turn, CASE WHEN role <> 'system' THEN 'c' || conv_id END AS query_id FROM conversations",
+        "tracked_reactions": f"WITH {_EVENTS} SELECT reaction, count(*) AS n FROM fb GROUP BY reaction",
+        "recovered_citations": """
+            SELECT doc_id, contains(text, chr(10))::BIGINT AS n, CASE WHEN contains(text, chr(10)) THEN source END AS claim, CASE WHEN contains(text, chr(10)) THEN doc_id::VARCHAR END AS chunk_id
+            FROM documents""",
+        "evaluate_node": f"""WITH {_SCORES}, {_QRELS} SELECT round(coalesce(avg((b.doc_id IS NOT NULL)::INT), 0), 6) AS citation_accuracy
+            FROM qrels q LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) b ON q.query_id = b.query_id AND q.doc_id = b.doc_id""",
+        "labels_round_trip": f"WITH {_QRELS} SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS chunk_id, 1::INT AS label FROM qrels",
+        "history_append": f"WITH {_EVENTS} SELECT metric, day::VARCHAR AS day, score FROM daily",
         "count_by_family": "SELECT coalesce(nullif(lang, ''), 'Unknown') AS family, count(*) AS n FROM documents GROUP BY lang",
         "below_threshold": f"WITH {_QUALITY} SELECT chunk_id, quality_score FROM quality WHERE quality_score < 0.6",
         "avg_quality_per_doc": f"""WITH {_QUALITY}, {_META} SELECT title, round(avg(quality_score), 4) AS avg_quality, count(*) AS chunks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from corvane.functions import text as T
 from corvane.operators import agreement, analytics, dense, encode, flow, fusion, ingest, judge, metrics, monitoring, rerank, sparse
 from corvane.plans import oracles
 from corvane.plans import testbed as bed
-from corvane.sources.store import stored
+from corvane.sources import readers
+from corvane.sources.store import shared_dir, stored
 from corvane.streaming import feedback as feedback_stream
 
 TOP, POOL = 10, 100
@@ -79,6 +81,28 @@ def request_stages(s: SparkSession, d: str) -> DataFrame:
     return bed.table(s, d, "pages").groupBy(T.request_stage(path).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def request_log(s: SparkSession, d: str) -> DataFrame:
+    """One row for each page that was asked for: its path, its stage and whether its answer had a body."""
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    return bed.table(s, d, "pages").select("page_id", path.alias("endpoint"), T.request_stage(path).alias("stage"), F.when(F.length("html") > 0, 200).otherwise(500).alias("status_code"))
+
+
+@query
+def footer_query_ids(s: SparkSession, d: str) -> DataFrame:
+    """The identifier read back from the footer of a message; the system's messages have none."""
+    footer = F.when(F.col("heading") == "system", "").otherwise(F.concat(F.lit("\nquery_id: `c"), F.col("conv_id").cast("string"), F.lit("`")))
+    return bed.turns(s, d).select("conv_id", "turn", T.footer_query_id(F.concat("text", footer)).alias("query_id"))
+
+
+@query
+def tracked_reactions(s: SparkSession, d: str) -> DataFrame:
+    """Events as reactions by name: only the two tracked ones count."""
+    name = F.when(F.col("stage") == "click", "thumbsup").when(F.col("stage") == "error", "thumbsdown").otherwise("eyes")
+    rows = bed.events(s, d).select(T.reaction(name).alias("reaction")).where("reaction is not null")
+    return rows.groupBy("reaction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def search_tab_context(s: SparkSession, d: str) -> DataFrame:
     """The context of each conversation: its first three turns as passages, in order."""
@@ -132,6 +156,28 @@ def chunk_emission(s: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "chunk_index", "chunk_id", "token_count", "section_heading", F.length("chunk_text").cast("long").alias("n_chars"))
 
 
+@query
+def download_report(s: SparkSession, d: str) -> DataFrame:
+    """Every document is on the manifest; labelled ones have a file, which is right if their quality is 1."""
+    files = bed.table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("is_pdf"))
+    return ingest.download_report(bed.docs(s, d), files, "doc_id")
+
+
+@query
+def vector_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Stored: the English documents; incoming: all, with the length of their source's name."""
+    rows = bed.table(s, d, "documents").select("doc_id", "lang", F.length("source").cast("long").alias("payload"))
+    old = ingest.numbered(rows.where("lang = 'en'").select("doc_id", F.lit(None).cast("long").alias("payload")), "doc_id", "vec_id")
+    return ingest.upsert_vectors(old, rows.drop("lang"), "doc_id")
+
+
+@query
+def upsert_quality(s: SparkSession, d: str) -> DataFrame:
+    """Stored: a score of 0 for every labelled document; incoming: the measured ones."""
+    old = bed.table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.lit(0.0).alias("quality_score"), F.lit(True).alias("flagged")).distinct()
+    return ingest.upsert(old, bed.chunk_quality(s, d).select("chunk_id", "quality_score", "flagged"), "chunk_id")
+
+
 @query
 def upsert_docs(s: SparkSession, d: str) -> DataFrame:
     """Stored: the labels; incoming: every document with a quality of its own, or null where its text has no line break."""
@@ -213,6 +259,16 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_bm25(s, d), "score")
 
 
+@query
+def bm25_from_index(s: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_topk``, from an index that was saved and loaded."""
+    path = f"{shared_dir(s)}/corvane-index-{uuid.uuid4().hex}"
+    readers.save_index(sparse.build_index(bed.docs(s, d)), path)
+    index = readers.load_index(s, path, ["postings", "statistics", "documents"])
+    terms = sparse.query_terms(bed.queries(s, d))
+    return _rounded(sparse.search(sparse.indexed_scores(index, terms), index["documents"], terms, TOP), "score")
+
+
 @query
 def sparse_dot_topk(s: SparkSession, d: str) -> DataFrame:
     return _dot(s, d)
@@ -252,6 +308,13 @@ def method_comparison(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def method_comparison_snippets(s: SparkSession, d: str) -> DataFrame:
+    """``method_comparison`` with the first 80 characters of each text."""
+    rows = method_comparison(s, d).join(bed.docs(s, d), "doc_id")
+    return rows.select("method", "query_id", "doc_id", "rank", T.snippet(F.col("text"), 80).alias("snippet"))
+
+
 @query
 def method_overlap(s: SparkSession, d: str) -> DataFrame:
     return fusion.overlap(_bm25(s, d, POOL), _dot(s, d, POOL), 5)
@@ -653,6 +716,43 @@ def citation_fanout_unretrieved(s: SparkSession, d: str) -> DataFrame:
     return judge.fan_out(cited, passages).select("query_id", "chunk_id", verdict.alias("verdict"), F.coalesce("rationale", F.lit("")).alias("rationale"))
 
 
+@query
+def recovered_citations(s: SparkSession, d: str) -> DataFrame:
+    """Citations written as JSON, every other one as a JSON string that holds it, and read back; documents without a line break cite nothing."""
+    cited = F.array(F.struct(F.col("source").alias("claim"), F.array(F.col("doc_id").cast("string")).alias("chunk_ids")), F.struct(F.lit(None).cast("string").alias("claim"), F.array().cast("array<string>").alias("chunk_ids")))
+    plain = F.when(F.contains("text", F.lit("\n")), F.to_json(cited)).otherwise("{}")
+    quoted = F.regexp_extract(F.to_json(F.struct(plain.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    rows = bed.table(s, d, "documents").select("doc_id", judge.recovered_citations(F.when(F.col("doc_id") % 2 == 0, plain).otherwise(quoted)).alias("c"))
+    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0))["claim"].alias("claim"), F.get(F.get("c", F.lit(0))["chunk_ids"], F.lit(0)).alias("chunk_id"))
+
+
+@query
+def evaluate_node(s: SparkSession, d: str) -> DataFrame:
+    """The evaluation step over the documents that hold each passage, as citations, and the first five BM25 results."""
+    cited = bed.qrels(s, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("chunk_ids")).withColumn("claim", F.lit("passage"))
+    passages = _bm25(s, d, 5).join(bed.docs(s, d), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
+    return _rounded(flow.evaluate(flow.State(citations=cited), passages, F.col("text").isNotNull()).accuracy, "citation_accuracy")
+
+
+@query
+def labels_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Relevance labels written as JSON lines, twice with different labels, and read back: the last line of a pair counts."""
+    path = f"{shared_dir(s)}/corvane-labels-{uuid.uuid4().hex}"
+    pairs = bed.qrels(s, d).select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"))
+    twice = pairs.select("query_id", "chunk_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), F.lit("holds it").alias("rationale"))
+    readers.write_json_lines(twice, path)
+    return readers.relevance_labels(s, path)
+
+
+@query
+def history_append(s: SparkSession, d: str) -> DataFrame:
+    """The daily scores, appended in two runs and read back."""
+    path, rows = f"{shared_dir(s)}/corvane-history-{uuid.uuid4().hex}", bed.daily(s, d)
+    readers.append(rows.where(F.col("day") < SPLIT_DAY), path)
+    readers.append(rows.where(F.col("day") >= SPLIT_DAY), path)
+    return s.read.parquet(path).select("metric", F.col("day").cast("string").alias("day"), "score")
+
+
 @query
 def ragas_dataset(s: SparkSession, d: str) -> DataFrame:
     """Contexts of each query in order, as one digest and their number."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import agreement, analytics, encode, flow, fusion, judge
+from corvane.plans import runner
 from corvane.sources import readers
 from corvane.sources.store import shared_dir
 
@@ -88,3 +89,15 @@ def test_small_ones(spark: SparkSession, tmp_path: Path) -> None:
     first = flow.first_queries(spark.createDataFrame([(i, f"t{i}") for i in (5, 3, 9)], "query_id long, query string"), 2)
     assert [tuple(r) for r in first.collect()] == [("bq01", 3, "t3"), ("bq02", 5, "t5")]
     assert shared_dir(spark)
+
+
+def test_a_run_without_a_scheduler(spark: SparkSession, tmp_path: Path) -> None:
+    manifest = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "doc_id string, title string")
+    files = spark.createDataFrame([("a", True), ("b", False), ("b", False)], "doc_id string, is_pdf boolean")
+    pages = spark.createDataFrame([("a", 1, "First page. " * 200, "Start"), ("a", 2, "Second page.", ""), ("b", 1, "never read", "")], "doc_id string, page int, text string, heading string")
+    assert runner.run_ingest(manifest, files, pages, str(tmp_path)) == 1
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    assert {r["section_heading"] for r in chunks.collect()} == {"Start"} and chunks.where("doc_id <> 'a'").isEmpty()
+    assert spark.read.parquet(f"{tmp_path}/coverage").first()["coverage_pct"] == 33.33
+    assert spark.read.parquet(f"{tmp_path}/chunk_quality").count() == chunks.count() > 1
+    assert runner.run_ingest(manifest.where("doc_id = 'a'"), files, pages, str(tmp_path)) == 0
