@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import shared_dir, shuffle_width, stored
 
-#: Entries of a task's memory of encoded words (about 200 bytes each).
-WORDS_KEPT = 200_000
+#: Entries of a worker's memory of encoded words (about 200 bytes each), besides those of one text.
+WORDS_KEPT = 1_000_000
 #: Ends a document.
 END_ID = 0
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_AT_BORDER = re.compile(r"\s \S|\S \s|  ")
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
+
+
+def _single_spaced(text: str) -> bool:
+    """True if every space stands alone between two characters that are no white space."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text:
+        return False
+    return not any(w in text and (w + " " in text or " " + w in text) for w in _WHITE)
 
 
 def added_tokens(tokenizer: str) -> dict[str, int]:
@@ -29,19 +36,6 @@ def added_tokens(tokenizer: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
-class _Words(dict):
-    """Ids of words with a space before them, as bytes; a word that is missing is encoded and kept."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self._of = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = got = self._of(" " + word)
-        return got
-
-
 class CachedEncoder:
     """Encodes texts with a byte-level BPE vocabulary; equal words are encoded once.
 
@@ -60,12 +54,21 @@ class CachedEncoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._kept = _Words(self._encode)
+        self._kept: dict[str, bytes] = {}  # ids of words with a space before them
+        self._leads = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that begin with a space
+        self._leads[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self._added = {t: np.array([i], dtype="<u4").tobytes() for t, i in (added or {}).items()}
         self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words without spaces all at once; each begins at a token that begins with a space."""
+        ids = np.array(self._bpe.encode_ordinary(" " + " ".join(words)), dtype="<u4")
+        cuts = (4 * np.flatnonzero(self._leads[ids])).tolist()
+        data = ids.tobytes()
+        self._kept.update(zip(words, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
@@ -78,9 +81,29 @@ class CachedEncoder:
         return b"".join([*out, self._encode_between(text[at:])])
 
     def _encode_between(self, text: str) -> bytes:
-        plain = text[:1] != " " and text[-1:] != " " and not _AT_BORDER.search(text)
-        first, *rest = text.split(" ") if plain else _BETWEEN.split(text)
-        return self._encode(first) + b"".join(map(self._kept.__getitem__, rest))
+        if not _single_spaced(text):
+            first, *rest = _BETWEEN.split(text)
+            return b"".join([self._encode(first), *[self._encode(" " + w) for w in rest]])
+        first, *rest = text.split(" ")
+        found = list(map(self._kept.get, rest))
+        if None in found:
+            missing = list({w for w, ids in zip(rest, found, strict=True) if ids is None})
+            if len(self._kept) + len(missing) > WORDS_KEPT:
+                self._kept.clear()
+            self._learn(missing)
+            found = [self._kept[w] if ids is None else ids for w, ids in zip(rest, found, strict=True)]
+        return self._encode(first) + b"".join(found)
+
+
+#: One encoder for each vocabulary in a Python worker, which runs many tasks.
+_encoders: dict[tuple, CachedEncoder] = {}
+
+
+def _encoder(vocabulary: str, pattern: str, added: dict[str, int] | None) -> CachedEncoder:
+    key = (vocabulary, pattern, tuple(sorted((added or {}).items())))
+    if key not in _encoders:
+        _encoders[key] = CachedEncoder(vocabulary, pattern, added)
+    return _encoders[key]
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
@@ -91,7 +114,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, id_col
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = CachedEncoder(vocabulary, pattern, added)
+        encoder = _encoder(vocabulary, pattern, added)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows, ids = [], batch["doc_id"].array
