@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | str, id_col: str =
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, expected_severity, severity_grade (the most probable one) and toxic (some grade above 0 is likelier than none).
+    """``id_col``, expected_severity, severity_grade (the median one) and toxic (some grade above 0 is likelier than none).
 
     One row for each row, from whole texts, in the tasks that scan them. A null or empty text has no features. Other columns are not read.
     """
@@ -175,9 +175,8 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             if len(model.features):
                 strength = np.bincount(rows, values * model.weights[np.searchsorted(model.features, feats)], minlength=len(batch))
             above = model.above(strength)
-            each = -np.diff(np.hstack([np.ones((len(batch), 1)), above, np.zeros((len(batch), 1))]), axis=1)
             yield pd.DataFrame({
-                "id": batch["id"].array, "expected_severity": above.sum(axis=1), "severity_grade": each.argmax(axis=1).astype(np.int32), "toxic": above[:, 0] >= 0.5,
+                "id": batch["id"].array, "expected_severity": above.sum(axis=1), "severity_grade": (above >= 0.5).sum(axis=1).astype(np.int32), "toxic": above[:, 0] >= 0.5,
             })
 
     kind = docs.schema[id_col].dataType
