@@ -54,7 +54,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     hot = _hot_texts(docs.select(F.sha2(norm, 256).alias("_sha")), parts)
     keyed = docs.select(*own, F.col(id_col).alias("_id"), norm.alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
-    salt = F.when(F.col("_sha").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(HOT_SALTS))) if hot else F.lit(None).cast("long")
+    deal = lambda i: F.pmod(F.xxhash64(i), F.lit(HOT_SALTS))
+    salt = F.when(F.col("_sha").isin(hot), deal(F.col("_id"))) if hot else F.lit(None).cast("long")
     keyed = keyed.withColumn("_salt", F.coalesce(salt, F.lit(0).cast("long"))).withColumn("_head", F.substring("_norm", 1, SPLITTER_CHARS))
     # Ranges of (_head, _sha, _salt) are coarser than the window's keys: no second exchange follows. The digest parts texts with one beginning.
     same = Window.partitionBy("_head", "_sha", "_salt", "_norm")
@@ -70,14 +71,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             *own, F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"),
             (F.col("_nth") == 1).alias("kept"), F.col("_sha").alias("text_sha256"),
         )
-    # a part's home is where the row that stays is; rows without an identifier come last
-    has = F.col("_id").isNotNull()
-    home = F.max_by("_salt", F.struct(has, "_id", "_salt")) if keep == "largest" else F.min_by("_salt", F.struct(~has, "_id", "_salt"))
-    whole = keyed.where(F.col("_sha").isin(hot)).groupBy("_sha").agg(
-        best("_id").alias("_whole"), F.count(F.lit(1)).alias("_all"), home.alias("_home"), F.min("_norm").alias("_low"), F.max("_norm").alias("_high")
-    )
-    same_text = F.when(F.col("_low") == F.col("_high"), F.col("_all")).otherwise(F.raise_error(F.lit("two texts of one digest")).cast("long"))
-    whole = whole.select("_sha", "_whole", same_text.alias("_all"), "_home")
+    # hot texts as such: rows with one digest must have one text, and a part is home to the row that stays if its identifier is dealt there
+    whole = keyed.where(F.col("_sha").isin(hot)).groupBy("_sha", "_norm").agg(best("_id").alias("_whole"), F.count(F.lit(1)).alias("_all")).drop("_norm")
+    whole = whole.groupBy("_sha").agg(best("_whole").alias("_whole"), F.max("_all").alias("_all"), F.count(F.lit(1)).alias("_texts"))
+    one_text = F.when(F.col("_texts") == 1, F.col("_all")).otherwise(F.raise_error(F.lit("two texts of one digest")).cast("long"))
+    whole = whole.select("_sha", "_whole", one_text.alias("_all"), deal(F.col("_whole")).alias("_home"))
     out = near.join(F.broadcast(whole), "_sha", "left")  # 2 * parts rows at most
     cut = F.col("_all").isNotNull()
     return out.select(
