@@ -84,19 +84,30 @@ def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
     return F.when(F.size(words) < size, F.lit(0)).otherwise(let(F.transform(words, lambda x: F.xxhash64(x)), from_hashes))
 
 
+def _line_words(line: Column) -> Column:
+    """The words of a line; where single spaces are all that parts them, they are counted by the spaces, which is far faster."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in SPACE[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd | (line == ""), F.regexp_count(line, F.lit(WORD))).otherwise(_count(line, " ") + 1)
+
+
 def _line_fails(line: Column, rules: LineRules) -> Column:
     """True for a line that the punctuation, navigation or boilerplate rules remove."""
-    n = F.regexp_count(line, F.lit(WORD))
     low = F.lower(line)
-    short = n < rules.short_line_words
-    return (
-        (short & ~line.rlike(END_MARKS))
-        | (_count(line, SYMBOLS) > rules.max_symbol_share * F.length(line))
-        | (_count(line, MENU_MARKS) > rules.max_menu_share * n)
-        | (_count(line, "!") > rules.max_shout_share * n)
-        | (short & low.rlike(MENU_WORDS))
-        | (short & low.rlike(BOILERPLATE))
-    )
+
+    def judge(n: Column) -> Column:
+        short = n < rules.short_line_words
+        return (
+            (short & ~line.rlike(END_MARKS))
+            | (_count(line, SYMBOLS) > rules.max_symbol_share * F.length(line))
+            | (_count(line, MENU_MARKS) > rules.max_menu_share * n)
+            | (_count(line, "!") > rules.max_shout_share * n)
+            | (short & low.rlike(MENU_WORDS))
+            | (short & low.rlike(BOILERPLATE))
+        )
+
+    return let(_line_words(line), judge)
 
 
 def _counts(text: Column, rules: LineRules, clean: bool) -> Column:
