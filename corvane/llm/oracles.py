@@ -113,3 +113,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_share <= 0.5 AS kept
 FROM m
 """
+
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+grams AS (
+  SELECT lang, k, list_aggregate(w[i : i + k - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM grams GROUP BY ALL),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, p.f AS l, q.f AS r, 1 AS cut, c.k FROM cand c
+  JOIN f p ON p.lang = c.lang AND p.phrase = c.w[1] JOIN f q ON q.lang = c.lang AND q.phrase = list_aggregate(c.w[2:], 'string_agg', ' ')
+  UNION ALL
+  SELECT c.lang, c.phrase, c.f, p.f, q.f, 2, c.k FROM cand c
+  JOIN f p ON p.lang = c.lang AND p.phrase = c.w[1] || ' ' || c.w[2] JOIN f q ON q.lang = c.lang AND q.phrase = c.w[3] WHERE c.k = 3),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM cand WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], f FROM cand WHERE k = 3) GROUP BY ALL),
+alone AS (SELECT s.* FROM lowest s LEFT JOIN longer g ON s.k = 2 AND g.lang = s.lang AND g.phrase = s.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone) JOIN words USING (lang) WHERE rank <= 2000
+"""

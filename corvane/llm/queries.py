@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from corvane.llm import brown_lm, oracles, toxicity
+from corvane.llm.collocations import collocations
 from corvane.llm.common import shared_dir, table
 from corvane.llm.exact_dedup import content_sort
 from corvane.llm.html_text import extract
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.packing import added_tokens, pack
+from corvane.llm.periodic_runs import periodic_runs
 from corvane.llm.quality_lines import quality
 from corvane.llm.url_filter import Rule, judge_urls, spam_listing
 from corvane.llm.warc import capture_digests, read_archive, transactions, write_archive
@@ -90,9 +92,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=10, top=2000)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True).drop("runs", "text_out")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard, op2_quality_rules, op3_toxicity, op4_mixing, op5_exact_dedup, op6_url_filter, op7_packing, op8_brown_lm, op9_warc, op10_html_text,
+        op11_collocations, op12_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
@@ -101,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": oracles.JACCARD, "op2_quality_rules": oracles.QUALITY, "op5_exact_dedup": oracles.EXACT_DEDUP,
         "op6_url_filter": oracles.url_filter(RULES, SPAM_LABELS), "op9_warc": oracles.WARC,
+        "op11_collocations": oracles.COLLOCATIONS,
     }
