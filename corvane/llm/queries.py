@@ -14,6 +14,7 @@ from corvane.llm import brown_lm, oracles, toxicity
 from corvane.llm.collocations import collocations
 from corvane.llm.common import shared_dir, table
 from corvane.llm.exact_dedup import content_sort
+from corvane.llm.hash_forest import nearest
 from corvane.llm.html_text import extract
 from corvane.llm.mixing import label_domain, mix
 from corvane.llm.ngram_jaccard import jaccard_components
@@ -100,10 +101,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True).drop("runs", "text_out")
 
 
+def op13_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard, op2_quality_rules, op3_toxicity, op4_mixing, op5_exact_dedup, op6_url_filter, op7_packing, op8_brown_lm, op9_warc, op10_html_text,
-        op11_collocations, op12_periodic_runs,
+        op11_collocations, op12_periodic_runs, op13_hash_forest,
     ]
     return {f.__name__: f for f in found}
 
