@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.quantiles import quantiles
@@ -20,9 +20,15 @@ def below_threshold(quality: DataFrame, threshold: float) -> DataFrame:
     return quality.where(F.col("quality_score") < threshold).select("chunk_id", "quality_score").orderBy("quality_score", "chunk_id")
 
 
+def exact_mean(value: str, places: int) -> Column:
+    """The mean of numbers of ``places`` decimal places, rounded half-up (they are not negative): from whole numbers, so that it is the same in whatever order they are summed."""
+    units = f"sum(cast(round({value} * {10**places}) as long))"
+    return F.expr(f"((2 * {units} + count({value})) div (2 * count({value}))) / {10**places}.0D")
+
+
 def avg_quality_per_title(docs: DataFrame, chunks: DataFrame, quality: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "title").join(chunks.select("doc_id", "chunk_id"), "doc_id").join(quality.select("chunk_id", "quality_score"), "chunk_id")
-    return rows.groupBy("title").agg(F.round(F.avg("quality_score"), 4).alias("avg_quality"), F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("avg_quality"), "title")
+    return rows.groupBy("title").agg(exact_mean("quality_score", 4).alias("avg_quality"), F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("avg_quality"), "title")
 
 
 def chunk_count_like(docs: DataFrame, chunks: DataFrame, fragment: str) -> DataFrame:

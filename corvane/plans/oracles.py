@@ -335,12 +335,12 @@ def all_sql() -> dict[str, str]:
         "history_append": f"WITH {_EVENTS} SELECT metric, day::VARCHAR AS day, score FROM daily",
         "count_by_family": "SELECT coalesce(nullif(lang, ''), 'Unknown') AS family, count(*) AS n FROM documents GROUP BY lang",
         "below_threshold": f"WITH {_QUALITY} SELECT chunk_id, quality_score FROM quality WHERE quality_score < 0.6",
-        "avg_quality_per_doc": f"""WITH {_QUALITY}, {_META} SELECT title, round(avg(quality_score), 4) AS avg_quality, count(*) AS chunks
+        "avg_quality_per_doc": f"""WITH {_QUALITY}, {_META} SELECT title, ((2 * sum(round(quality_score * 10000)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS avg_quality, count(*) AS chunks
             FROM meta JOIN quality ON meta.doc_id = quality.chunk_id GROUP BY title""",
         "chunk_count_like": f"WITH {_META} SELECT title, count(*) AS chunks FROM meta WHERE title ILIKE '%SRC1%' GROUP BY title",
         "list_docs": f"WITH {_META} SELECT * FROM meta",
         "avg_price_per_nation": """
-            SELECT n_name, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
+            SELECT n_name, ((2 * sum(round(l_extendedprice * 10000)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS avg_price, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
         "eda_canned": f"""WITH {_EVENTS}, {_JUDGED}, m AS (SELECT day, max(score) AS m FROM daily GROUP BY day)
             SELECT round((SELECT avg(supported::INT) FROM jd), 6) AS citation_accuracy, (SELECT day::VARCHAR FROM m ORDER BY m DESC, day DESC LIMIT 1) AS worst_day""",
         "latest_run_per_config": f"""WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ev)

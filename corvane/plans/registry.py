@@ -526,7 +526,7 @@ def avg_price_per_nation(s: SparkSession, d: str) -> DataFrame:
     """The catalogue's three-way join and average over the order tables."""
     line, supplier, nation = (bed.table(s, d, t) for t in ("lineitem", "supplier", "nation"))
     rows = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("lines"))
+    return rows.groupBy("n_name").agg(analytics.exact_mean("l_extendedprice", 4).alias("avg_price"), F.count(F.lit(1)).alias("lines"))
 
 
 @query
