@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of the engine's tables and files.
@@ -35,10 +35,11 @@ def json_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def relevance_labels(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, chunk_id, label; of repeated pairs the last line counts."""
-    rows = json_lines(spark, path, "relevance_labels").withColumn("_at", F.monotonically_increasing_id())
-    last = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("_at"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("query_id", "chunk_id", "label")
+    """query_id, chunk_id, label; of repeated pairs the last line of the last file (by path) counts."""
+    rows = json_lines(spark, path, "relevance_labels")
+    # within a split, rows are numbered as they are read
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+    return rows.withColumn("_at", at).groupBy("query_id", "chunk_id").agg(F.max_by("label", "_at").alias("label"))
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:

@@ -53,13 +53,14 @@ def texts(spark: SparkSession, *xs: str) -> DataFrame:
 
 
 def test_term_shift(spark: SparkSession) -> None:
-    assert {r["term"]: r["freq"] for r in monitoring.term_frequencies(texts(spark, "cuda cuda malloc")).collect()} == pytest.approx({"cuda": 2 / 3, "malloc": 1 / 3})
-    same = texts(spark, *["cuda malloc"] * 10)
-    more = texts(spark, *["cuda malloc tensorrt"] * 10)
-    assert monitoring.term_shift(same, same).collect() == []
-    assert [r["term"] for r in monitoring.new_terms(same, more).collect()] == ["tensorrt"] and monitoring.new_terms(more, same).collect() == []
-    assert "alpha" in [r["term"] for r in monitoring.term_shift(texts(spark, "alpha beta"), texts(spark, "alpha alpha alpha beta")).collect()]
-    assert len(monitoring.top_shifts(monitoring.term_shift(texts(spark, "a b c d e"), texts(spark, "f g h i j"), 0.0), 2).collect()) == 2
+    freq = {r["term"]: r["freq"] for r in monitoring.term_frequencies(texts(spark, "tide rope", "Tide tide mast")).collect()}
+    assert freq == pytest.approx({"tide": 3 / 5, "rope": 1 / 5, "mast": 1 / 5})
+    calm, storm = texts(spark, "oar sail", "oar keel", "sail keel"), texts(spark, "oar sail reef", "reef keel", "reef reef")
+    assert monitoring.term_shift(calm, calm).collect() == []
+    assert [r["term"] for r in monitoring.new_terms(calm, storm).collect()] == ["reef"] and monitoring.new_terms(storm, calm).collect() == []
+    moved = {r["term"]: r["delta"] for r in monitoring.term_shift(calm, storm, 0.1).collect()}
+    assert moved == pytest.approx({"reef": 4 / 7, "oar": 1 / 7 - 1 / 3, "sail": 1 / 7 - 1 / 3, "keel": 1 / 7 - 1 / 3})
+    assert [r["term"] for r in monitoring.top_shifts(monitoring.term_shift(calm, storm, 0.1), 1).collect()] == ["reef"]
 
 
 @pytest.mark.parametrize(("series", "eps", "want"), [([0.61], 0, 0), ([0.4, 0.4, 0.4], 0, 0), ([0.3, 0.5, 0.9], 0, 0), ([0.77, 0.71, 0.52], 0, 2), ([0.91, 0.62, 0.44, 0.43, 0.1], 0, 4), ([0.2, 0.66, 0.6, 0.35], 0, 2), ([0.9, None, 0.7, 0.8], 0, 0), ([0.9, None, 0.7, 0.6], 0, 2), ([0.55, 0.54, 0.53], 0.03, 0), ([0.6, 0.5, 0.4], 0.03, 2)])
