@@ -316,6 +316,14 @@ def all_sql() -> dict[str, str]:
             SELECT coalesce(q.chunk_id, o.chunk_id) AS chunk_id, coalesce(quality_score, 0.0) AS quality_score, coalesce(quality_score < 0.40, true) AS flagged,
                    CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN q.chunk_id IS NULL THEN 'keep' ELSE 'update' END AS action
             FROM quality q FULL JOIN o ON q.chunk_id = o.chunk_id""",
+        "bounded_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
+        "bounded_blocks": "SELECT true AS some_read, true AS some_skipped",
+        "live_index_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
+        "vector_index_exact": f"WITH {_VECTORS} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM dense",
+        "vector_index_recall": f"WITH {_VECTORS} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM dense",
+        "snapshot_writes": f"""WITH {_EVENTS}, c AS (SELECT count(*) FILTER (WHERE day < DATE '2024-01-16') AS a, count(*) FILTER (WHERE day >= DATE '2024-01-16') AS b FROM daily)
+            SELECT unnest(['early', 'early again', 'broken', 'late', 'there']) AS write, unnest([a, a, 0, b, a + b]) AS written FROM c""",
+        "snapshot_rows": f"WITH {_EVENTS} SELECT metric, day::VARCHAR AS day, score FROM daily",
         "bm25_from_index": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
         "method_comparison_snippets": f"""WITH {_SCORES}, {_fuse(60, 3)},
             m AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM bm WHERE rank <= 3 UNION ALL SELECT 'dot', query_id, doc_id, rank FROM dots WHERE rank <= 3

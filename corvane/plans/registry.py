@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import agreement, analytics, dense, encode, flow, fusion, ingest, judge, metrics, monitoring, rerank, sparse
+from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, metrics, monitoring, rerank, sparse, vector_index
+from corvane.operators.live_index import LiveIndex
 from corvane.plans import oracles
 from corvane.plans import testbed as bed
 from corvane.sources import readers
+from corvane.sources.snapshots import SnapshotTable
 from corvane.sources.store import shared_dir, stored
 from corvane.streaming import feedback as feedback_stream
 
@@ -269,6 +271,32 @@ def bm25_from_index(s: SparkSession, d: str) -> DataFrame:
     return _rounded(sparse.search(sparse.indexed_scores(index, terms), index["documents"], terms, TOP), "score")
 
 
+@query
+def bounded_topk(s: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_topk``, from blocks of postings of which only those that can reach the list are read."""
+    return _rounded(block_index.bounded_top_k(block_index.build_blocks(bed.docs(s, d)), bed.queries(s, d), TOP), "score")
+
+
+@query
+def bounded_blocks(s: SparkSession, d: str) -> DataFrame:
+    """How many blocks the queries' terms have, and whether the search read fewer."""
+    got = block_index.blocks_read(block_index.build_blocks(bed.docs(s, d)), bed.queries(s, d), TOP)
+    return got.select((F.col("read") > 0).alias("some_read"), (F.col("read") < F.col("blocks")).alias("some_skipped"))
+
+
+@query
+def live_index_topk(s: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_topk``, from an index that came to the given documents by changes: it began without a third of them, with shortened texts of some and with documents that are gone now."""
+    docs = bed.docs(s, d)
+    index = LiveIndex(s, f"{shared_dir(s)}/corvane-live-{uuid.uuid4().hex}", dict(docs.dtypes)["doc_id"])
+    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 200)).otherwise(F.col("text")).alias("text"))
+    index.apply(old.unionByName(docs.where("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")), name="first")
+    index.apply(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 14 = 0").select((-1 - F.col("doc_id")).alias("doc_id")), name="inserts")
+    index.compact()
+    index.apply(docs.where("doc_id % 5 = 0"), docs.where("doc_id % 14 = 7").select((-1 - F.col("doc_id")).alias("doc_id")), name="updates")
+    return _rounded(index.search(bed.queries(s, d), TOP), "score")
+
+
 @query
 def sparse_dot_topk(s: SparkSession, d: str) -> DataFrame:
     return _dot(s, d)
@@ -279,6 +307,27 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_dense(s, d), "score")
 
 
+@query
+def vector_index_exact(s: SparkSession, d: str) -> DataFrame:
+    """As ``dense_topk``, from inverted lists that are all looked into."""
+    index = vector_index.VectorIndex.build(bed.vectors(s, d))
+    return _rounded(index.search(bed.vector_queries(s, d), TOP, probes=len(index.centers)), "score")
+
+
+@query
+def vector_index_recall(s: SparkSession, d: str) -> DataFrame:
+    """The queries, and whether the lists nearest to each hold nine tenths of all true neighbours."""
+    index = vector_index.VectorIndex.build(bed.vectors(s, d))
+    got = vector_index.recall(index.search(bed.vector_queries(s, d), TOP), _dense(s, d), doc_id="vec_id")
+    return got.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query
+def vector_index_topk(s: SparkSession, d: str) -> DataFrame:
+    """What the lists nearest to each query give."""
+    return _rounded(vector_index.VectorIndex.build(bed.vectors(s, d)).search(bed.vector_queries(s, d), TOP), "score")
+
+
 @query
 def collection_stats(s: SparkSession, d: str) -> DataFrame:
     return dense.collection_stats(bed.vectors(s, d))
@@ -753,6 +802,26 @@ def history_append(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).select("metric", F.col("day").cast("string").alias("day"), "score")
 
 
+@query
+def snapshot_writes(s: SparkSession, d: str) -> DataFrame:
+    """The daily scores in a table of snapshots: two writes, one of them twice, and one that fails; what each said it wrote, and the rows that are there."""
+    table, rows = SnapshotTable(s, f"{shared_dir(s)}/corvane-snapshots-{uuid.uuid4().hex}"), bed.daily(s, d)
+    early, late = rows.where(F.col("day") < SPLIT_DAY), rows.where(F.col("day") >= SPLIT_DAY)
+    broken = late.withColumn("score", F.when(F.col("score") >= 0, F.raise_error(F.lit("no disk")).cast("double")).otherwise(F.col("score")))
+    said = [("early", table.try_commit(early, "early")), ("early again", table.try_commit(early, "early")), ("broken", table.try_commit(broken, "late")), ("late", table.try_commit(late, "late"))]
+    there = table.read().agg(F.lit("there").alias("write"), F.count(F.lit(1)).alias("written"))
+    return s.createDataFrame(said, "write string, written long").unionByName(there)
+
+
+@query
+def snapshot_rows(s: SparkSession, d: str) -> DataFrame:
+    """The daily scores, written early days first and then all, replacing them."""
+    table, rows = SnapshotTable(s, f"{shared_dir(s)}/corvane-snapshots-{uuid.uuid4().hex}"), bed.daily(s, d)
+    table.commit(rows.where(F.col("day") < SPLIT_DAY))
+    table.commit(rows, mode="overwrite")
+    return table.read().select("metric", F.col("day").cast("string").alias("day"), "score")
+
+
 @query
 def ragas_dataset(s: SparkSession, d: str) -> DataFrame:
     """Contexts of each query in order, as one digest and their number."""
