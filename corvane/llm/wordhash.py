@@ -4,25 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_ODD = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_ODD, -1, 1 << 64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 _MARK = _GAP | np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; kept between calls and grown when needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -33,9 +20,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _digests(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    digest = (sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(sums))[starts]
-    return mix(digest ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of each range of bytes. Each 8 bytes are mixed with their place in the range before they are summed.
+
+    A sum of the bytes times powers of a number would be cheaper, but for any such number there are long words with equal digests (Thue-Morse words and their
+    complements); after mixing, places and bytes have no such linear relation. ``data`` has 8 bytes of padding.
+    """
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * nth
+    left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(np.uint64)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at].view("<u8").ravel()
+    eight &= np.uint64(_MASK) >> (np.uint64(64) - (left << np.uint64(3)))
+    mixed = mix(eight ^ mix(nth.astype(np.uint64), 11), 12)
+    sums = np.add.reduceat(mixed, first) if len(first) else mixed
+    return mix(sums ^ mix(size.astype(np.uint64), 13))
 
 
 def words(
@@ -43,8 +44,8 @@ def words(
 ) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Digests of all words of ``texts``, A-Z lower-cased, and the text that each word is of (ascending).
 
-    Words are runs of other characters than space and \\t-\\r and, if ``punctuation``, ASCII punctuation. A word's digest is a polynomial in its
-    bytes modulo 2**64, taken from prefix sums, then mixed with its length. Null counts as empty. For each number in ``prefixes`` a third
+    Words are runs of other characters than space and \\t-\\r and, if ``punctuation``, ASCII punctuation. Digests: ``_digests``;
+    two different words share one by chance alone, once in 2**64 pairs. Null counts as empty. For each number in ``prefixes`` a third
     result has the digests (and texts) of that many first bytes of each longer word.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
@@ -54,16 +55,15 @@ def words(
     if not gap[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(data.astype(np.uint64) * _powers_of(_ODD, len(data)), dtype=np.uint64, out=sums[1:])
+    data = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
     begins = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]) if raw else np.zeros(0, dtype=np.int64)
-    digest, owner = _digests(sums, starts, ends), np.searchsorted(begins, starts, side="right") - 1
+    digest, owner = _digests(data, starts, ends), np.searchsorted(begins, starts, side="right") - 1
     if not prefixes:
         return digest, owner
     firsts = []
     for k in prefixes:
         at = np.flatnonzero(ends - starts > k)
-        firsts.append((mix(_digests(sums, starts[at], starts[at] + k), 17), owner[at]))
+        firsts.append((mix(_digests(data, starts[at], starts[at] + k), 17), owner[at]))
     return digest, owner, firsts
 
 

@@ -111,3 +111,16 @@ def test_word_digests_tell_words_apart_as_python_does() -> None:
     flat = [x for w in want for x in w]
     assert len(set(zip(flat, digest.tolist(), strict=True))) == len(set(flat)) == len(set(digest.tolist()))
     assert [len(s) for s in shingles(texts, 3)] == [len(shingle_set(t, 3)) for t in texts]
+
+
+def test_long_words_of_two_letters_keep_their_own_digests(spark: SparkSession) -> None:
+    """Thue-Morse words and their complements: no sum of letters times powers of a number modulo 2**64 tells them apart."""
+    a, b, pairs = "a", "b", []
+    for _ in range(14):
+        a, b = a + b, b + a
+        pairs.append((a, b))
+    digests = words([x for p in pairs for x in p])[0].tolist()
+    assert len(set(digests)) == 2 * len(pairs)
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
