@@ -17,12 +17,14 @@ from corvane.llm.wordhash import chunks, mix, words
 
 #: Characters of text in one chunk; bounds a task's arrays.
 CHUNK_CHARS = 12_000_000
-#: Shares into which the words are dealt, at most.
-MAX_SHARES = 2000
+#: Shares into which the words are dealt. Words of one share move one after another, so this number is part of the model: it follows no setting of the cluster.
+SHARES = 64
 #: The digest that stands for the end of a text.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Classes 0 and 1 are fixed: the end, and rare words (unknown ones with them).
 END_CLASS, RARE_CLASS = 0, 1
+#: A class is seven bits of a byte; the eighth says whether a word may move.
+MAX_CLASSES = 128
 
 
 @dataclass(frozen=True)
@@ -343,11 +345,12 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     one number for each pair of classes and a few totals. Words are told apart by 64-bit digests.
     """
     p = params or BrownParams()
+    if not 3 <= p.classes <= MAX_CLASSES:
+        raise ValueError(f"classes must be 3 to {MAX_CLASSES}, not {p.classes}")
     shared_dir(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shares = min(MAX_SHARES, shuffle_width(docs.sparkSession))
-    packed = bucketed(_pack(rows, shares), "lmchunks", "chunk", shuffle_width(docs.sparkSession))
+    packed = bucketed(_pack(rows, SHARES), "lmchunks", "chunk", shuffle_width(docs.sparkSession))
     lexicon = stored(_lexicon(packed, p), "lexicon")
     totals = lexicon.agg(*[F.sum(x).alias(x) for x in ("n", "v", "rare")]).first()
     total, distinct, rare = (int(totals[x] or 0) for x in ("n", "v", "rare"))

@@ -121,3 +121,17 @@ def test_the_model_is_a_distribution(spark: SparkSession) -> None:
         if key == "base_score":
             total += sum(10 ** (got[i][key] - got[10**6 - 1][key]) for i, _ in asked[:-1])
             assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_scores_follow_the_texts_and_no_setting(spark: SparkSession) -> None:
+    df = spark.createDataFrame(sentences(6, 300), "doc_id long, text string")
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for width, parts in (("3", 2), ("16", 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            got.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in score(df.repartition(parts), held_out(), params=BrownParams(min_count=4)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0].keys() == got[1].keys() and all(got[0][i] == pytest.approx(got[1][i], abs=1e-9) for i in got[0])
+    with pytest.raises(ValueError, match="classes"):
+        score(df, held_out(), params=BrownParams(classes=129))
