@@ -20,6 +20,7 @@ LEXICON = 48
 #: Iterations whose formula is kept as an expression before rates are written out.
 KEPT_STEPS = 12
 # What parts words here, and the bounds of the shape features' buckets.
+MARKS = ".,!?;:"
 SPLIT = r"[\x20\x09-\x0D.,!?;:]+"
 BUCKETS = {
     "symbols": (0.002, 0.01, 0.03, 0.08),
@@ -33,7 +34,7 @@ BUCKETS = {
 
 
 def _words(text: Column) -> Column:
-    return let(F.btrim(text, F.lit(SPACE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(ascii_lower(t), SPLIT)))
+    return let(F.btrim(text, F.lit(SPACE + MARKS)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(ascii_lower(t), SPLIT)))
 
 
 def _bucket(value: Column, bounds: tuple[float, ...]) -> Column:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -92,3 +93,12 @@ def test_awkward_rows(awkward: DataFrame, nothing: DataFrame, spark: SparkSessio
     model = train_classifier(awkward, labels.limit(0), label_domain())
     assert model.domains == ["all"]
     assert awkward.select(model.posteriors(F.col("text")).alias("m")).where("m.p[0] <> 1").count() == 0
+
+
+def test_tokens_are_words_between_marks_and_white_space(spark: SparkSession) -> None:
+    texts = ["...", "hello world.", " ,a;b: c!? ", "", "a\x0bb\rc", "\u00a0x", "no-mark", "One, two... three?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    mixed, _ = mix(df, labels, label_domain(), {"clean": 0.5, "rough": 0.5})
+    want = {i: len([w for w in re.split(r"[\x20\x09-\x0D.,!?;:]+", t) if w]) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["tokens"] for r in mixed.collect()} == want == {0: 0, 1: 2, 2: 3, 3: 0, 4: 3, 5: 1, 6: 1, 7: 3}
