@@ -66,8 +66,13 @@ def _is_aside(attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """Strips markup: one (text, inside the article element) for each block.
+def lines_of(page: str, names: bool = True) -> list[tuple[str, bool]]:
+    """Strips markup: one (text, inside the article element) for each block. Without ``names``, what classes, identifiers and roles say of an element is not heeded."""
+    return _read(page, names)[0]
+
+
+def _read(page: str, names: bool) -> tuple[list[tuple[str, bool]], int]:
+    """The lines, and how many characters of text went because of elements' names alone.
 
     Removed parts of the page's frame leave ``GAP_LINES`` empty lines. A paragraph's open tag also ends the one before;
     an element that is never closed ends with the one that holds it or with the page. Time grows with the page's length, whatever is left open.
@@ -78,7 +83,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     at, end = 0, len(page)
     last_tag, last_cdata = page.rfind(">"), page.rfind("]]>")
     opened: Counter[str] = Counter()  # names on the stack
-    removed = article = frame = False
+    removed = article = frame = named = False
+    lost = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -100,6 +106,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         m = (_TOKEN if at < last_cdata else _NO_CDATA).search(page, at) if at <= last_tag or page.find("<!--", at) >= 0 else None
         if not removed:
             parts.append(page[at : m.start() if m else end])
+        elif named:
+            lost += len(page[at : m.start() if m else end].strip())
         if not m:
             break
         at = m.end()
@@ -120,9 +128,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             flush()
         if name in _VOID or m[4].endswith("/"):
             continue
-        drop = removed or name in _DROPPED or name not in _WHOLE and _is_aside(m[4])
+        drop = removed or name in _DROPPED or names and name not in _WHOLE and _is_aside(m[4])
         if drop and not removed:
             flush()
+            named = name not in _DROPPED
             frame = _is_frame(name, m[4])
         if name in _BARE:  # raw text up to its own close tag
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -133,7 +142,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             stack.append((name, removed, article))
             opened[name] += 1
     flush()
-    return out
+    return out, lost
 
 
 def _runs(size: list[int], window: int) -> list[tuple[int, int, int]]:
@@ -159,11 +168,15 @@ def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
     distribution stays low, of half its highest block. Where the page has
     an ``article`` or ``main`` element with text, runs inside and outside are told apart: if no run outside that reaches
     ``surge`` is larger than the largest inside, the runs inside are the distribution; else the
-    element does not hold the main text, and the distribution over all lines decides as if it were not there.
+    element does not hold the main text, and the distribution over all lines decides as if it were not there. The last run inside is kept even if it is
+    short: a removed part may stand before an article's last words. Where no such element has text and the names of elements took more text than they left, names are not heeded:
+    a wrapper may be called after what it is not.
     """
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, lost = _read(page, True)
+    if lost > sum(len(t) for t, _ in lines) and not any(t and a for t, a in lines):
+        lines = lines_of(page, names=False)
     size = [len(t) for t, _ in lines]
     inside = [n if a else 0 for n, (_, a) in zip(size, lines, strict=True)]
     if any(inside):
@@ -173,7 +186,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
             size = inside
     runs = _runs(size, window)
     least = min(surge, max((top for _, _, top in runs), default=0) / 2)
-    return " ".join(t for i, dive, top in runs if top >= least for (t, _), n in zip(lines[i:dive], size[i:dive], strict=True) if n)
+    last = runs[-1][0] if runs and size is inside else -1
+    return " ".join(t for i, dive, top in runs if top >= least or i == last for (t, _), n in zip(lines[i:dive], size[i:dive], strict=True) if n)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = 3, surge: int = 40) -> DataFrame:

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import SparkSession
 
 from corvane.llm.html_text import extract, lines_of, main_text
@@ -26,7 +30,7 @@ def test_the_larger_run_outside_an_article_survives() -> None:
     assert main_text(f"<body><nav>n</nav><div><p>{LONG}<p>{LONG}</div><nav>n</nav>{teaser}") == f"{LONG} {LONG}"  # a short run dives
     assert main_text(f"<div><p>{LONG}{teaser}<p>End.</div>") == f"{LONG} Read this too End."  # one run, nothing parts it
     assert main_text(f"<main><p>{LONG}</main><nav>n</nav><div><p>{LONG}<p>{LONG}</div>") == f"{LONG} {LONG} {LONG}"
-    assert main_text(f"<div>{LONG}</div><article><p>{LONG}<p>One<nav>n</nav><p>Two</article>") == f"{LONG} One"  # the article is the larger; what the menu parts from it is too little to surge
+    assert main_text(f"<div>{LONG}</div><article><p>{LONG}<p>One<nav>n</nav><p>Two</article>") == f"{LONG} One Two"  # the article is the larger, and its last words stay
     assert main_text("<div>Not much text here, 37 characters.</div><article>Less</article>") == "Less"  # no surge outside
 
 
@@ -77,6 +81,30 @@ def test_the_distribution_decides_inside_an_article() -> None:
     assert main_text("<article><p>Short.</p></article>") == "Short."  # the highest block there is
 
 
+def test_an_article_keeps_its_short_last_words() -> None:
+    assert main_text(f'<article><p>{LONG}</p><div class="nav">m</div><p>End.</p></article>') == f"{LONG} End."
+    assert main_text(f"<div><p>{LONG}</p></div><nav>m</nav><p>Tail.</p>") == LONG  # without the element it is a run like others
+
+
+def test_names_that_take_most_of_a_page_are_not_heeded() -> None:
+    assert main_text(f'<div class="banner-story"><p>{LONG}</p></div><p>x</p>') == f"{LONG} x"
+    assert main_text(f'<div id="promotion-policy-article"><p>{LONG}<p>{LONG}</div><nav>menu</nav>') == f"{LONG} {LONG}"
+    assert main_text(f'<div class="banner">{LONG} {LONG}</div><article>News.</article>') == "News."  # the element holds text
+    assert main_text(f'<p>{LONG}</p><div class="banner">Buy.</div>') == LONG
+    assert main_text(f"<nav>{LONG} {LONG}</nav><p>{LONG}</p>") == LONG
+
+
+PAGES = Path("/root/testdata/sf0.01/pages.parquet")
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="the test tables are not here")
+def test_given_pages_without_their_article_element() -> None:
+    pages = [h for h in pq.read_table(PAGES)["html"].to_pylist() if h]
+    bare = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h) for h in pages]
+    assert all(h != b for h, b in zip(pages, bare, strict=True))
+    assert [main_text(h) for h in pages] == [main_text(b) for b in bare]
+
+
 def test_time_does_not_explode() -> None:
     begun = time.monotonic()
     for page in ("<![CDATA[" * 100_000, "<a " * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<p>x " * 100_000, "<!-- " * 100_000, "<![CDATA[ x > y" * 50_000 + "]]>"):
