@@ -18,6 +18,8 @@ PREFIXES = {"e5-base-v2": {"query": "query: ", "passage": "passage: "}}
 DEFAULT_MODEL = "e5-base-v2"
 #: Texts that an encoder gets at a time.
 BATCH = 32
+#: Positions of a text that a sparse model reads.
+MAX_LENGTH = 256
 
 
 def prefixed(text: Column, side: str, model: str | None = None) -> Column:
@@ -49,6 +51,17 @@ def sparse_vectors(rows: DataFrame, key: str, text: str = "text", encoder: Spars
     return texts.mapInPandas(run, "k string, term string, weight double").select(F.col("k").cast(rows.schema[key].dataType).alias(key), "term", "weight")
 
 
+def pooled(logits: DataFrame, key: str, max_length: int = MAX_LENGTH, position: str = "position", mask: str | None = "mask") -> DataFrame:
+    """key, term, weight from a model's logits in long form (key, position, term, logit): the greatest log(1 + relu(logit)) of a vocabulary entry over the text's positions.
+
+    Positions from ``max_length`` on are cut off; masked ones (``mask`` 0: padding) count 0; entries that nothing raises above 0 have no row. Null logits are left out. The
+    greatest of each task's part goes over the shuffle, so a text's rows need not be together.
+    """
+    used = logits.where((F.col(position) < max_length) & (F.col("logit") > 0))
+    used = used.where(F.coalesce(F.col(mask), F.lit(0)) > 0) if mask else used
+    return used.groupBy(key, "term").agg(F.log1p(F.max("logit")).alias("weight"))
+
+
 def dense_vectors(rows: DataFrame, key: str, encoder: DenseEncoder, text: str = "text", batch: int = BATCH) -> DataFrame:
     """key, embedding of every text that is not null; an encoder runs in the tasks, ``batch`` texts at a time."""
 

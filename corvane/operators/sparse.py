@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.operators.ingest import numbered
 from corvane.sources.store import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -60,7 +61,12 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, stats: DataFrame | None = Non
     """query_id, doc_id, score of every document that holds a query term (the Okapi formula, query terms with multiplicity). ``stats`` are those of ``statistics``."""
     stats = statistics(docs, text) if stats is None else stats
     idf = stats.join(terms.select("term").distinct(), "term")
-    rows = hits(docs, terms, query_id, doc_id, text).join(idf, "term")
+    return bm25_from_hits(hits(docs, terms, query_id, doc_id, text), idf, query_id, doc_id)
+
+
+def bm25_from_hits(found: DataFrame, idf: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+    """``bm25_scores`` from rows of ``hits`` and the statistics of the queries' terms."""
+    rows = found.join(idf, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
 
@@ -79,7 +85,19 @@ def indexed_scores(index: dict[str, DataFrame], terms: DataFrame, query_id: str
 
 def dot_scores(docs: DataFrame, terms: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score: the dot product of term counts (a stand-in for a learned sparse encoder)."""
-    return hits(docs, terms, query_id, doc_id, text).groupBy(query_id, doc_id).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("score"))
+    return dot_from_hits(hits(docs, terms, query_id, doc_id, text), query_id, doc_id)
+
+
+def dot_from_hits(found: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+    """``dot_scores`` from rows of ``hits``."""
+    return found.groupBy(query_id, doc_id).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("score"))
+
+
+def overlap_from_hits(found: DataFrame, terms: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+    """query_id, doc_id, overlap: the share of a query's distinct tokens that a document holds, for documents that hold any. No text is read."""
+    sizes = terms.groupBy(query_id).agg(F.count(F.lit(1)).alias("_terms"))
+    held = found.groupBy(query_id, doc_id).agg(F.count(F.lit(1)).alias("_held"))
+    return held.join(sizes, query_id).select(query_id, doc_id, (F.col("_held") / F.col("_terms")).alias("overlap"))
 
 
 def sparse_dot(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
@@ -107,10 +125,12 @@ def search(scores: DataFrame, docs: DataFrame, terms: DataFrame, k: int, query_i
     lists = first.drop("positive", "all")
     known = first.groupBy(query_id).agg(F.max("positive").alias("positive"), F.max("all").alias("all"))
     short = terms.select(query_id).distinct().join(known, query_id, "left").where(F.coalesce("positive", F.lit(0)) < k)
-    most = short.agg(F.max(F.coalesce("all", F.lit(0))).alias("m")).first()["m"]
-    if most is None:
+    short = stored(short.select(query_id, F.coalesce("all", F.lit(0)).alias("all")), "shortqueries")
+    if short.isEmpty():
         return lists
-    hit = lists if most <= k else scores.join(short.select(query_id), query_id, "left_semi")  # a list of all hits of the short queries
-    lowest = docs.select(doc_id).orderBy(doc_id).limit(k + int(most))
-    zeros = short.select(query_id).crossJoin(F.broadcast(lowest)).join(hit.select(query_id, doc_id), [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
+    hit = scores.join(short.select(query_id), query_id, "left_semi")
+    # a query needs no more than the lowest k + (its hits) identifiers, whose places it is joined with: as many rows as it has hits, and k
+    places = numbered(docs.select(doc_id).distinct(), doc_id, "_place")
+    wanted = short.select(query_id, F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") + (k - 1))).alias("_place"))
+    zeros = wanted.join(places, "_place").select(query_id, doc_id).join(hit.select(query_id, doc_id), [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(lists.drop("rank").unionByName(zeros), k, query_id, doc_id)

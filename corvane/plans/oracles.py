@@ -155,6 +155,15 @@ vq AS (SELECT query_id, vec_id, CASE WHEN query_id = vec_id THEN 2 ELSE 1 END AS
 """
 
 
+_PARTS = "[len(list_filter(toks, lambda t: (len(t) + ascii(t)) % 16 = j))::DOUBLE for j in range(16)]"
+_HASHED = f"""
+dv AS (SELECT doc_id, {_PARTS} AS e FROM dt WHERE toks IS NOT NULL),
+qv AS (SELECT item_id AS query_id, {_PARTS} AS e FROM (SELECT item_id, {_tok('text')} AS toks FROM benchmark)),
+pairs AS (
+  SELECT query_id, doc_id, list_inner_product(q.e, d.e) / greatest(sqrt(list_inner_product(q.e, q.e)), 1e-8) / greatest(sqrt(list_inner_product(d.e, d.e)), 1e-8) AS cos FROM qv q, dv d)
+"""
+
+
 def _psi(rows: str) -> str:
     """CTEs that end in ``psi`` over a CTE ``rows`` of (side 0 or 1, x)."""
     cuts = ", ".join(str(i / 10) for i in range(11))
@@ -316,6 +325,14 @@ def all_sql() -> dict[str, str]:
             SELECT coalesce(q.chunk_id, o.chunk_id) AS chunk_id, coalesce(quality_score, 0.0) AS quality_score, coalesce(quality_score < 0.40, true) AS flagged,
                    CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN q.chunk_id IS NULL THEN 'keep' ELSE 'update' END AS action
             FROM quality q FULL JOIN o ON q.chunk_id = o.chunk_id""",
+        "hybrid_dense_topk": f"""WITH {_SCORES}, {_HASHED},
+            near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, doc_id) AS rank FROM pairs),
+            lists AS (SELECT query_id, doc_id, rank, 0 AS no FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank, 1 FROM near WHERE rank <= 100),
+            f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(no) AS no, arg_min(rank, no) AS first FROM lists GROUP BY ALL)
+            SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, no, first, doc_id) AS rank FROM f) WHERE rank <= 10""",
+        "splade_pooled": f"""WITH t AS (SELECT doc_id, unnest(toks[1:256]) AS t FROM (SELECT doc_id, {_tok('text')} AS toks FROM documents)),
+            g AS (SELECT doc_id, t AS term, len(t) / 2 - 2 AS logit FROM t WHERE len(t) > 1 UNION ALL SELECT doc_id, t[1:3], len(t) - 6 FROM t WHERE len(t) > 1)
+            SELECT doc_id, term, round(ln(1 + max(logit)), 6) AS weight FROM g WHERE logit > 0 GROUP BY ALL""",
         "bounded_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
         "bounded_blocks": "SELECT true AS some_read, true AS some_skipped",
         "live_index_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",

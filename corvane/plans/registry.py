@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -229,14 +230,31 @@ def stratified_sample(s: SparkSession, d: str) -> DataFrame:
 # retrieval
 
 
-def _scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, terms = bed.docs(s, d), sparse.query_terms(bed.queries(s, d))
-    return docs, terms, sparse.bm25_scores(docs, terms)
+class _Sparse:
+    """The given queries' hits, found once, and the lists that follow from them."""
+
+    def __init__(self, s: SparkSession, d: str) -> None:
+        self.docs, self.terms = bed.docs(s, d), stored(sparse.query_terms(bed.queries(s, d)), "terms")
+        self.hits = stored(sparse.hits(self.docs, self.terms), "hits")
+
+    def bm25(self, k: int = TOP) -> DataFrame:
+        idf = sparse.statistics(self.docs).join(self.terms.select("term").distinct(), "term")
+        return sparse.search(stored(sparse.bm25_from_hits(self.hits, idf), "scores"), self.docs, self.terms, k)
+
+    def dots(self) -> DataFrame:
+        return sparse.dot_from_hits(self.hits)
+
+    def fused(self, k: int = fusion.RRF_K, n: int = TOP) -> DataFrame:
+        return fusion.rrf([self.bm25(POOL), sparse.top_k(self.dots(), POOL)], n, k)
+
+    def overlap(self, pool: DataFrame) -> DataFrame:
+        """``pool`` with the share of the query's distinct tokens that each document holds."""
+        held = pool.join(sparse.overlap_from_hits(self.hits, self.terms), ["query_id", "doc_id"], "left")
+        return held.withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
 def _bm25(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
-    docs, terms, scores = _scores(s, d)
-    return sparse.search(scores, docs, terms, k)
+    return _Sparse(s, d).bm25(k)
 
 
 def _dot(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
@@ -248,7 +266,7 @@ def _dense(s: SparkSession, d: str, k: int = TOP) -> DataFrame:
 
 
 def _fused(s: SparkSession, d: str, k: int = fusion.RRF_K, n: int = TOP) -> DataFrame:
-    return fusion.rrf([_bm25(s, d, POOL), _dot(s, d, POOL)], n, k)
+    return _Sparse(s, d).fused(k, n)
 
 
 @query
@@ -338,9 +356,29 @@ def rrf_fused_topk(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_fused(s, d), "score")
 
 
+def _hashed(texts: list[str]) -> list[list[float]]:
+    """A deterministic stand-in for a dense model: how many tokens have each of 16 remainders of length and first letter."""
+    out = []
+    for text in texts:
+        v = [0.0] * 16
+        for t in re.findall(r"(?<!\w)[a-z0-9_]+(?!\w)", text.lower()):
+            v[(len(t) + ord(t[0])) % 16] += 1.0
+        out.append(v)
+    return out
+
+
+@query
+def hybrid_dense_topk(s: SparkSession, d: str) -> DataFrame:
+    """BM25 fused with the dense lists of encoded documents and queries, pools of 100 from each."""
+    vectors = stored(encode.dense_vectors(bed.docs(s, d), "doc_id", _hashed), "docvectors")
+    asked = encode.dense_vectors(bed.queries(s, d), "query_id", _hashed, text="query")
+    return _rounded(fusion.rrf([_bm25(s, d, POOL), dense.cosine_top_k(vectors, asked, POOL)], TOP), "score")
+
+
 @query
 def rrf_k_variants(s: SparkSession, d: str) -> DataFrame:
-    a, b = _bm25(s, d, POOL), _dot(s, d, POOL)
+    found = _Sparse(s, d)
+    a, b = found.bm25(POOL), sparse.top_k(found.dots(), POOL)
     out = [fusion.rrf([a, b], 5, k).select(F.lit(k).cast("long").alias("k"), "query_id", "doc_id", "rank") for k in (10, 60)]
     return out[0].unionByName(out[1])
 
@@ -348,7 +386,8 @@ def rrf_k_variants(s: SparkSession, d: str) -> DataFrame:
 @query
 def method_comparison(s: SparkSession, d: str) -> DataFrame:
     """The first three of each method with the method's name."""
-    a, b = _bm25(s, d, POOL), _dot(s, d, POOL)
+    found = _Sparse(s, d)
+    a, b = found.bm25(POOL), sparse.top_k(found.dots(), POOL)
     lists = {"bm25": a, "dot": b, "rrf": fusion.rrf([a, b], POOL)}
     out = None
     for name, x in lists.items():
@@ -366,7 +405,8 @@ def method_comparison_snippets(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def method_overlap(s: SparkSession, d: str) -> DataFrame:
-    return fusion.overlap(_bm25(s, d, POOL), _dot(s, d, POOL), 5)
+    found = _Sparse(s, d)
+    return fusion.overlap(found.bm25(POOL), sparse.top_k(found.dots(), POOL), 5)
 
 
 @query
@@ -381,8 +421,9 @@ def _with_texts(s: SparkSession, d: str, pool: DataFrame) -> DataFrame:
 @query
 def rerank_scored(s: SparkSession, d: str) -> DataFrame:
     """The fused pool re-ranked by the share of the query's distinct tokens that a document holds."""
-    pool = _with_texts(s, d, _fused(s, d, n=POOL))
-    got = rerank.routed(pool, "live_fast", {"live_fast": rerank.lexical_overlap}, 5)
+    found = _Sparse(s, d)
+    pool = found.overlap(found.fused(n=POOL))
+    got = rerank.routed(pool, "live_fast", {"live_fast": lambda query, text: F.col("overlap")}, 5)
     return _rounded(got.select("query_id", "doc_id", "score", "rank", "tier"), "score")
 
 
@@ -394,8 +435,9 @@ def rerank_fallback(s: SparkSession, d: str) -> DataFrame:
 @query
 def rerank_rank1(s: SparkSession, d: str) -> DataFrame:
     """The first document before and after re-ranking, by query."""
-    fused = stored(_fused(s, d, n=POOL), "pool")
-    after = rerank.by_score(_with_texts(s, d, fused), rerank.lexical_overlap(F.col("query"), F.col("text")), 1).select("query_id", F.col("doc_id").alias("after_id"))
+    found = _Sparse(s, d)
+    fused = stored(found.fused(n=POOL), "pool")
+    after = rerank.by_score(found.overlap(fused), F.col("overlap"), 1).select("query_id", F.col("doc_id").alias("after_id"))
     before = fused.where("rank = 1").select("query_id", F.col("doc_id").alias("before_id"))
     return before.join(after, "query_id").withColumn("moved", F.col("before_id") != F.col("after_id"))
 
@@ -410,7 +452,10 @@ def dense_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def _benchmark(s: SparkSession, d: str) -> DataFrame:
-    ranked = _bm25(s, d).select(F.lit("A").alias("config"), "query_id", "doc_id", "rank").unionByName(_dot(s, d).select(F.lit("C").alias("config"), "query_id", "doc_id", "rank"))
+    found = _Sparse(s, d)
+    lists = {"A": found.bm25(), "C": sparse.top_k(found.dots(), TOP)}
+    a, c = (x.select(F.lit(n).alias("config"), "query_id", "doc_id", "rank") for n, x in lists.items())
+    ranked = a.unionByName(c)
     return metrics.benchmark_rows(ranked, bed.qrels(s, d), {"C": 0.002})
 
 
@@ -441,9 +486,9 @@ def model_winner(s: SparkSession, d: str) -> DataFrame:
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
     """Two orderings of each query's fused pool: as fused, and by the dot product."""
-    docs, terms, scores = _scores(s, d)
-    dots = stored(sparse.dot_scores(docs, terms), "dots")
-    a = stored(fusion.rrf([sparse.search(scores, docs, terms, POOL), sparse.top_k(dots, POOL)], POOL), "pool")
+    found = _Sparse(s, d)
+    dots = stored(found.dots(), "dots")
+    a = stored(fusion.rrf([found.bm25(POOL), sparse.top_k(dots, POOL)], POOL), "pool")
     order = Window.partitionBy("query_id").orderBy(F.coalesce("dot", F.lit(0.0)).desc(), "doc_id")
     c = a.join(dots.withColumnRenamed("score", "dot"), ["query_id", "doc_id"], "left").withColumn("rank", F.row_number().over(order).cast("long"))
     return agreement.both_ranks(a, c)
@@ -505,6 +550,15 @@ def splade_dot_topk(s: SparkSession, d: str) -> DataFrame:
     return _rounded(encode.sparse_top_k(docs, asked, TOP), "score")
 
 
+@query
+def splade_pooled(s: SparkSession, d: str) -> DataFrame:
+    """Weights pooled from the logits of a stand-in model: each token raises itself by half its length less 2, and its first three letters by its length less 6; tokens of one letter are masked."""
+    toks = bed.docs(s, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("position", "t")).withColumn("mask", F.when(F.length("t") > 1, 1).otherwise(0))
+    raised = F.array(F.struct(F.col("t").alias("term"), (F.length("t") / 2 - 2).alias("logit")), F.struct(F.substring("t", 1, 3).alias("term"), (F.length("t") - 6).cast("double").alias("logit")))
+    logits = toks.select("doc_id", "position", "mask", F.inline(raised))
+    return _rounded(encode.pooled(logits, "doc_id"), "weight")
+
+
 @query
 def prefixed_queries(s: SparkSession, d: str) -> DataFrame:
     """Queries and passages as the default model wants them."""
