@@ -155,6 +155,9 @@ vq AS (SELECT query_id, vec_id, CASE WHEN query_id = vec_id THEN 2 ELSE 1 END AS
 """
 
 
+_PAIRS = f"""{_QRELS},
+pairs AS (SELECT q.query_id, q.doc_id, b.doc_id IS NOT NULL AS hit, d.text FROM qrels q JOIN documents d USING (doc_id) LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) b ON q.query_id = b.query_id AND q.doc_id = b.doc_id)
+"""
 _PARTS = "[len(list_filter(toks, lambda t: (len(t) + ascii(t)) % 16 = j))::DOUBLE for j in range(16)]"
 _HASHED = f"""
 dv AS (SELECT doc_id, {_PARTS} AS e FROM dt WHERE toks IS NOT NULL),
@@ -333,6 +336,12 @@ def all_sql() -> dict[str, str]:
         "splade_pooled": f"""WITH t AS (SELECT doc_id, unnest(toks[1:256]) AS t FROM (SELECT doc_id, {_tok('text')} AS toks FROM documents)),
             g AS (SELECT doc_id, t AS term, len(t) / 2 - 2 AS logit FROM t WHERE len(t) > 1 UNION ALL SELECT doc_id, t[1:3], len(t) - 6 FROM t WHERE len(t) > 1)
             SELECT doc_id, term, round(ln(1 + max(logit)), 6) AS weight FROM g WHERE logit > 0 GROUP BY ALL""",
+        "judged_pairs": f"WITH {_SCORES}, {_PAIRS} SELECT query_id, doc_id, hit AS supported, CASE WHEN hit THEN 'holds it' ELSE 'cited chunk_id not found in retrieved passages' END AS rationale FROM pairs",
+        "judge_runs": f"""WITH {_SCORES}, {_PAIRS}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT hit) AS lost, count(*) FILTER (WHERE hit AND length(text) % 3 = 0) AS failed FROM pairs)
+            SELECT unnest([1, 2, 3])::INT AS run, unnest([n, failed, 0]) AS open, unnest([n - lost - failed, failed, 0]) AS judged, unnest([lost, 0, 0]) AS unretrieved, unnest([failed, 0, 0]) AS failed FROM c""",
+        "step_latency": """WITH t AS (SELECT lang, coalesce(length(text), 0) / 100 AS ms, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+            b AS (SELECT lang, max(n) AS n, avg(ms) AS mean, max(CASE WHEN i = ceil(1 + 0.95 * (n - 1) - 1e-9) THEN CASE WHEN ms <= 0.001 THEN 0 ELSE ceil(ln(ms / 0.001) / ln(1.02)) END END) AS bk FROM t GROUP BY lang)
+            SELECT lang, n, round(mean, 6) AS mean_ms, round(CASE WHEN bk = 0 THEN 0 ELSE 0.001 * pow(1.02, bk - 0.5) END, 6) AS p95_ms FROM b""",
         "bounded_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
         "bounded_blocks": "SELECT true AS some_read, true AS some_skipped",
         "live_index_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, metrics, monitoring, rerank, sparse, vector_index
+from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, judge_batches, latency, metrics, monitoring, rerank, sparse, subwords, vector_index
 from corvane.operators.live_index import LiveIndex
 from corvane.plans import oracles
 from corvane.plans import testbed as bed
@@ -144,6 +144,15 @@ def chunk_split(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "pos", F.length("chunk_text").cast("long").alias("n_chars"), "chunk_id", "token_count")
 
 
+@query
+def chunk_subwords(s: SparkSession, d: str) -> DataFrame:
+    """Each chunk's number of byte-pair tokens."""
+    import public_tokenizers as vocabulary  # a file beside the engine, so the other queries do without it
+
+    chunks = ingest.chunk_documents(bed.docs(s, d), text="text").select("doc_id", "chunk_index", "chunk_text")
+    return subwords.token_counts(chunks, subwords.ranks_of(vocabulary.path("byte_bpe_50k.tiktoken")), vocabulary.PATTERN, text="chunk_text").drop("chunk_text")
+
+
 @query
 def vector_positions(s: SparkSession, d: str) -> DataFrame:
     """Every document's place in the vector collection, in the order of identifiers."""
@@ -829,6 +838,72 @@ def recovered_citations(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0))["claim"].alias("claim"), F.get(F.get("c", F.lit(0))["chunk_ids"], F.lit(0)).alias("chunk_id"))
 
 
+def _holds(claim: str, passage: str) -> tuple[bool, str]:
+    """A stand-in for a judge: whether a passage holds the claim."""
+    return claim in passage, "holds it" if claim in passage else "does not"
+
+
+def _busy(claim: str, passage: str) -> tuple[bool, str]:
+    """The same judge, at times out of reach."""
+    if len(passage) % 3 == 0:
+        raise TimeoutError("no answer")
+    return _holds(claim, passage)
+
+
+def _cited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Citations: each passage, by the documents that hold it; retrieved: the first five BM25 results."""
+    cited = bed.qrels(s, d).join(bed.queries(s, d), "query_id").groupBy("query_id", F.col("query").alias("claim")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("chunk_ids"))
+    passages = _bm25(s, d, 5).join(bed.docs(s, d), "doc_id").select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return stored(cited, "cited"), stored(passages, "passages")
+
+
+def _judged(s: SparkSession, d: str) -> tuple[judge_batches.JudgeRun, list[dict[str, int]]]:
+    run = judge_batches.JudgeRun(SnapshotTable(s, f"{shared_dir(s)}/corvane-verdicts-{uuid.uuid4().hex}"))
+    cited, passages = _cited(s, d)
+    return run, [run.run(cited, passages, judge) for judge in (_busy, _holds, _holds)]
+
+
+@query
+def judged_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The verdicts of a run whose judge failed at times, taken up twice."""
+    run, _ = _judged(s, d)
+    return run.verdicts().select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_id").cast("long").alias("doc_id"), "supported", "rationale")
+
+
+@query
+def judge_runs(s: SparkSession, d: str) -> DataFrame:
+    """What each of three runs found open, judged and failed at: the last finds nothing to do."""
+    _, counts = _judged(s, d)
+    rows = [(i, *(c[k] for k in ("open", "judged", "unretrieved", "failed"))) for i, c in enumerate(counts, 1)]
+    return s.createDataFrame(rows, "run int, open long, judged long, unretrieved long, failed long")
+
+
+class _Ticking:
+    """A clock that stands still but for what is worked and waited."""
+
+    def __init__(self) -> None:
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        return self.now
+
+
+def _work(text: str, watch: latency.Stopwatch) -> str:
+    """Takes a millisecond for each 100 characters, and 50 milliseconds of waiting."""
+    watch.clock.now += len(text) / 100_000
+    watch.wait(lambda: setattr(watch.clock, "now", watch.clock.now + 0.05))
+    return text[:1]
+
+
+@query
+def step_latency(s: SparkSession, d: str) -> DataFrame:
+    """Mean and 95th percentile of the time that a step took for the documents of each language, from two runs' histograms."""
+    docs = bed.table(s, d, "documents").select("doc_id", "lang", "text")
+    timed = docs.select("doc_id", "lang").join(latency.timed_rows(docs, "doc_id", "text", _work, _Ticking), "doc_id")
+    halves = [latency.histogram(timed.where(f"doc_id % 2 = {i}"), ["lang"]) for i in (0, 1)]
+    return _rounded(latency.summary(latency.merged(*halves, keys=["lang"]), ["lang"]), "mean_ms", "p95_ms")
+
+
 @query
 def evaluate_node(s: SparkSession, d: str) -> DataFrame:
     """The evaluation step over the documents that hold each passage, as citations, and the first five BM25 results."""
