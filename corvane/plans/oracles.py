@@ -342,6 +342,19 @@ def all_sql() -> dict[str, str]:
         "step_latency": """WITH t AS (SELECT lang, coalesce(length(text), 0) / 100 AS ms, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
             b AS (SELECT lang, max(n) AS n, avg(ms) AS mean, max(CASE WHEN i = ceil(1 + 0.95 * (n - 1) - 1e-9) THEN CASE WHEN ms <= 0.001 THEN 0 ELSE ceil(ln(ms / 0.001) / ln(1.02)) END END) AS bk FROM t GROUP BY lang)
             SELECT lang, n, round(mean, 6) AS mean_ms, round(CASE WHEN bk = 0 THEN 0 ELSE 0.001 * pow(1.02, bk - 0.5) END, 6) AS p95_ms FROM b""",
+        "late_interaction_topk": f"""WITH dt AS (SELECT doc_id, unnest(toks[1:256]) AS t FROM (SELECT doc_id, {_tok('text')} AS toks FROM documents)),
+            qt AS (SELECT item_id AS query_id, unnest(toks[1:256]) AS t FROM (SELECT item_id, {_tok('text')} AS toks FROM benchmark)),
+            raw AS (SELECT t, list_transform([1, 3, 5, 7], lambda i: ('0x' || substr(md5(t), i, 2))::INT - 127.5::DOUBLE) AS e FROM (SELECT t FROM dt UNION SELECT t FROM qt)),
+            vec AS (SELECT t, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM raw),
+            q AS (SELECT query_id, t, count(*) AS n FROM qt GROUP BY ALL),
+            sims AS (SELECT a.t AS qt, b.t AS dt, list_inner_product(a.e, b.e) AS s FROM vec a, vec b WHERE a.t IN (SELECT t FROM q)),
+            best AS (SELECT s.qt, d.doc_id, max(s.s) AS s FROM (SELECT DISTINCT doc_id, t FROM dt) d JOIN sims s ON s.dt = d.t GROUP BY ALL),
+            f AS (SELECT query_id, doc_id, sum(n * s) AS score FROM q JOIN best ON qt = t GROUP BY ALL)
+            SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
+        "streak_closed": f"WITH {_EVENTS}, {_STREAK} SELECT metric, streak, latest, last_day::VARCHAR AS day, streak >= 3 AS regressing FROM streak",
+        "stage_counts": f"""WITH {_QUALITY} , d AS (SELECT text, CASE WHEN quality_score < 0.4 THEN 1 ELSE 0 END AS flagged FROM documents JOIN quality ON doc_id = chunk_id)
+            SELECT 'scan' AS stage, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents UNION ALL SELECT 'quality', count(*), sum(length(text))::BIGINT FROM documents
+            UNION ALL SELECT 'flagged', count(*), coalesce(sum(length(text)), 0)::BIGINT FROM d WHERE flagged = 1""",
         "bounded_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
         "bounded_blocks": "SELECT true AS some_read, true AS some_skipped",
         "live_index_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",

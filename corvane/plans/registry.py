@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable
@@ -10,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, judge_batches, latency, metrics, monitoring, rerank, sparse, subwords, vector_index
+from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, judge_batches, late_interaction, latency, metrics, monitoring, rerank, sparse, subwords, vector_index
 from corvane.operators.live_index import LiveIndex
-from corvane.plans import oracles
+from corvane.plans import hooks, oracles
 from corvane.plans import testbed as bed
 from corvane.sources import readers
 from corvane.sources.snapshots import SnapshotTable
 from corvane.sources.store import shared_dir, stored
 from corvane.streaming import feedback as feedback_stream
+from corvane.streaming import streaks as streak_stream
 
 TOP, POOL = 10, 100
 SPLIT_DAY = "2024-01-16"
@@ -568,6 +570,23 @@ def splade_pooled(s: SparkSession, d: str) -> DataFrame:
     return _rounded(encode.pooled(logits, "doc_id"), "weight")
 
 
+def _token_digests(texts: list[str]) -> list[list[list[float]]]:
+    """A deterministic stand-in for a token encoder: four bytes of each token's digest."""
+    out = []
+    for text in texts:
+        found = (hashlib.md5(t.encode()).digest() for t in re.findall(r"(?<!\w)[a-z0-9_]+(?!\w)", text.lower()))
+        out.append([[b - 127.5 for b in x[:4]] for x in found])
+    return out
+
+
+@query
+def late_interaction_topk(s: SparkSession, d: str) -> DataFrame:
+    """Documents by the sum of each query token's greatest product with one of their tokens, from all lists."""
+    index = late_interaction.TokenIndex.build(late_interaction.token_vectors(bed.docs(s, d), "doc_id", _token_digests))
+    asked = late_interaction.token_vectors(bed.queries(s, d), "query_id", _token_digests, text="query")
+    return _rounded(index.search(asked, TOP, probes=len(index.centers)), "score")
+
+
 @query
 def prefixed_queries(s: SparkSession, d: str) -> DataFrame:
     """Queries and passages as the default model wants them."""
@@ -751,6 +770,32 @@ def decline_streak(s: SparkSession, d: str) -> DataFrame:
     return got.select("metric", "streak", "latest", F.col("day").cast("string").alias("day"), "regressing")
 
 
+@query
+def streak_closed(s: SparkSession, d: str) -> DataFrame:
+    """As ``decline_streak``, from a stream of the daily scores in two runs of which the second goes on where the first stopped; a last row far ahead closes all days."""
+    base = f"{shared_dir(s)}/corvane-streaks-{uuid.uuid4().hex}"
+    rows = bed.daily(s, d).select("metric", F.col("day").cast("timestamp").alias("ts"), "score")
+    end = s.range(1).select(F.lit("(end)").alias("metric"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("score"))
+    for part in (rows.where(F.col("ts") < SPLIT_DAY), rows.where(F.col("ts") >= SPLIT_DAY).unionByName(end)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = s.readStream.schema(part.schema).parquet(f"{base}/in")
+        streak_stream.start(streak_stream.streaks(stream), f"{base}/out", f"{base}/state").awaitTermination()
+    found = streak_stream.latest(s.read.schema(streak_stream.OUT).parquet(f"{base}/out"))
+    return found.select("metric", "streak", "latest", F.col("day").cast("string").alias("day"), "regressing")
+
+
+@query
+def stage_counts(s: SparkSession, d: str) -> DataFrame:
+    """What the hooks of three stages were told: all documents, the flagged ones, and their characters."""
+    told: list[tuple[str, int, int]] = []
+    stages = hooks.Stages(s, persist=lambda stage, m: told.append((stage, int(m["rows"]), int(m["size"] or 0))))
+    size = {"size": F.sum(F.length("text"))}
+    docs = stages.run("scan", bed.docs(s, d), size)
+    scored = stages.run("quality", docs.withColumn("q", T.quality(F.col("text"))), size)
+    stages.run("flagged", scored.where("q.flagged"), size)
+    return s.createDataFrame(told, "stage string, n long, size long")
+
+
 @query
 def regression_alert(s: SparkSession, d: str) -> DataFrame:
     return monitoring.regression_alert(monitoring.streaks(bed.daily(s, d), alert=1))
