@@ -71,6 +71,22 @@ def evaluate(state: State, passages: DataFrame, verdict: Column) -> State:
     return step(state, run)
 
 
+def orchestrate(
+    sparse: Retriever, dense: Retriever | None, rerank: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], texts: DataFrame, verdict: Column,
+    pool: int = 100, top_k: int = 10,
+) -> State:
+    """One run of all steps, for all queries at once: retrieve, re-rank, generate, evaluate. A step that fails leaves its error, and those after it are skipped.
+
+    ``texts`` (doc_id, text) are the documents; answers are made from, and judged against, the first ``top_k`` re-ranked results; ``verdict`` sees query_id, claim, chunk_id and text.
+    """
+    state = rerank_with(retrieve(sparse, dense, pool), lambda rows: rerank(rows).where(F.col("rank") <= top_k))
+    state = generate_with(state, generate, top_k)
+    if state.error:
+        return state
+    passages = fusion.results(state.fused, state.reranked, top_k).join(texts, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
+    return evaluate(state, passages, verdict)
+
+
 def hand_off(state: State) -> dict[str, object]:
     """What a retrieving party passes to an answering one: the ranked rows (re-ranked, if there are any) or the error."""
     return {"error": state.error} if state.error else {"ranked": state.reranked if state.reranked is not None else state.fused, "error": None}

@@ -355,6 +355,11 @@ def all_sql() -> dict[str, str]:
         "stage_counts": f"""WITH {_QUALITY} , d AS (SELECT text, CASE WHEN quality_score < 0.4 THEN 1 ELSE 0 END AS flagged FROM documents JOIN quality ON doc_id = chunk_id)
             SELECT 'scan' AS stage, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents UNION ALL SELECT 'quality', count(*), sum(length(text))::BIGINT FROM documents
             UNION ALL SELECT 'flagged', count(*), coalesce(sum(length(text)), 0)::BIGINT FROM d WHERE flagged = 1""",
+        "eda_views": f"""WITH {_BENCH} SELECT config, round(max(ndcg_at_10), 6) AS ndcg_at_10, 0::BIGINT AS timed,
+            (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality = 1) AS supported, 1::INT AS failed FROM bench GROUP BY config""",
+        "orchestrated_run": f"""WITH {_SCORES}, {_fuse(60, 100, 'pooled')}, {_RER} SELECT r.query_id, count(*) FILTER (WHERE contains(d.text, b.text)) AS supported, count(*) AS total
+            FROM rer r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = r.query_id WHERE r.rank <= 5 GROUP BY r.query_id""",
+        "contexts_round_trip": f"""WITH {_SCORES}, {_fuse(60, 3)} SELECT query_id, doc_id, round(score, 6) AS score, rank, sha256(text) AS text_sha256 FROM fused JOIN documents USING (doc_id)""",
         "bounded_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
         "bounded_blocks": "SELECT true AS some_read, true AS some_skipped",
         "live_index_topk": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",

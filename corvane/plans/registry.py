@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import agreement, analytics, block_index, dense, encode, flow, fusion, ingest, judge, judge_batches, late_interaction, latency, metrics, monitoring, rerank, sparse, subwords, vector_index
+from corvane.operators import agreement, analytics, block_index, dense, encode, exploration, flow, fusion, ingest, judge, judge_batches, late_interaction, latency, metrics, monitoring, rerank, sparse, subwords, vector_index
 from corvane.operators.live_index import LiveIndex
 from corvane.plans import hooks, oracles
 from corvane.plans import testbed as bed
@@ -674,6 +674,45 @@ def eda_mean_by_config(s: SparkSession, d: str) -> DataFrame:
     return _rounded(rows, "mean_ndcg", "mean_mrr")
 
 
+@query
+def eda_views(s: SparkSession, d: str) -> DataFrame:
+    """A question in SQL over the views that could be loaded: the best query of each config, with the number of sources that failed."""
+    def lost() -> DataFrame:
+        raise FileNotFoundError("no such source")
+
+    failed = exploration.register_views({"benchmark_eda": lambda: exploration.benchmark_view(_benchmark(s, d)), "lost_eda": lost, "judged_eda": lambda: bed.judgments(s, d)})
+    best = "(SELECT config, max(ndcg_at_10) AS ndcg_at_10, count(latency_ms) AS timed FROM benchmark_eda GROUP BY config)"
+    return s.sql(f"SELECT config, round(ndcg_at_10, 6) AS ndcg_at_10, timed, (SELECT count(*) FROM judged_eda WHERE supported) AS supported, {len(failed)} AS failed FROM {best}")
+
+
+@query
+def orchestrated_run(s: SparkSession, d: str) -> DataFrame:
+    """All steps in one run: BM25 and dot products fused, re-ranked by overlap, each of the first five results cited for the passage, judged by whether it holds it."""
+    found = _Sparse(s, d)
+    queries = bed.queries(s, d)
+
+    def generate(passages: DataFrame) -> DataFrame:
+        return passages.join(queries, "query_id").groupBy("query_id", F.col("query").alias("claim")).agg(F.collect_list("doc_id").alias("chunk_ids"))
+
+    def reranked(rows: DataFrame) -> DataFrame:
+        return rerank.by_score(found.overlap(rows), F.col("overlap"), POOL)
+
+    state = flow.orchestrate(lambda: found.bm25(POOL), lambda: sparse.top_k(found.dots(), POOL), reranked, generate, bed.docs(s, d), F.contains("text", "claim"), POOL, 5)
+    if state.error:
+        raise RuntimeError(state.error)
+    return state.judgments.groupBy("query_id").agg(F.count_if("supported").alias("supported"), F.count(F.lit(1)).alias("total"))
+
+
+@query
+def contexts_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The first three fused results of each query with their texts, saved and read back."""
+    path = f"{shared_dir(s)}/corvane-contexts-{uuid.uuid4().hex}"
+    rows = _with_texts(s, d, _fused(s, d, n=3)).withColumnRenamed("doc_id", "chunk_id")
+    readers.write_contexts(rows, path)
+    got = readers.contexts(s, path)
+    return got.select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_id").cast("long").alias("doc_id"), r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def latest_citation_run(s: SparkSession, d: str) -> DataFrame:
     """The value of the newest run alone, null if it has none; only some events count as runs with a value."""

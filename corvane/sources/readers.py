@@ -59,6 +59,23 @@ def cached_pools(spark: SparkSession, path: str, method: str = "method_c_rrf") -
     return rows.select("query_id", F.inline(method))
 
 
+def write_contexts(ranked: DataFrame, path: str) -> None:
+    """Saves re-ranked contexts for a later run, one JSON line for each query: query_id, query and reranked (chunk_id, text, score, rank, in order of rank).
+
+    ``ranked`` has a row for each result (query_id, query, chunk_id, text, score, rank).
+    """
+    each = F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("score").cast("double").alias("score"))
+    lists = ranked.groupBy(F.col("query_id").cast("string").alias("query_id"), "query").agg(F.array_sort(F.collect_list(each)).alias("r"))
+    lists.select("query_id", "query", F.transform("r", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"), x["score"].alias("score"), x["rank"].alias("rank"))).alias("reranked")).write.json(path)
+
+
+def contexts(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, query, chunk_id, text, score, rank of saved contexts."""
+    candidate = "array<struct<chunk_id:string,text:string,score:double,rank:int>>"
+    rows = spark.read.schema(f"query_id string, query string, reranked {candidate}").option("mode", "FAILFAST").json(path)
+    return rows.select("query_id", "query", F.inline("reranked"))
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
