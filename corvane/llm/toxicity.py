@@ -184,3 +184,21 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         run, "id string, expected_severity double, severity_grade int, toxic boolean"
     )
     return found.select(F.col("id").cast(kind).alias(id_col), "expected_severity", "severity_grade", "toxic")
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, grade: Column | str, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """grade, predicted, n: labelled documents by their grade and the median grade of a model that was fitted without them.
+
+    Labels are dealt into ``folds`` parts by a digest of their identifier; each part is scored by a model of the others. Repeated labels count once, by the largest; labels
+    without a document, and rows without an identifier, are left out; of rows that share an identifier each is counted. Without labels there is no row.
+    """
+    own = F.col(grade) if isinstance(grade, str) else grade
+    known = labels.select(F.col(id_col), own.cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("grade").alias("grade"))
+    known = stored(known.withColumn("fold", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(folds)).cast("int")), "toxfolds")
+    found = None
+    for i in range(folds):
+        model = train(docs, known.where(F.col("fold") != i), "grade", id_col, text_col)
+        held = known.where(F.col("fold") == i).select(id_col, "grade")
+        scored = score(docs.select(id_col, text_col).join(held.select(id_col), id_col), model, id_col, text_col).join(held, id_col).select("grade", F.col("severity_grade").alias("predicted"))
+        found = scored if found is None else found.unionByName(scored)
+    return found.groupBy("grade", "predicted").agg(F.count(F.lit(1)).alias("n"))

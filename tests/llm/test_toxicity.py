@@ -100,3 +100,19 @@ def test_wanted_features_are_the_same_ones() -> None:
     keep = wanted[feats]
     for a, b in zip(sparse_features(texts, wanted), (rows[keep], feats[keep], values[keep]), strict=True):
         assert np.array_equal(a, b)
+
+
+def test_grades_of_documents_that_the_model_has_not_seen(spark: SparkSession) -> None:
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(600):
+        grade = (i % 6 == 0) + (i % 12 == 0)
+        words_ = [f"w{r.randint(0, 80)}" for _ in range(40)] + ["nasty"] * (3 * (grade > 0)) + ["vicious"] * (4 * (grade > 1))
+        r.shuffle(words_)
+        rows.append((i, " ".join(words_)))
+        labels.append((i, grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([*labels, (5, None), (None, 1), (9999, 1)], "doc_id long, grade int")
+    got = {(x["grade"], x["predicted"]): x["n"] for x in toxicity.cross_validated(docs, known, "grade").collect()}
+    assert sum(got.values()) == 600 and got[0, 0] >= 495 and got[1, 1] >= 40 and got[2, 2] >= 40
+    assert toxicity.cross_validated(docs, known.limit(0), "grade").count() == 0
