@@ -92,6 +92,18 @@ def test_dense(spark: SparkSession) -> None:
     assert dense.centroid(docs).first()["centroid"] == [1.25, 0.75]
 
 
+def test_dense_parts_change_nothing(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Queries in parts of one or a few vectors give the lists of one part, ties and a query without an identifier included."""
+    docs = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)], "doc_id long, embedding array<double>")
+    rows = [(None if i == 4 else i, [float(i % 3), float(-i), 2.0]) for i in range(20)]
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    found = [tuple(sorted(map(str, dense.cosine_top_k(docs, asked, 4).collect())))]
+    for size in (24, 100):
+        monkeypatch.setattr(dense, "QUERY_BYTES", size)
+        found.append(tuple(sorted(map(str, dense.cosine_top_k(docs, asked, 4).collect()))))
+    assert len(found[0]) == 80 and len(set(found)) == 1
+
+
 def test_rerank(spark: SparkSession) -> None:
     pool = spark.createDataFrame([("q", "a b", f"c{i}", t, 9.0 - i, i) for i, t in ((1, "x"), (2, "a"), (3, "a b"))], "query_id string, query string, doc_id string, text string, score double, rank int")
 
