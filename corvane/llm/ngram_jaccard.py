@@ -14,8 +14,8 @@ from corvane.llm.wordhash import chunks, mix, shingles
 
 #: Largest table of survivors of the screen, in bytes, that is sent to every executor (``CHOSEN_BYTES`` a row); a larger one is joined by shuffle.
 BROADCAST_BYTES, CHOSEN_BYTES = 64 << 20, 64
-#: Ways into which the rows of one class, or the sets that hold one shingle, are dealt when a table is joined back.
-SALTS = 16
+#: A key of a join is hot if more rows have it than this, and more than their ``HOT_KEYS``-th part, so no join has more hot keys than that.
+HOT_ROWS, HOT_KEYS = 1_000_000, 100_000
 #: Rows drawn (about) to find shingles so frequent that one task should not hold them all.
 SAMPLE_ROWS = 200_000
 #: A block has about so many sets and shingles at most; two blocks are compared in one step of a task.
@@ -86,6 +86,31 @@ def _hot(lists: DataFrame, column: str) -> list[int]:
     return [r["h"] for r in found.collect()]
 
 
+def _hot_keys(counted: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """The hot keys of a join, ``HOT_KEYS`` at most, or None: ``counted`` has each key with its number n of rows, and there are at most about ``rows`` rows in all."""
+    if rows <= HOT_ROWS:
+        return None
+    found = stored(counted.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select(key).coalesce(1), "hotkeys")
+    return None if found.isEmpty() else found
+
+
+def _looked_up(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | None, nulls: bool = False) -> DataFrame:
+    """``rows`` joined with the one row that ``values`` has for each ``key``; rows without one get nulls.
+
+    The rows of a hot key stay where they are and meet its value by broadcast; only the others are shuffled. With ``nulls``, so do rows with a
+    null key, which have no value. ``rows`` may be read twice and should be a stored table then.
+    """
+    if hot is None and not nulls:
+        return rows.join(values, key, "left")
+    if hot is None:
+        stays, few = F.col(key).isNull(), values.limit(0)
+    else:
+        stays, few = F.col(key).isNull() | F.coalesce("_hot", F.lit(False)), values.join(F.broadcast(hot), key, "left_semi")
+        rows = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest, here = rows.where(~stays).drop("_hot"), rows.where(stays).drop("_hot")
+    return rest.join(values, key, "left").unionByName(here.join(F.broadcast(few), key, "left"))
+
+
 def _screened(slim: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The classes (key, doc_id) whose ``low`` shares enough shingles with other classes to have a partner at all.
 
@@ -186,45 +211,52 @@ def _contracted(links: DataFrame, parts: int) -> DataFrame:
 def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """node, root: the least node that ``links`` (a, b) reach from each node. Contraction in tasks, then label propagation with pointer jumping.
 
-    A task contracts about ``ROWS_PER_FILE`` links, twice, the second time those with a common end together; propagation joins what different tasks found.
+    A task contracts about ``ROWS_PER_FILE`` links, twice, the second time those with a common end in one range, or several if they are many; propagation
+    joins what different tasks found. Neither the links of one hub nor the nodes of one component meet in one task.
     Each round writes its labels to the shared folder, so a lost executor costs that round only. Rounds grow with the logarithm of
     the longest chain. Nothing but counts comes to the driver. ``rows`` is about how many links there are, if that is known.
     """
-    parts = _parts(links.count() if rows is None else rows)
+    rows = links.count() if rows is None else rows
+    parts = _parts(rows)
     short = stored(_contracted(links, parts), "contracted")
     if parts > 1:
-        again = stored(_contracted(short.repartition(parts, "b"), parts), "contracted")
+        again = stored(_contracted(short.repartitionByRange(parts, "b", "a"), parts), "contracted")
         discard(short)
         short = again
     ways = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    if parts > 1:
+        ways = stored(ways.coalesce(parts), "ways")
     labels = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
     known = stored(labels.coalesce(parts), "labels")
     labels = known.select("node", "root")
+    hubs = _hot_keys(ways.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", 2 * rows)
     while True:
-        near = ways.join(labels, ways.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        moved = lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("over", "root")).alias("root"), "was")
+        near = _looked_up(ways, labels.select(F.col("node").alias("b"), "root"), "b", hubs).groupBy("a").agg(F.min("root").alias("m"))
+        tops = _hot_keys(labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", 2 * rows)
+        jumped = _looked_up(labels, labels.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", tops)
+        lower = F.least("root", "m", F.coalesce("over", "root")).alias("root")
+        moved = jumped.join(near, jumped.node == near.a).select("node", F.col("root").alias("was"), lower)
         moved = stored(moved.coalesce(parts), "labels")
         discard(known)
         known, labels = moved, moved.select("node", "root")
         if moved.where(F.col("root") != F.col("was")).isEmpty():
             discard(short)
+            if parts > 1:
+                discard(ways)
             return labels
 
 
 def _cells(profiles: DataFrame) -> DataFrame:
     """sid, cell: the sets that rarest-first prefixes connect, directly or over others. Sets that link are in one cell.
 
-    Each shingle names a hub among the sets that hold it. Salted sub-hubs stand between, so that no join has all holders of a frequent shingle on one key.
+    Each shingle that several sets hold names a hub among them, which it finds by broadcast if they are many.
     """
-    salt = F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("salt")
-    posts = profiles.select("sid", F.explode("rare").alias("h"), salt)
-    near = posts.groupBy("h", "salt").agg(F.min("sid").alias("sub"))
-    edges = posts.join(near, ["h", "salt"]).select(F.col("sid").alias("a"), F.col("sub").alias("b"))
-    top = near.groupBy("h").agg(F.min("sub").alias("b"))
-    edges = edges.unionByName(near.join(top, "h").select(F.col("sub").alias("a"), "b"))
+    posts = profiles.select("sid", F.explode("rare").alias("h"))
     held = profiles.agg(F.sum(F.size("rare"))).first()[0] or 0
+    hubs = posts.groupBy("h").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("n"))
+    hubs = stored(hubs.where("n > 1").coalesce(_parts(held)), "hubs")
+    met = _looked_up(posts, hubs.select("h", "b"), "h", _hot_keys(hubs, "h", held))
+    edges = met.where("b is not null").select(F.col("sid").alias("a"), "b")
     return components(edges, held).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
 
 
@@ -396,11 +428,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(_all_links(profiles, num, den))
     roots = stored(keys.join(roots, F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root")), "roots")
     discard(profiles)
-    known = classes.join(roots, "key", "left").where("copies > 1 or root is not null")
-    known = known.select("key", F.coalesce(F.col("root").cast("string"), F.hex("key")).alias("root"), "doc_id")
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = known.join(least, "root").select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(known, ["key", "salt"], "left")
+    known = classes.join(roots, "key", "left").where("copies > 1 or root is not null").select("key", "root", "doc_id")
+    all_rows = slim.count()
+    known = stored(known.coalesce(_parts(all_rows)), "known")
+    least = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = stored(least.coalesce(_parts(all_rows)), "leastids")
+    known = _looked_up(known, least.select("root", "least"), "root", _hot_keys(least, "root", all_rows), nulls=True)
+    known = known.select("key", F.coalesce("least", "doc_id").alias("component_id"))
+    hot = _hot_keys(classes.select("key", F.col("copies").alias("n")), "key", all_rows)
+    rows = _looked_up(slim, known, "key", hot, nulls=True)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

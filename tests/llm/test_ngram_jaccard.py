@@ -102,6 +102,30 @@ def test_components_of_a_path(spark: SparkSession) -> None:
     assert {r["node"]: r["root"] for r in components(df).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("per_file", [100_000, 20])
+def test_components_of_hubs_and_hot_keys(spark: SparkSession, per_file: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Stars around low, middle and high nodes, joined by a chain: hubs and roots are hot keys, tasks hold few links."""
+    monkeypatch.setattr(ngram_jaccard, "ROWS_PER_FILE", per_file)
+    monkeypatch.setattr(ngram_jaccard, "HOT_ROWS", 10)
+    stars = [(hub, hub + i) for hub in (1000, 3000) for i in range(1, 150)] + [(5000 - i, 5000) for i in range(1, 150)]
+    chain = [(1001, 2000), (2000, 2001), (2001, 3007), (9001, 9000)]
+    df = spark.createDataFrame(stars + chain, "a long, b long")
+    nodes = {x for e in stars + chain for x in e}
+    want = {x: 9000 if x >= 9000 else min(y for y in nodes if y > 4000) if x > 4000 else 1000 for x in nodes}
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+
+
+def test_hot_keys_change_nothing(spark: SparkSession, awkward: DataFrame, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Every key that two rows share is hot: shingles, hubs, roots, groups of copies; empty texts have no key."""
+    monkeypatch.setattr(ngram_jaccard, "ROWS_PER_FILE", 20)
+    monkeypatch.setattr(ngram_jaccard, "HOT_ROWS", 1)
+    rows = [(3 * i, f"{prose(i // 9, 60)} {'w' + str(i) if i % 3 else ''}" if i % 5 else None) for i in range(90)]
+    assert got(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 3, 90)
+    cold = got(jaccard_components(awkward))
+    monkeypatch.setattr(ngram_jaccard, "HOT_ROWS", 10**6)
+    assert got(jaccard_components(awkward)) == cold
+
+
 def test_word_digests_tell_words_apart_as_python_does() -> None:
     texts = [t for _, t, *_ in awkward_rows()]
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
