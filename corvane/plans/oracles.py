@@ -422,8 +422,8 @@ def all_sql() -> dict[str, str]:
         "feedback_summary": f"""WITH {_EVENTS} SELECT count(*) AS total, count(*) FILTER (WHERE reaction = 'up') AS up, count(*) FILTER (WHERE reaction = 'down') AS down,
             round(count(*) FILTER (WHERE reaction = 'down') / count(*), 4) AS down_rate, count(*) >= 5 AND count(*) FILTER (WHERE reaction = 'down') / count(*) >= 0.30 AS alert FROM fb""",
         "worst_queries": f"WITH {_EVENTS} SELECT query_id, count(*) AS down_count FROM fb WHERE reaction = 'down' AND query_id IS NOT NULL AND query_id <> '' GROUP BY query_id ORDER BY 2 DESC, 1 LIMIT 5",
-        "feedback_weekly": f"""WITH {_EVENTS}, w AS (SELECT *, (epoch(ts)::BIGINT // 604800) * 604800 AS s FROM fb)
-            SELECT strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS week_start, count(*) AS total, count(*) FILTER (WHERE reaction = 'up') AS up, count(*) FILTER (WHERE reaction = 'down') AS down,
+        "feedback_weekly": f"""WITH {_EVENTS}, w AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS s FROM fb)
+            SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS week_start, count(*) AS total, count(*) FILTER (WHERE reaction = 'up') AS up, count(*) FILTER (WHERE reaction = 'down') AS down,
                    round(count(*) FILTER (WHERE reaction = 'down') / count(*), 4) AS down_rate, count(*) >= 5 AND count(*) FILTER (WHERE reaction = 'down') / count(*) >= 0.30 AS alert
             FROM w GROUP BY s""",
         "drift_alert": f"""WITH {_EVENTS}, {_STREAK}, {both_psi}, {_freq('b', user)}, {_freq('c', other)}, {shift},
