@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pytest
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.operators import ingest, late_interaction, sparse, sparse_lists
 from corvane.plans import registry
+from corvane.sources import store
 from tests.oracle import compare
 
 
@@ -17,3 +22,59 @@ def test_the_last_half_second_of_a_week_is_of_that_week(spark: SparkSession, tmp
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     compare(registry.queries()["feedback_weekly"](spark, str(tmp_path)), registry.oracle_sql()["feedback_weekly"], str(tmp_path))
+
+
+def words(r: random.Random, n: int) -> str:
+    return " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_sparse_lists_are_those_of_all_hits(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Block scoring against the scores of joined hits: ties, copies, few hits, negative weights, null and empty texts, queries in parts and documents one at a time."""
+    r = random.Random(4)
+    docs = [(i, words(r, r.randint(1, 12)) + " the" * (i % 3)) for i in range(90)] + [(200, None), (201, ""), (203, "ñandú the"), *((300 + i, "x y the") for i in range(20))]
+    asked = [(i, words(r, r.randint(1, 6)) + " the") for i in range(14)] + [(50, "unheard"), (51, ""), (52, "ñandú x x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    terms = sparse.query_terms(spark.createDataFrame(asked, "query_id long, query string")).cache()
+    numbers = ingest.numbered(terms.select("term").distinct(), "term", "no").cache()
+    weighted = terms.join(numbers, "term").join(sparse.statistics(df), "term", "left").cache()
+    hits = sparse.hits(df, terms).cache()
+    shown = lambda rows: sorted((x["query_id"], x["rank"], x["doc_id"], round(x["score"], 6)) for x in rows.collect())
+    want = [shown(sparse.search(sparse.bm25_scores(df, terms), df, terms, 7)), shown(sparse.top_k(sparse.dot_from_hits(hits), 7))]
+    held = {(x["query_id"], x["doc_id"]): x["count"] for x in hits.groupBy("query_id", "doc_id").count().collect()}
+    assert len(want[0]) == 16 * 7 and any(s == 0 for *_, s in want[0])
+    for part_terms, cells in ((500_000, 4_000_000), (500_000, 60), (20, 60)):
+        monkeypatch.setattr(sparse_lists, "PART_TERMS", part_terms)
+        monkeypatch.setattr(sparse_lists, "CELLS", cells)
+        found = sparse_lists.lists(sparse_lists.term_counts(df, numbers), weighted, 7).cache()
+        assert [shown(found.where("list = 0")), shown(found.where("list = 1").withColumn("score", F.col("dot")))] == want
+        assert all(x["held"] == held.get((x["query_id"], x["doc_id"]), 0) for x in found.collect())
+    assert sparse_lists.lists(sparse_lists.term_counts(df, numbers), weighted, 0).collect() == []
+    assert sparse_lists.lists(sparse_lists.term_counts(df.limit(0), numbers), weighted, 3).collect() == []
+
+
+def test_fused_lists_make_no_row_for_a_hit(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """300 documents and 40 queries that all share 30 words have 360,000 hits; the largest table that the query stores has a row for each document, or k for each query and list."""
+    text = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, text) for i in range(40)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        out = store.stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(registry, "stored", counted)
+    assert registry.queries()["rrf_fused_topk"](spark, str(tmp_path)).count() == 400
+    assert sizes["termcounts"] == 300 and max(sizes.values()) <= 40 * 2 * 100
+
+
+def test_late_interaction_over_all_lists_joins_no_lists(spark: SparkSession) -> None:
+    """With all lists every document is a candidate, and the lists are neither joined nor scored pair by pair; a copy of a document ties by identifier, and more than k of them fill a batch."""
+    one = lambda texts: [[[float(ord(w[0]) - 96), float(len(w))] for w in t.split()] for t in texts]
+    docs = spark.createDataFrame([(i, "a bb ccc") for i in range(9, 29)] + [(40, "zzz a")], "doc_id long, text string")
+    index = late_interaction.TokenIndex.build(late_interaction.token_vectors(docs, "doc_id", one), lists=3)
+    index.postings = None
+    asked = late_interaction.token_vectors(spark.createDataFrame([(1, "a bb"), (2, "zzz")], "query_id long, query string"), "query_id", one, text="query")
+    got = sorted((x["query_id"], x["rank"], x["doc_id"]) for x in index.search(asked, 3, probes=len(index.centers)).collect())
+    assert got == [(1, 1, 9), (1, 2, 10), (1, 3, 11), (2, 1, 40), (2, 2, 9), (2, 3, 10)]
