@@ -52,6 +52,22 @@ def test_sparse_lists_are_those_of_all_hits(spark: SparkSession, monkeypatch: py
     assert sparse_lists.lists(sparse_lists.term_counts(df.limit(0), numbers), weighted, 3).collect() == []
 
 
+def test_document_frequencies_find_the_tokens_of_a_text_once(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """One search for tokens in the plan (of two patterns, one for each kind of text), and counts that brute force gives, with null and empty texts."""
+    plans = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store.stored(df, name)
+
+    monkeypatch.setattr(sparse, "stored", kept)
+    texts = ["the cat", "The the ñandú dog", None, "", "...", "cat dog x1"]
+    got = sparse.statistics(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["term"]: r["df"] for r in got} == {"the": 2, "cat": 2, "dog": 2, "x1": 1}
+    assert {r["avgdl"] for r in got} == {8 / 5}  # ñandú is no token, nor a part of it
+    assert len(plans) == 1 and plans[0].count("regexp_extract_all") == 2
+
+
 def test_fused_lists_make_no_row_for_a_hit(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
     """300 documents and 40 queries that all share 30 words have 360,000 hits; the largest table that the query stores has a row for each document, or k for each query and list."""
     text = " ".join(f"w{i}" for i in range(30))
