@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import quality
+from corvane.functions.text import quality, tokens
 from corvane.sources.store import spread, stored
 
 
@@ -48,6 +48,25 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.lit(1).alias("label"))
 
 
+def counted_qrels(spark: SparkSession, sf_dir: str, counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """As ``qrels``, from the counted terms of documents (doc_id, nos) and the queries' terms (term, no, df; a null df is 0), which a search has anyway.
+
+    A document that holds a passage holds the tokens of its inner words, so it is looked for where its rarest such token is. The pairs are stored, so that where
+    they are few the texts need no shuffle. Passages without such a token are compared with all texts.
+    """
+    asked = queries(spark, sf_dir).where("query is not null")
+    words = F.split("query", " ")
+    inner = asked.select("query_id", F.explode(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("word"))
+    inner = inner.select("query_id", F.explode(tokens(F.col("word"))).alias("term")).join(terms.select("term", "no", "df").distinct(), "term")
+    anchor = stored(inner.groupBy("query_id").agg(F.min_by("no", F.struct(F.coalesce("df", F.lit(0)), "no")).alias("no")), "anchors")
+    near = stored(counts.select("doc_id", F.explode("nos").alias("no")).join(anchor, "no").select("query_id", "doc_id"), "nearpairs")
+    found = docs(spark, sf_dir).join(near, "doc_id").join(asked, "query_id").where(F.contains("text", "query")).select("query_id", "doc_id")
+    rest = asked.join(anchor.select("query_id"), "query_id", "left_anti")
+    if not rest.isEmpty():
+        found = found.unionByName(docs(spark, sf_dir).join(rest, F.contains("text", "query")).select("query_id", "doc_id"))
+    return found.select("query_id", "doc_id", F.lit(1).alias("label"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 

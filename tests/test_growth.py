@@ -85,6 +85,30 @@ def test_fused_lists_make_no_row_for_a_hit(spark: SparkSession, tmp_path: Path,
     assert sizes["termcounts"] == 300 and max(sizes.values()) <= 40 * 2 * 100
 
 
+def test_passages_are_looked_for_where_their_rarest_token_is(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """300 documents share 30 words of a passage and two hold it: no row is stored for a document's word; short passages, such without tokens, cut words, case and nulls."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"{text} x{i}") for i in range(300)] + [(400, f"a {text} Rare, end b"), (401, f"{text} Rare, endless"), (402, f"{text} rare, end"), (403, None), (404, "go — — on ñandú go"), (405, "sea wind")]
+    asked = [(1, f"{text} Rare, end"), (2, "wind"), (3, "o — — o"), (4, ""), (5, None), (6, "w1 w2 w4"), (7, "n ñandú g"), (8, f"2 {text[6:]}"), (9, "a w0 unheard w2")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        out = store.stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(registry, "stored", counted)
+    monkeypatch.setattr(registry.bed, "stored", counted)
+    compare(registry.queries()["benchmark_rows"](spark, str(tmp_path)), registry.oracle_sql()["benchmark_rows"], str(tmp_path))
+    assert max(sizes.values()) <= 4 * 306
+    found = registry._Sparse(spark, str(tmp_path), 3)
+    pairs = lambda rows: sorted((x["query_id"], x["doc_id"], x["label"]) for x in rows.collect())
+    got = pairs(registry.bed.counted_qrels(spark, str(tmp_path), found.counts, found.asked))
+    assert got == sorted((q, i, 1) for q, x in asked for i, y in docs if x is not None and y is not None and x in y) == pairs(registry.bed.qrels(spark, str(tmp_path)))
+
+
 def test_late_interaction_over_all_lists_joins_no_lists(spark: SparkSession) -> None:
     """With all lists every document is a candidate, and the lists are neither joined nor scored pair by pair; a copy of a document ties by identifier, and more than k of them fill a batch."""
     one = lambda texts: [[[float(ord(w[0]) - 96), float(len(w))] for w in t.split()] for t in texts]
