@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import ingest, late_interaction, sparse, sparse_lists
+from corvane.functions.text import tokens
+from corvane.operators import ingest, late_interaction, sparse, sparse_lists, token_batches
 from corvane.plans import registry
 from corvane.sources import store
 from tests.oracle import compare
@@ -68,6 +69,49 @@ def test_document_frequencies_find_the_tokens_of_a_text_once(spark: SparkSession
     assert len(plans) == 1 and plans[0].count("regexp_extract_all") == 2
 
 
+def test_tokens_of_a_batch_are_those_of_the_column(spark: SparkSession) -> None:
+    """Borders between ASCII and every other kind of character, characters whose small letters are ASCII or longer, texts that end and begin within a run, null and empty texts, slices."""
+    r = random.Random(5)
+    signs = "aZ9_ .-\n\x00é́ñÀ—“‍‌字İKſ½²ⅷⓐำ‿\ufeff\U0001d400\U0001f600"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(4000)] + [None, "", "", "end"]
+    texts += [f"{chr(i)}a b{chr(i)} c {chr(i)} d" for i in (*range(1, 0xD800, 7), *range(0xE000, 0x20000, 7))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t"), tokens(F.col("t")).alias("want")).toArrow()
+    want = [x or [] for x in rows["want"].to_pylist()]
+    lowered = rows["t"].combine_chunks()
+    for a, n in ((0, len(texts)), (1234, 3000), (4000, 1), (4001, 2), (7, 0)):
+        at, words = token_batches.found(lowered.slice(a, n), token_batches.word_characters(spark))
+        got = [[] for _ in range(n)]
+        for i, w in zip(at.tolist(), words.to_pylist(), strict=True):
+            got[i].append(w)
+        assert got == want[a : a + n]
+
+
+def test_lists_read_the_texts_once(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """One stored table of a search reads documents, where document frequencies took a second pass; frequencies and weights equal those of a pass of their own, over several batches."""
+    r = random.Random(6)
+    texts = [words(r, r.randint(0, 9)) + f" ñandú x{i % 7}" for i in range(50)] + [None, "", "The the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a x3 unheard"), (2, "the")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    passes = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        passes.extend([name] if any("documents.parquet" in f for f in df.inputFiles()) else [])
+        return store.stored(df, name)
+
+    for module in (registry, sparse, sparse_lists):
+        monkeypatch.setattr(module, "stored", kept, raising=False)
+    registry._Sparse(spark, str(tmp_path))
+    assert passes == ["termcounts"]
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    numbers = spark.createDataFrame([("a", 0), ("x3", 1)], "term string, no long")
+    shown = lambda rows: sorted((x["term"], x["df"], round(x["idf"], 9), round(x["avgdl"], 9)) for x in rows.collect())
+    want = shown(sparse.statistics(df))
+    for size in (1000, 4):
+        monkeypatch.setattr(sparse_lists, "ROWS", size)
+        assert shown(sparse_lists.statistics(sparse_lists.term_counts(df, numbers, vocabulary=True))) == want
+    assert shown(sparse_lists.statistics(sparse_lists.term_counts(df.limit(0), numbers, vocabulary=True))) == []
+
+
 def test_fused_lists_make_no_row_for_a_hit(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
     """300 documents and 40 queries that all share 30 words have 360,000 hits; the largest table that the query stores has a row for each document, or k for each query and list."""
     text = " ".join(f"w{i}" for i in range(30))
