@@ -129,6 +129,29 @@ def test_fused_lists_make_no_row_for_a_hit(spark: SparkSession, tmp_path: Path,
     assert sizes["termcounts"] == 300 and max(sizes.values()) <= 40 * 2 * 100
 
 
+def rows_stored(spark: SparkSession, folder: Path, monkeypatch: pytest.MonkeyPatch, name: str) -> dict[str, int]:
+    """How many rows each table has that the query ``name`` stores over 300 documents and 40 queries which share 30 words, so have 360,000 hits and 12,000 pairs; its rows are held against its SQL."""
+    text = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(i, f"{text} {f'w{i % 11} ' * (i % 5)}x{i}") for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, f"{text} w{i % 30} w{i % 7}") for i in range(40)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    sizes = {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        out = store.stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    for module in (registry, sparse, sparse_lists):
+        monkeypatch.setattr(module, "stored", counted, raising=False)
+    compare(registry.queries()[name](spark, str(folder)), registry.oracle_sql()[name], str(folder))
+    return sizes
+
+
+def test_method_comparison_makes_no_row_for_a_hit(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    sizes = rows_stored(spark, tmp_path, monkeypatch, "method_comparison")
+    assert sizes and max(sizes.values()) <= 40 * 2 * 100
+
+
 def test_passages_are_looked_for_where_their_rarest_token_is(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
     """300 documents share 30 words of a passage and two hold it: no row is stored for a document's word; short passages, such without tokens, cut words, case and nulls."""
     text = " ".join(f"w{i}" for i in range(30))
