@@ -157,6 +157,11 @@ def test_spearman_full_makes_no_row_for_a_hit(spark: SparkSession, tmp_path: Pat
     assert sizes and max(sizes.values()) <= 40 * 2 * 100
 
 
+def test_rrf_k_variants_makes_no_row_for_a_hit(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    sizes = rows_stored(spark, tmp_path, monkeypatch, "rrf_k_variants")
+    assert sizes and max(sizes.values()) <= 40 * 2 * 100
+
+
 def test_passages_are_looked_for_where_their_rarest_token_is(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
     """300 documents share 30 words of a passage and two hold it: no row is stored for a document's word; short passages, such without tokens, cut words, case and nulls."""
     text = " ".join(f"w{i}" for i in range(30))
