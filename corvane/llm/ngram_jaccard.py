@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import discard, shared_dir, shuffle_width, stored
 from corvane.llm.wordhash import chunks, mix, shingles
 
-#: Largest table of survivors of the screen, in bytes, that is sent to every executor (``CHOSEN_BYTES`` a row); a larger one is joined by shuffle.
-BROADCAST_BYTES, CHOSEN_BYTES = 64 << 20, 64
+#: Largest table of survivors of the screen, in bytes, that the driver makes and sends to every executor (``CHOSEN_BYTES`` a row, as measured); a larger one is joined by shuffle.
+BROADCAST_BYTES, CHOSEN_BYTES = 8 << 20, 128
 #: A key of a join is hot if more rows have it than this, and more than their ``HOT_KEYS``-th part, so no join has more hot keys than that.
 HOT_ROWS, HOT_KEYS = 1_000_000, 100_000
 #: Rows drawn (about) to find shingles so frequent that one task should not hold them all.
@@ -94,6 +94,15 @@ def _hot_keys(counted: DataFrame, key: str, rows: int) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def _apart(values: DataFrame) -> DataFrame:
+    """``values`` for a join in which neither side is broadcast.
+
+    Tables of numbers press to a tenth of what their hash tables take, so files within Spark's limit for broadcasts make the driver hold several of 30 to 50 MB at once. What grows
+    with the documents is shuffled instead, whatever its files' size.
+    """
+    return values.hint("merge")
+
+
 def _looked_up(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | None, nulls: bool = False) -> DataFrame:
     """``rows`` joined with the one row that ``values`` has for each ``key``; rows without one get nulls.
 
@@ -101,14 +110,14 @@ def _looked_up(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | No
     null key, which have no value. ``rows`` may be read twice and should be a stored table then.
     """
     if hot is None and not nulls:
-        return rows.join(values, key, "left")
+        return rows.join(_apart(values), key, "left")
     if hot is None:
         stays, few = F.col(key).isNull(), values.limit(0)
     else:
         stays, few = F.col(key).isNull() | F.coalesce("_hot", F.lit(False)), values.join(F.broadcast(hot), key, "left_semi")
         rows = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     rest, here = rows.where(~stays).drop("_hot"), rows.where(stays).drop("_hot")
-    return rest.join(values, key, "left").unionByName(here.join(F.broadcast(few), key, "left"))
+    return rest.join(_apart(values), key, "left").unionByName(here.join(F.broadcast(few), key, "left"))
 
 
 def _screened(slim: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -123,12 +132,12 @@ def _screened(slim: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     rows, hot = brought.select(cid, F.explode("low").alias("h")), _hot(brought, "low")
     cold = (rows.where(~F.col("h").isin(hot)) if hot else rows).repartition("h")
     shared = cold.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
-    met = cold.join(shared, "h").select("cid")
+    met = cold.join(_apart(shared), "h").select("cid")
     if hot:
         met = met.unionByName(rows.where(F.col("h").isin(hot)).select("cid"))
     found = met.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
     least_partner = F.ceil(F.lit(num) * F.col("n") / F.lit(den))  # the smallest size that a partner can have
-    known = classes.select("key", "doc_id", "n", "brought", cid).join(found, "cid")
+    known = classes.select("key", "doc_id", "n", "brought", cid).join(_apart(found), "cid")
     return known.where(F.col("met") / F.col("brought") >= F.greatest(F.lit(1), F.floor(least_partner / F.lit(10)))).select("key", "doc_id")
 
 
@@ -152,7 +161,7 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
     sets = stored(found.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once; repeated rows are sets that link
     rows, hot = sets.select("sid", F.explode("members").alias("h")), _hot(sets, "members")
     cold = (rows.where(~F.col("h").isin(hot)) if hot else rows).repartition("h")
-    counted = cold.join(cold.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "h")
+    counted = cold.join(_apart(cold.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")), "h")
     if hot:
         often = rows.where(F.col("h").isin(hot))
         counted = counted.unionByName(often.join(F.broadcast(often.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"))), "h"))  # 2 * width rows at most
@@ -175,8 +184,8 @@ def _profiles(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, si
 
     schema = "sid long, n long, members array<long>, first array<long>, rare array<long>, other array<long>"
     # a partner holds least(n) of a set's shingles, so sets with fewer that any other has are out before their members are fetched
-    able = counted.join(sets.select("sid", F.size("members").alias("n")), "sid").where(F.size("hs") >= F.ceil(F.lit(num) * F.col("n") / F.lit(den))).drop("n")
-    return sets.select("sid", "key"), stored(able.join(sets.select("sid", "members"), "sid").mapInPandas(prefixes, schema), "profiles")
+    able = counted.join(_apart(sets.select("sid", F.size("members").alias("n"))), "sid").where(F.size("hs") >= F.ceil(F.lit(num) * F.col("n") / F.lit(den))).drop("n")
+    return sets.select("sid", "key"), stored(able.join(_apart(sets.select("sid", "members")), "sid").mapInPandas(prefixes, schema), "profiles")
 
 
 def _parts(rows: int) -> int:
@@ -235,7 +244,7 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         tops = _hot_keys(labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", 2 * rows)
         jumped = _looked_up(labels, labels.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", tops)
         lower = F.least("root", "m", F.coalesce("over", "root")).alias("root")
-        moved = jumped.join(near, jumped.node == near.a).select("node", F.col("root").alias("was"), lower)
+        moved = jumped.join(_apart(near), jumped.node == near.a).select("node", F.col("root").alias("was"), lower)
         moved = stored(moved.coalesce(parts), "labels")
         discard(known)
         known, labels = moved, moved.select("node", "root")
@@ -347,7 +356,7 @@ def _compared(dealt: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    return sets.join(components(links).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+    return sets.join(_apart(components(links).select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
 
 
 def _block(blocks: str, seed: int) -> Column:
@@ -363,21 +372,21 @@ def _all_links(profiles: DataFrame, num: int, den: int) -> DataFrame:
     """
     narrow = _parts(profiles.count())
     cells = stored(_cells(profiles), "cells")
-    sizes = cells.join(profiles.select("sid", "n"), "sid").groupBy("cell").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    sizes = cells.join(_apart(profiles.select("sid", "n")), "sid").groupBy("cell").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
-    rows = cells.join(sizes.select("cell", blocks), "cell").select("sid", "cell", "blocks", F.col("sid").alias("label"))
+    rows = cells.join(_apart(sizes.select("cell", blocks)), "cell").select("sid", "cell", "blocks", F.col("sid").alias("label"))
     rows = stored(rows.coalesce(narrow), "setblocks")
 
     def within(rows: DataFrame, seed: int) -> DataFrame:
         own = _block("blocks", seed)
         dealt = rows.select("sid", "cell", "label", own.alias("block"), own.alias("i"), own.alias("j"))
-        return stored(_compared(dealt.join(profiles, "sid"), num, den), "links")
+        return stored(_compared(dealt.join(_apart(profiles), "sid"), num, den), "links")
 
     def still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
         """The sets of large cells with several labels, with their labels by ``links``."""
         rows = stored(_labelled(rows.where("blocks > 1").drop("label"), links).coalesce(narrow), "setlabels")
         several = rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-        return stored(rows.join(several, "cell").coalesce(narrow), "setlabels")
+        return stored(rows.join(_apart(several), "cell").coalesce(narrow), "setlabels")
 
     links = within(rows, 0)
     rows = still_open(rows, links)
@@ -387,7 +396,7 @@ def _all_links(profiles: DataFrame, num: int, den: int) -> DataFrame:
     rows = still_open(rows, links)
     parts = rows.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("sets"))
     whole = parts.groupBy("cell").agg(F.sum("sets").alias("all"), F.max(F.struct("sets", "label")).alias("most")).where(F.col("all") > F.col("most.sets"))
-    rest = rows.join(whole.select("cell", F.col("most.label").alias("largest"), F.col("most.sets").alias("most"), "all"), "cell")
+    rest = rows.join(_apart(whole.select("cell", F.col("most.label").alias("largest"), F.col("most.sets").alias("most"), "all")), "cell")
     # blocks 0 .. outer - 1 hold the sets outside the largest label, the following ones the sets within
     share = F.col("blocks") / F.col("all")
     rest = rest.withColumn("outer", F.ceil(share * (F.col("all") - F.col("most"))).cast("int")).withColumn("inner", F.ceil(share * F.col("most")).cast("int"))
@@ -396,7 +405,7 @@ def _all_links(profiles: DataFrame, num: int, den: int) -> DataFrame:
     others = F.sequence(F.lit(0), F.when(inside, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))
     rest = rest.withColumn("with", F.explode(others))
     dealt = rest.select("sid", "cell", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    return links.unionByName(stored(_compared(dealt.join(profiles, "sid"), num, den), "links"))
+    return links.unionByName(stored(_compared(dealt.join(_apart(profiles), "sid"), num, den), "links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -421,14 +430,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(classes, "classes")
     chosen = stored(_screened(wide, classes, num, den), "chosen")
     discard(wide)
-    if chosen.count() * CHOSEN_BYTES <= BROADCAST_BYTES:
-        chosen = F.broadcast(chosen)
+    chosen = F.broadcast(chosen) if chosen.count() * CHOSEN_BYTES <= BROADCAST_BYTES else chosen.hint("shuffle_hash")  # else the texts would be sorted
     # the identifier finds the text again; where rows share it, the digest of the set says which one is meant
     keys, profiles = _profiles(docs, chosen, id_col, text_col, size, num, den)
     roots = components(_all_links(profiles, num, den))
-    roots = stored(keys.join(roots, F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root")), "roots")
+    roots = stored(keys.join(_apart(roots), F.col("sid") == F.col("node")).groupBy("key").agg(F.min("root").alias("root")), "roots")
     discard(profiles)
-    known = classes.join(roots, "key", "left").where("copies > 1 or root is not null").select("key", "root", "doc_id")
+    known = classes.join(_apart(roots), "key", "left").where("copies > 1 or root is not null").select("key", "root", "doc_id")
     all_rows = slim.count()
     known = stored(known.coalesce(_parts(all_rows)), "known")
     least = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))

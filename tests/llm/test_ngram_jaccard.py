@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.llm import ngram_jaccard
 from corvane.llm.ngram_jaccard import components, jaccard_components
 from corvane.llm.wordhash import shingles, words
+from corvane.sources import store
 from tests.llm.conftest import awkward_rows, prose
 
 
@@ -148,3 +149,21 @@ def test_long_words_of_two_letters_keep_their_own_digests(spark: SparkSession) -
     rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_nothing_that_grows_is_broadcast(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Spark would broadcast tables of these sizes, and does so by their pressed files' size; no stored table comes from such a join when survivors are over their limit."""
+    joins: dict[str, set[str]] = {}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        joins.setdefault(name, set()).update(re.findall(r"BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin", df._jdf.queryExecution().executedPlan().toString()))
+        return store.stored(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "stored", kept)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 2)
+    rows = [(10 * i + j, prose(i, 30) + f" end{j}") for i in range(8) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_components(docs)) == brute(rows, 3, 90)
+    assert not [name for name, kinds in joins.items() if "BroadcastHashJoin" in kinds]
+    assert "ShuffledHashJoin" in joins["sets"] and "SortMergeJoin" in joins["labels"] and "SortMergeJoin" in joins["setblocks"]
