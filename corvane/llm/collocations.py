@@ -295,8 +295,9 @@ def _counted(runs: DataFrame, least: int) -> DataFrame:
         held: list[_Block] = []
         waiting, group, words = 0, None, {}
 
-        def out(lang: str, found: list[tuple[bytes, int]]) -> pd.DataFrame:
-            return pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8", "surrogatepass") for p, _ in found], "f": [f for _, f in found]})
+        def out(lang: str, found: list[tuple[bytes, int]]) -> Iterator[pd.DataFrame]:
+            if found:  # columns without a value would be of numbers, which are no strings for Arrow
+                yield pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8", "surrogatepass") for p, _ in found], "f": [f for _, f in found]})
 
         for batch in batches:
             for r in batch.itertuples(index=False):
@@ -307,12 +308,12 @@ def _counted(runs: DataFrame, least: int) -> DataFrame:
                     bound = (r.first, r.second) if group == (r.bucket, r.lang) else None
                     if held:
                         held, found = _merged(held, bound, least)
-                        yield out(group[1], found)
+                        yield from out(group[1], found)
                     group, waiting = (r.bucket, r.lang), 0
                 held.append(_Block(r))
                 waiting += len(held[-1].nodes)
         if held:
-            yield out(group[1], _merged(held, None, least)[1])
+            yield from out(group[1], _merged(held, None, least)[1])
         yield pd.DataFrame([(lang, None, n) for lang, n in words.items()], columns=["lang", "phrase", "f"])
 
     rows = runs.repartition(shuffle_width(runs.sparkSession), "bucket").sortWithinPartitions("bucket", "lang", "first", "second")

@@ -64,6 +64,15 @@ def test_other_columns_and_no_rows(spark: SparkSession, awkward: DataFrame, noth
     assert co.collocations(nothing).count() == 0
 
 
+def test_merges_that_find_nothing(spark: SparkSession) -> None:
+    """Prefix partitions and languages in which no phrase is frequent, alone and beside others that have some."""
+    rare = [("en", " ".join(f"only{i}x{j}" for j in range(9))) for i in range(6)] + [("de", "once seen")]
+    assert rows_of(co.collocations(spark.createDataFrame(rare, "lang string, text string"))) == []
+    rows = [*rare, *[("fr", f"deux mots u{i}") for i in range(12)]]
+    got = rows_of(co.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3)))
+    assert got == brute(rows) and len(got) == 1
+
+
 def test_large_counts_stay_exact(spark: SparkSession) -> None:
     rows = spark.createDataFrame([(3_000_000_000, 5_000_000_011, 4_999_999_999)], "a long, l long, r long")
     w = lambda c: f"cast({c} as decimal(15, 0))"
