@@ -10,10 +10,13 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import block_index, dense, sparse
+from corvane.operators import block_index, dense, ingest, live_index, sparse, sparse_lists
 from corvane.operators.live_index import LiveIndex
 from corvane.operators.vector_index import VectorIndex, fitted, recall
-from corvane.sources.snapshots import Conflict
+from corvane.plans import registry
+from corvane.sources import readers, store
+from corvane.sources.snapshots import Conflict, SnapshotTable
+from tests.oracle import compare
 
 VOCABULARY = [f"w{i}" for i in range(60)]
 
@@ -144,3 +147,58 @@ def test_centroids() -> None:
     near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ fitted(x, 5).T
     assert np.allclose(near.max(axis=1), 1, atol=1e-4)
     assert len(fitted(np.ones((5, 2)), 4)) == 1
+
+
+def shared_words(spark: SparkSession, folder: Path, monkeypatch: pytest.MonkeyPatch, name: str) -> dict[str, int]:
+    """How many rows each table has that the query ``name`` stores over 400 documents and 40 queries that share 30 words, so 12,400 postings; its rows are held against its SQL."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"{text} {f'w{i % 11} ' * (i % 5)}x{i}") for i in range(400)] + [(901, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, f"{text} w{i % 30} x{i}") for i in range(40)] + [(70, "unheard")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    sizes: dict[str, int] = {}
+
+    def counted(df: DataFrame, table: str) -> DataFrame:
+        out = store.stored(df, table)
+        sizes[table] = out.count()
+        return out
+
+    def committed(self: SnapshotTable, *a, **b) -> int:
+        n = commit(self, *a, **b)
+        table = self.path.rpartition("/")[2]
+        sizes[table] = max(n, sizes.get(table, 0))
+        return n
+
+    def saved(parts: dict[str, DataFrame], path: str) -> None:
+        save(parts, path)
+        sizes.update({n: spark.read.parquet(f"{path}/{n}").count() for n in parts})
+
+    commit, save = SnapshotTable.commit, readers.save_index
+    for module in (sparse, sparse_lists, block_index, live_index, registry, ingest):
+        monkeypatch.setattr(module, "stored", counted, raising=False)
+    monkeypatch.setattr(SnapshotTable, "commit", committed)
+    monkeypatch.setattr(readers, "save_index", saved)
+    compare(registry.queries()[name](spark, str(folder)), registry.oracle_sql()[name], str(folder))
+    return sizes
+
+
+@pytest.mark.parametrize("name", ["bounded_topk"])
+def test_no_posting_is_a_row(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch, name: str) -> None:
+    """The largest stored table has a row for each document (and removed one), each query's term or each term."""
+    sizes = shared_words(spark, tmp_path, monkeypatch, name)
+    assert sizes and max(sizes.values()) <= 40 * 31 + 1
+
+
+def test_blocks_as_rows(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The views of the groups are the postings, each in one block, with the greatest impact of its block."""
+    monkeypatch.setattr(block_index, "GROUP_DOCS", 4)
+    monkeypatch.setattr(block_index, "PACKED", 2)
+    docs = frame(spark, passages(6, 90)).repartition(3)
+    index = block_index.build_blocks(docs)
+    entries = index["blocks"].select("term", "grp", F.inline("entries")).cache()
+    shown = lambda df: sorted((r["term"], r["doc_id"], r["tf"], r["dl"]) for r in df.collect())
+    assert shown(entries) == shown(sparse.postings(docs))
+    avgdl = index["statistics"].first()["avgdl"]
+    impact = F.max(F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / avgdl)))
+    by = lambda df: sorted((r["term"], r["grp"], round(r["impact"], 9)) for r in df.collect())
+    assert by(index["bounds"]) == by(entries.groupBy("term", "grp").agg(impact.alias("impact")))
+    assert sorted(r["doc_id"] for r in index["documents"].collect()) == list(range(90))
