@@ -75,18 +75,6 @@ def bm25_from_hits(found: DataFrame, idf: DataFrame, query_id: str = "query_id",
     return rows.groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
-    """The parts of a BM25 index for ``save_index``: postings (doc_id, term, tf, dl), statistics (term, df, idf, avgdl) and the identifiers of all documents."""
-    return {"postings": postings(docs, doc_id, text), "statistics": statistics(docs, text), "documents": docs.select(doc_id)}
-
-
-def indexed_scores(index: dict[str, DataFrame], terms: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """As ``bm25_scores``, from a saved index: no text is read."""
-    rows = index["postings"].join(terms, "term").join(index["statistics"], "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
-
-
 def dot_scores(docs: DataFrame, terms: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score: the dot product of term counts (a stand-in for a learned sparse encoder)."""
     return dot_from_hits(hits(docs, terms, query_id, doc_id, text), query_id, doc_id)

@@ -302,10 +302,10 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 def bm25_from_index(s: SparkSession, d: str) -> DataFrame:
     """As ``bm25_topk``, from an index that was saved and loaded."""
     path = f"{shared_dir(s)}/corvane-index-{uuid.uuid4().hex}"
-    readers.save_index(sparse.build_index(bed.docs(s, d)), path)
-    index = readers.load_index(s, path, ["postings", "statistics", "documents"])
-    terms = sparse.query_terms(bed.queries(s, d))
-    return _rounded(sparse.search(sparse.indexed_scores(index, terms), index["documents"], terms, TOP), "score")
+    readers.save_index({"postings": sparse_lists.packed(bed.docs(s, d))}, path)
+    readers.save_index({"statistics": sparse_lists.packed_statistics(readers.load_index(s, path, ["postings"])["postings"])}, path)
+    index = readers.load_index(s, path, ["postings", "statistics"])
+    return _rounded(sparse_lists.search(index["postings"], index["statistics"], sparse.query_terms(bed.queries(s, d)), TOP), "score")
 
 
 @query
