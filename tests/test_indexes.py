@@ -181,7 +181,7 @@ def shared_words(spark: SparkSession, folder: Path, monkeypatch: pytest.MonkeyPa
     return sizes
 
 
-@pytest.mark.parametrize("name", ["bounded_topk", "live_index_topk", "bm25_from_index"])
+@pytest.mark.parametrize("name", ["bounded_topk", "bounded_blocks", "live_index_topk", "bm25_from_index"])
 def test_no_posting_is_a_row(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch, name: str) -> None:
     """The largest stored table has a row for each document (and removed one), each query's term or each term."""
     sizes = shared_words(spark, tmp_path, monkeypatch, name)
