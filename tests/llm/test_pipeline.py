@@ -7,9 +7,11 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline as cp
+from corvane.llm import ngram_jaccard
+from corvane.sources import store
 from tests.llm.conftest import prose
 from tests.llm.test_ngram_jaccard import brute
 from tests.llm.test_quality_lines import base
@@ -101,3 +103,20 @@ def test_empty_tables(spark: SparkSession, tmp_path: Path) -> None:
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert cp.run(spark, d).collect() == []
+
+
+def test_similar_texts_are_found_without_broadcasts_that_grow(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The third stage: survivors of the screen over their limit, and every table that grows with them, meet by shuffle."""
+    plans: dict[str, str] = {}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().executedPlan().toString()
+        return store.stored(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "stored", kept)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_BYTES", 0)
+    rows = [(10 * i + j, " ".join(f"w{i}x{n}" for n in range(40)) + f" end{j}", "en", "s", 1) for i in range(6) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.ngram_jaccard_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [10 * i for i in range(6)]
+    assert not [name for name, plan in plans.items() if "BroadcastHashJoin" in plan]
